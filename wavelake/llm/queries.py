@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .boosting import op8_boosting
+from .compression import op6_compression
 from .mixing import op7_mixing
+from .passages import op5_passages
 from .simhash import op10_simhash
 
 QUERIES = {
+    "op5_passages": op5_passages,
+    "op6_compression": op6_compression,
     "op7_mixing": op7_mixing,
+    "op8_boosting": op8_boosting,
     "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {}
