@@ -5,10 +5,14 @@ from __future__ import annotations
 from .boosting import op8_boosting
 from .compression import op6_compression
 from .mixing import op7_mixing
+from .packing import op1_packing
 from .passages import op5_passages
+from .piecewise import op3_piecewise
 from .simhash import op10_simhash
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_piecewise": op3_piecewise,
     "op5_passages": op5_passages,
     "op6_compression": op6_compression,
     "op7_mixing": op7_mixing,
