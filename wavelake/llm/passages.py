@@ -7,11 +7,11 @@ words as a window that starts earlier (smaller doc_id, or the same document at a
    ships the touched cells as sorted, compressed blocks, and blocks are merged by row and place.
    A merged counter never lies below the true count, so a window that occurs twice is never lost.
 2. A second pass sends on only windows that the sketch says may occur twice, each batch its first of
-   equal ones, and groups them exactly by a 128-bit hash to the first start of each.
+   equal ones, and groups them exactly by a 96-bit hash to the first start of each.
 3. First starts return to their documents. A window that may be repeated and is no first start goes.
 
-The sketch is what is broadcast: two bits of rows of at most 2 ** MOST_BITS cells, so 64 MB at most,
-whatever the input. Its width follows the input's bytes up to that bound; past it more windows pass
+The sketch is what is broadcast: a bit for each of at most 2 ** MOST_BITS cells in each row, so 128 MB at
+most, whatever the input. Its width follows the input's bytes up to that bound; past it more windows pass
 on to the exact grouping, and results stay the same.
 
 Defined cases: null text has no words; texts of fewer than WINDOW words lose none; a null doc_id
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, text_of
-from .textarrays import WORD_BASE, WORD_BASE_2, Words, mixed, slices, utf8, window_hashes
+from .textarrays import WORD_BASE, WORD_BASE_2, Words, flat, mixed, packed, slices, unpacked, utf8, window_hashes
 
 WINDOW = 20
 #: log2 of the cells in a row of the sketch, at least and at most; blocks of a row that are merged apart.
-LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 28, 8
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 16, 29, 8
 #: Windows that a task counts before it ships them.
-HELD = 1 << 22
+HELD = 1 << 21
 _FIRST_ID = -(1 << 63)
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -137,8 +137,8 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)).alias("id"), text_of().alias("text"))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # Words have some six bytes: twice as many cells as windows, as long as the bound allows.
-    bits = min(most_bits, max(LEAST_BITS, int(volume / 3).bit_length()))
+    # Words have some six bytes: four times as many cells as windows, as long as the bound allows.
+    bits = min(most_bits, max(LEAST_BITS, int(volume / 1.7).bit_length()))
     rows = spark.sparkContext.broadcast(sketch(texts, size, bits))
 
     def firsts(held):
@@ -146,7 +146,7 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS
         order = np.lexsort((starts, ids, h2, h1))
         ids, starts, h1, h2 = (x[order] for x in (ids, starts, h1, h2))
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        return pa.record_batch([pa.array(h1[new].view(np.int64)), pa.array(h2[new].view(np.int64)), pa.array(ids[new]), pa.array(starts[new].astype(np.int32))], ["h1", "h2", "id", "start"])
+        return pa.record_batch([pa.array(h1[new].view(np.int64)), pa.array(h2[new]), pa.array(ids[new]), pa.array(starts[new].astype(np.int32))], ["h1", "h2", "id", "start"])
 
     def candidates(batches):
         held, n = [], 0
@@ -164,7 +164,7 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS
                 if not len(at):
                     continue
                 of = np.searchsorted(words.of, at, "right") - 1
-                held.append((ids[first + of], at - words.of[of], h1, window_hashes(h, at, size, WORD_BASE_2)))
+                held.append((ids[first + of], at - words.of[of], h1, (window_hashes(h, at, size, WORD_BASE_2) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 n += len(at)
                 if n >= 1 << 20:
                     yield firsts(held)
@@ -173,24 +173,26 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS
             yield firsts(held)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(candidates, "h1 long, h2 long, id long, start int").repartition(parts, "h1", "h2")
+    found = texts.mapInArrow(candidates, "h1 long, h2 int, id long, start int").repartition(parts, "h1", "h2")
     least = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"))
     keys = least.select(F.col("first.id").alias("_kept_id"), F.shiftleft(F.col("first.start").cast("long"), 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     keys = keys.groupBy("_kept_id").agg(F.collect_list("key").alias("_kept_keys"))
-    joined = docs.withColumn("_dedup_text", text_of()).join(keys, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)) == F.col("_kept_id"), "left").drop("_kept_id")
-    names = docs.columns
+    rest = [c for c in docs.columns if c != "text"]
+    frames = packed(docs.select(*[docs[c] for c in rest], docs["text"].isNull().alias("_no_text"), docs["text"].cast("string").alias("_dedup_text")), "_dedup_text", "_frames")
+    joined = frames.join(keys, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)) == F.col("_kept_id"), "left").drop("_kept_id")
+    at_text, names = docs.columns.index("text"), docs.columns
+    added = T.StructType([T.StructField(k, t) for k, t in (("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept_text", T.StringType()))])
 
     def cut(batches):
         for b in batches:
-            data, offsets = utf8(b.column(len(names)))
-            keys = b.column(len(names) + 1)
+            missing, frames, keys = b.columns[len(rest) :]
             key_of = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(keys), 0)))])
             keys = keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            n_words, n_removed, kept = [], [], []
-            for first, last in slices(offsets):
-                part = offsets[first : last + 1]
-                local = data[part[0] : part[-1]]
-                words, at, h = _windows(local, part - part[0], size)
+            n_words, n_removed, kept, whole = [], [], [], []
+            for first, last, texts in unpacked(frames):
+                local, part = flat(texts)
+                whole.append(pa.array([None if x else t for x, t in zip(missing[first:last].to_pylist(), texts, strict=True)], pa.binary()).cast(pa.string()))
+                words, at, h = _windows(local, part, size)
                 n = len(words.start)
                 gone = np.zeros(n, bool)
                 if len(at):
@@ -211,10 +213,13 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS
                 n_removed.append(np.diff(sums[words.of]))
                 kept.append(_joined(local, words, ~gone))
             counts = [pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in (n_words, n_removed)]
-            kept = pa.concat_arrays(kept) if kept else pa.array([], pa.string())
-            yield pa.record_batch([*b.columns[: len(names)], *counts, kept], [*names, "_n_words", "_n_removed", "_kept_text"])
+            kept, whole = (pa.concat_arrays(x) if x else pa.array([], pa.string()) for x in (kept, whole))
+            columns = b.columns[: len(rest)]
+            columns.insert(at_text, whole)
+            yield pa.record_batch([*columns, *counts, kept], [*names, *added.names])
 
-    return joined.select(*[docs[c] for c in names], "_dedup_text", "_kept_keys").mapInArrow(cut, T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in (("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept_text", T.StringType())))]))
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
+    return joined.select(*rest, "_no_text", "_frames", "_kept_keys").mapInArrow(cut, T.StructType([*fields, *added.fields]))
 
 
 def _joined(data: np.ndarray, words: Words, keep: np.ndarray) -> pa.Array:
