@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on; only a longer single text exceeds it.
 SLICE_BYTES = 1 << 20
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
+
 #: What separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,7 +42,15 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have at most BATCH_ROWS rows, where the session doesn't say otherwise: texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

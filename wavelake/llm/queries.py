@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from .boosting import op8_boosting
 from .compression import op6_compression
+from .language import op4_language
 from .mixing import op7_mixing
 from .packing import op1_packing
 from .passages import op5_passages
 from .piecewise import op3_piecewise
 from .simhash import op10_simhash
+from .wrappers import op9_wrappers
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_piecewise": op3_piecewise,
+    "op4_language": op4_language,
     "op5_passages": op5_passages,
     "op6_compression": op6_compression,
     "op7_mixing": op7_mixing,
     "op8_boosting": op8_boosting,
+    "op9_wrappers": op9_wrappers,
     "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {}
