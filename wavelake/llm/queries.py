@@ -5,6 +5,7 @@ from __future__ import annotations
 from .boosting import op8_boosting
 from .compression import op6_compression
 from .language import op4_language
+from .maxent import op2_maxent
 from .mixing import op7_mixing
 from .packing import op1_packing
 from .passages import op5_passages
@@ -14,6 +15,7 @@ from .wrappers import op9_wrappers
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_maxent": op2_maxent,
     "op3_piecewise": op3_piecewise,
     "op4_language": op4_language,
     "op5_passages": op5_passages,
