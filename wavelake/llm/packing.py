@@ -20,7 +20,6 @@ sequence spans several; no rows give no rows. Queues are in a seeded hash order
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -29,65 +28,115 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .textarrays import slices, utf8
+from .textarrays import Words, slices, utf8
 
 LENGTH, END_ID = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; rows of a bucket of a queue; rounds of a block of the stream.
-REMEMBERED, BUCKET_ROWS, BLOCK_ROUNDS = 250_000, 20_000, 256
+#: Units whose ids a worker remembers; rows of a bucket of a queue; rounds of a block of the stream.
+REMEMBERED, BUCKET_ROWS, BLOCK_ROUNDS = 1_500_000, 20_000, 256
+
+
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_SIGN[[k for k in range(33, 127) if not _LETTER[k]]] = True
 
 
 class WordTokens:
-    """Ids of texts under a tokenizer that never joins words across white space; ids of recent words are remembered."""
+    """Ids of texts under a tokenizer whose tokens span neither white space nor a sign after an ASCII letter or digit.
+
+    Texts fall into units at those places. The ids of a unit are looked up by its hash, and those of
+    new units come from the tokenizer, many at a time. What is known is held in arrays: a large sorted
+    one and a small one that is merged into it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        # A word of its own whose one id parts the words that are looked up together.
+        # A unit of its own whose one id parts the units that are looked up together.
         self.mark = "\x01"
         ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = ids[0] if len(ids) == 1 else None
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self):
+        none = np.zeros(0, np.int64)
+        self.large = self.small = (np.zeros(0, np.uint64), none, none)  # hashes in order, starts and lengths in the pool
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, words: Iterable[bytes]) -> None:
-        new = []
-        for w in words:
-            if (known := self.old.get(w)) is not None:
-                self.young[w] = known
-            elif self.mark_id is None or b"\x01" in w:
-                self.young[w] = self._encode(w.decode()).tobytes()
-            else:
-                new.append(w)
-        if not new:
-            return
-        ids = self._encode(f" {self.mark} ".join([w.decode() for w in new]) + f" {self.mark}")
-        stop = np.flatnonzero(ids == self.mark_id)
-        if len(stop) != len(new):  # a word holds the mark's id some other way
-            for w in new:
-                self.young[w] = self._encode(w.decode()).tobytes()
-            return
-        raw, size = ids.tobytes(), self.kind.itemsize
-        begin = 0
-        for w, k in zip(new, stop.tolist(), strict=True):
-            self.young[w] = raw[begin * size : k * size]
-            begin = k + 1
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as little-endian bytes of self.kind."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young = self.young
-        words = [t.lower().split() if not any(s in t for s in self.special) else None for t in texts]
-        self._learn({w for ws in words if ws is not None for w in ws if w not in young})
-        get = young.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else self._encode(t.decode()).tobytes() for ws, t in zip(words, texts, strict=True)]
+    def _new(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units one after the other, and how many are each unit's."""
+        if self.mark_id is not None and not any(b"\x01" in u for u in units):
+            ids = self._encode(b" \x01 ".join([*units, b""]).decode())
+            marks = ids == self.mark_id
+            stop = np.flatnonzero(marks)
+            if len(stop) == len(units):
+                return ids[~marks], np.diff(stop, prepend=-1) - 1
+        parts = [self._encode(u.decode()) for u in units]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of each unit's ids in the pool; start -1 if it is not known."""
+        start, length = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for keys, starts, lengths in (self.large, self.small):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                start[hit], length[hit] = starts[at[hit]], lengths[at[hit]]
+        return start, length
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        found, lengths = self._new(units)
+        total = len(found)
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + total] = found
+        new = (hashes, self.used + np.cumsum(lengths) - lengths, lengths)
+        self.used += total
+        self.small = self._merged(self.small, new)
+        if len(self.small[0]) > REMEMBERED // 16:
+            self.large, self.small = self._merged(self.large, self.small), tuple(x[:0] for x in self.small)
+
+    @staticmethod
+    def _merged(a, b):
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts one after the other, each with end_id, and where each begins."""
+        if len(self.large[0]) > REMEMBERED:
+            self._forget()
+        words = Words(data, offsets, cut=(_LETTER, _SIGN))
+        hashes, first, back = np.unique(words.hashes(lower=True), return_index=True, return_inverse=True)
+        start, length = self._find(hashes)
+        new = np.flatnonzero(start < 0)
+        if len(new):
+            raw = data.tobytes()
+            self._learn(hashes[new], [raw[i:j] for i, j in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
+            start[new], length[new] = self._find(hashes[new])
+        start, length = start[back], length[back]
+        of_unit = np.repeat(np.arange(len(offsets) - 1), np.diff(words.of))
+        begin = np.cumsum(length) - length
+        total = int(length.sum())
+        at = np.arange(total) + np.repeat(start - begin, length)
+        edges = np.concatenate([begin, [total]])[words.of] + np.arange(len(offsets))
+        out = np.full(total + len(offsets) - 1, end_id, self.kind)
+        out[np.arange(total) + np.repeat(of_unit, length)] = self.pool[at]
+        return self._specials(data, offsets, end_id, out, edges)
+
+    def _specials(self, data, offsets, end_id, out, edges):
+        """Texts that hold the tokenizer's special strings are read by it as a whole."""
+        raw = data.tobytes()
+        if not any(s in raw for s in self.special):
+            return out, edges
+        texts = [raw[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        parts = [np.append(self._encode(t.decode()), self.kind.type(end_id)) if any(s in t for s in self.special) else out[i:j] for t, i, j in zip(texts, edges[:-1], edges[1:], strict=True)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 @lru_cache(2)
@@ -106,14 +155,14 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def batches(rows):
         words = _tokens(path)
-        end = np.array([end_id], words.kind).tobytes()
+        size = words.kind.itemsize
         for b in rows:
             data, offsets = utf8(b.column(2))
-            out = []
             for first, last in slices(offsets):
-                out += [x + end for x in words.ids([data[i:j].tobytes() for i, j in zip(offsets[first:last].tolist(), offsets[first + 1 : last + 1].tolist(), strict=True)])]
-            n = [len(x) // words.kind.itemsize for x in out]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "source", "n", "ids"])
+                part = offsets[first : last + 1]
+                ids, edges = words.ids(data[part[0] : part[-1]], part - part[0], end_id)
+                out = pa.BinaryArray.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((edges * size).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.record_batch([b.column(0)[first:last], b.column(1)[first:last], pa.array(np.diff(edges)), out], ["doc_id", "source", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, source string, n long, ids binary")
 

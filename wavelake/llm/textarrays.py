@@ -70,14 +70,19 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """Words of some texts: byte ranges start/end, and of[i]:of[i + 1] are those of text i."""
+    """Words of some texts: byte ranges start/end, and of[i]:of[i + 1] are those of text i.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    cut: two tables of bytes; a word is also cut where one of the second follows one of the first.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, cut: tuple[np.ndarray, np.ndarray] | None = None):
         self.data, self.offsets = data, offsets
         n = len(data)
         inside = ~_SPACE[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
+        if cut is not None:
+            edge[1:n] |= cut[0][data[:-1]] & cut[1][data[1:]]
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         self.start = np.flatnonzero(inside & (~before | edge[:n]))
