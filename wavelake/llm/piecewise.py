@@ -1,14 +1,15 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash of the last WINDOW bytes ends a chunk wherever it is one less than a multiple of the
-block size (three times a power of two, by the text's length; halved while it yields too few
-chunks). Each chunk gives a 12-bit code, written as two letters. A fingerprint is
-`block size:codes:codes at twice the block size`; past MOST chunks the last one holds the rest of
-the text. Fingerprints of equal block size, or of one and its double, are compared by the edit
+block size, the least power of two that a text of its length has at most MOST times. So that texts
+that repeat themselves have chunks as well, one is at least a quarter of the block size and at most
+four of it long. Each chunk, with the OVERLAP bytes before it, gives a 12-bit code, written as two
+letters. A fingerprint is `block size:codes:codes at twice the block size`; of MOST chunks the last
+one holds all the rest of the text. Fingerprints of equal block size, or of one and its double, are compared by the edit
 distance of their codes (insertions and deletions cost 1, a replacement 2) as
 1 - distance / (both lengths); others are 0 alike, equal ones 1.
 
-Defined cases: null is the empty text, fingerprint "3::"; equal texts have equal fingerprints;
+Defined cases: null is the empty text, fingerprint "1::"; equal texts have equal fingerprints;
 the next document follows by doc_id (nulls first), ties by a hash of the text; a single row is its own next;
 no rows give no rows.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, table, text_of, written
 from .textarrays import BYTE_BASE, _byte_values, mixed, packed, powers, unpacked
 
-WINDOW, LEAST_BLOCK, MOST = 7, 3, 64
+WINDOW, OVERLAP, MOST = 7, 2, 64
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _ROLL = np.uint32(0x01000193)
 
@@ -53,32 +54,26 @@ class Prints:
         return Prints(np.concatenate([p.block for p in parts]), *(np.concatenate([p.codes[k] for p in parts]) for k in (0, 1)))
 
 
-def _hits(roll: np.ndarray, start: np.ndarray, end: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that end a chunk, and the text of each."""
-    n = end - start
-    text = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-    b = block.astype(np.uint32)[text]
-    hit = roll[at] % b == b - np.uint32(1)
-    return at[hit], text[hit]
-
-
-def _codes(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+def _codes(data_sums, inverse, roll, start, end, block) -> np.ndarray:
+    """The codes of each text at its block size: a step finds the next chunk of all texts."""
+    text = np.repeat(np.arange(len(start)), end - start)
+    at = np.arange(len(text)) + np.repeat(start - np.concatenate([[0], np.cumsum(end - start)[:-1]]), end - start)
+    low = (block - 1).astype(np.uint32)[text]
+    hits = np.append(at[roll[at] & low == low], np.iinfo(np.int64).max)
+    least, most = np.maximum(1, block // 4), 4 * block
     out = np.full((len(start), MOST), -1, np.int16)
-    first = np.searchsorted(text, np.arange(len(start) + 1))
-    rank = np.arange(len(at)) - first[text]
-    inner = rank < MOST - 1
-    at, text, rank = at[inner], text[inner], rank[inner]
-    stop = at + 1
-    begin = np.where(rank == 0, start[text], np.concatenate([[0], stop[:-1]])[: len(stop)])
-    # What follows the last of these chunks is the last chunk.
-    tail = start.copy()
-    tail[text] = np.maximum.reduceat(np.append(stop, 0), np.searchsorted(text, text)) if len(stop) else 0
-    rest = np.flatnonzero(tail < end)
-    begin, stop = np.concatenate([begin, tail[rest]]), np.concatenate([stop, end[rest]])
-    rank = np.concatenate([rank, np.bincount(text, minlength=len(start))[rest]])
-    h = mixed((sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64))
-    out[np.concatenate([text, rest]), rank] = (h >> np.uint64(52)).astype(np.int16)
+    begin, open_ = start.copy(), np.flatnonzero(start < end)
+    for k in range(MOST):
+        if not len(open_):
+            break
+        a, z = begin[open_], end[open_]
+        stop = z
+        if k < MOST - 1:
+            stop = np.minimum(np.minimum(hits[np.searchsorted(hits, a + least[open_] - 1)], a + most[open_] - 1) + 1, z)
+        h = mixed((data_sums[stop] - data_sums[a - OVERLAP]) * inverse[a - OVERLAP] + (stop - a).astype(np.uint64))
+        out[open_, k] = (h >> np.uint64(52)).astype(np.int16)
+        begin[open_] = stop
+        open_ = open_[stop < z]
     return out
 
 
@@ -97,24 +92,10 @@ def _prints(texts: list[bytes]) -> Prints:
     part *= np.uint32(0x2C1B3C6D)
     part ^= part >> np.uint32(13)
     roll[WINDOW - 1 :] = part
-    block = LEAST_BLOCK * 2 ** np.ceil(np.log2(np.maximum(n / (LEAST_BLOCK * MOST), 1))).astype(np.int64)
-    hits, of = _hits(roll, start, end, block)
-    while True:
-        few = np.flatnonzero((np.bincount(of, minlength=len(n)) < MOST // 2) & (block > LEAST_BLOCK))
-        if not len(few):
-            break
-        block[few] //= 2
-        more, which = _hits(roll, start[few], end[few], block[few])
-        keep = ~np.isin(of, few)
-        hits, of = np.concatenate([hits[keep], more]), np.concatenate([of[keep], few[which]])
-        order = np.argsort(hits, kind="stable")
-        hits, of = hits[order], of[order]
+    block = 2 ** np.ceil(np.log2(np.maximum(n / MOST, 1))).astype(np.int64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values(False)[data] * powers(BYTE_BASE, len(data)), dtype=np.uint64)])
     inverse = powers(pow(BYTE_BASE, -1, 1 << 64), len(data) + 1)
-    one = _codes(sums, inverse, start, end, hits, of)
-    b = (2 * block).astype(np.uint32)[of]
-    both = roll[hits] % b == b - np.uint32(1)
-    return Prints(block, one, _codes(sums, inverse, start, end, hits[both], of[both]))
+    return Prints(block, *(_codes(sums, inverse, roll, start, end, b) for b in (block, 2 * block)))
 
 
 def prints(texts: list[bytes]) -> Prints:
