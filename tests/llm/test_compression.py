@@ -37,7 +37,7 @@ def test_good_documents_stay_and_extremes_go(spark, documents):
     good = [r for i, r in rows.items() if labels.get(i) == 1 and not r.base_failed]
     assert sum(r.kept for r in good) >= 0.99 * len(good)
     noise = random.Random(1)
-    texts = [" ".join("%030x" % noise.getrandbits(120) for _ in range(200)), " ".join(f"item {i % 7} of the same list number {i}" for i in range(2000)), "a\nb\n\na\nb \na\n" * 2]
+    texts = [" ".join("".join(map(chr, noise.choices(range(33, 127), k=20))) for _ in range(200)), " ".join(f"item {i % 7} of the same list number {i}" for i in range(2000)), "a\nb\n\na\nb \na\n" * 2]
     found = {r.doc_id: r for r in judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert not any(r.kept for r in found.values()) and found[2].n_dup_lines == base(texts[2])[3]
 
