@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import compact, crc_mod, table
 from .compression import _again, _sums, duplicate_lines, repeated_words
 from .textarrays import Words, mixed, slices, utf8
 
@@ -170,7 +170,7 @@ def scored(docs: DataFrame, model: Forest) -> DataFrame:
 def op8_boosting(spark, sf_dir):
     """op8's digest over the whole documents table."""
     docs = table(spark, sf_dir, "documents")
-    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+    return compact(scored(docs, train(docs, table(spark, sf_dir, "labels"))), docs)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

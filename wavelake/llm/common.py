@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on; only a longer single text exceeds it.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of input for each file of a table derived from it.
+FILE_BYTES = 64 << 20
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 2000
 
@@ -32,13 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/wavelake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def compact(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df in as few partitions as keep all cores busy twice, or more where source's files are worth more.
+
+    Tables derived from source then have no files of a few rows, whatever the shuffle partitions.
+    """
+    spark = df.sparkSession
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, min(size // FILE_BYTES, 1 << 20)))
+
+
+def written(df: DataFrame, source: DataFrame | None = None, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there.
 
-    The files outlive executors, so that a lost one costs only its running tasks.
+    The files outlive executors, so that a lost one costs only its running tasks. source: what df's
+    size is held against, see compact().
     """
     path = shared_folder(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
+    (compact(df, source) if source is not None else df).write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -29,15 +29,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return s.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(s.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, source: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
     """(u, v) pairs of longs, no nulls -> (node, component): the least node each node is linked with.
 
-    Nodes that are their own component's least are left out. Self-links are ignored.
+    Nodes that are their own component's least are left out. Self-links are ignored. source: see written().
     """
-    e = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), source)
     mark = None
     for _ in range(most_rounds):
-        e = written(_small_star(_large_star(e)))
+        e = written(_small_star(_large_star(e)), source)
         new = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import compact, table
 from .textarrays import BYTE_BASE, Words, _byte_values, mixed, powers, slices, utf8, window_hashes
 
 LEVEL, CHUNK = 3, 4096
@@ -139,4 +139,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def op6_compression(spark, sf_dir):
     """op6's digest over the whole documents table."""
-    return judge(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return compact(judge(docs), docs)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import compact, table, written
 from .textarrays import mixed, slices, utf8
 from .wrappers import _ruled_out, host_of, read
 
@@ -142,7 +142,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     if not langs:
         empty = {"lang": "string", "probability": "double", "text_lang": "string", "text_probability": "double", "declared": "string", "suffix": "string"}
         return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), *(F.lit(None).cast(t).alias(k) for k, t in empty.items()), host_of().alias("host"))
-    rows = written(evidence(pages, langs, logs))
+    rows = written(evidence(pages, langs, logs), pages)
     n = range(len(langs))
 
     def sums(key, to):
@@ -189,4 +189,5 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 def op4_language(spark, sf_dir):
     """The language of every page, learnt from all documents."""
-    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("lang", "text"))
+    pages = table(spark, sf_dir, "pages")
+    return compact(identify(pages, table(spark, sf_dir, "documents").select("lang", "text")), pages)

@@ -145,7 +145,7 @@ def mix(docs: DataFrame, quotas: dict | None = None, weights=WEIGHTS, most: int
     pattern = F.array_sort(F.array_distinct(F.col(sources))) if kind.startswith("array") else F.array(F.col(sources).cast("string"))
     rows = docs.select(F.col("doc_id"), pattern.alias("pattern"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_bin", F.pmod("_h", F.lit(bins)).cast("int"))
-    rows = written(rows)
+    rows = written(rows, docs)
     sized = rows.groupBy("pattern", "_bin").agg(F.sum("size").alias("size"))
     sized = written(sized.coalesce(8))
     by_pattern = sized.groupBy("pattern").agg(F.sum("size").alias("size"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import compact, table, written
 from .textarrays import Words, slices, utf8
 
 LENGTH, END_ID = 2048, 1
@@ -205,7 +205,7 @@ def positions(rows: DataFrame, weights: dict | None = None, length: int = LENGTH
 def pack(docs: DataFrame, weights: dict | None = None, length: int = LENGTH, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary, little-endian, four bytes each) of every piece."""
     ids = tokenized(docs.select("doc_id", "source", "text"), path or tokenizer_path(), end_id)
-    rows = written(ids.withColumn("row", F.monotonically_increasing_id()))
+    rows = written(ids.withColumn("row", F.monotonically_increasing_id()), docs)
     at = positions(rows.select("row", "doc_id", "source", "n"), weights, length).withColumnRenamed("row", "_row")
     placed = rows.join(at, F.col("row") == F.col("_row")).select("doc_id", "n", "position", "ids")
 
@@ -229,5 +229,6 @@ def pack(docs: DataFrame, weights: dict | None = None, length: int = LENGTH, pat
 
 def op1_packing(spark, sf_dir):
     """op1's digest over the whole documents table."""
-    pieces = pack(table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    docs = table(spark, sf_dir, "documents")
+    pieces = pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return compact(pieces, docs)

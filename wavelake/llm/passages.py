@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of
+from .common import compact, table, text_of
 from .textarrays import WORD_BASE, WORD_BASE_2, Words, flat, mixed, packed, slices, unpacked, utf8, window_hashes
 
 WINDOW = 20
@@ -244,7 +244,8 @@ def _joined(data: np.ndarray, words: Words, keep: np.ndarray) -> pa.Array:
 
 def op5_passages(spark, sf_dir):
     """op5's digest over the whole documents table."""
-    found = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = compact(drop_repeats(docs), docs)
     return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import compact, table
 from .textarrays import packed, unpacked
 
 #: Parts in which the wrappers of one host are merged before they meet.
@@ -359,5 +359,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def op9_wrappers(spark, sf_dir):
     """op9's digest over the whole pages table."""
-    found = extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    found = compact(extract(pages), pages)
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
