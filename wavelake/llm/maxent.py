@@ -23,7 +23,6 @@ in choosing training documents.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -31,40 +30,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, written
-from .textarrays import slices, utf8
+from .common import compact, crc_mod, table, written
+from .textarrays import Words, flat, mixed, slices, utf8
 
 #: Words that are broadcast with their counts; words of a class of their own; spelling clusters.
 HEAD, SINGLES, CLUSTERS = 1 << 17, 7, 24
 CLASSES = 1 + SINGLES + CLUSTERS
 #: log2 of the rows of a feature's table, features, rounds of training, tokens of a gradient step, its rate.
-ROW_BITS, FEATURES, ROUNDS, STEP, RATE = 15, 4, 2, 8192, 0.4
-#: Letter-pair cells, words that k-means reads, words a worker remembers besides the head, words a task counts before it ships.
-CELLS, CLUSTERED, REMEMBERED, COUNTED = 64, 8192, 250_000, 300_000
+ROW_BITS, FEATURES, ROUNDS, STEP, RATE = 13, 4, 2, 15_000, 0.4
+#: Letter-pair cells, words that k-means reads, words a task counts before it ships.
+CELLS, CLUSTERED, COUNTED = 64, 8192, 300_000
 #: Bytes of text that a training task reads at most where there are tasks enough for all cores.
 TASK_BYTES, SEED = 1 << 30, 2
 BLOCK_ROWS = 1024
-_END, _START = b"\n", b"\t"  # no word holds white space
+_LOWER = np.arange(256, dtype=np.uint32)
+_LOWER[65:91] += 32
 
 
-def spellings(words: list[bytes]) -> np.ndarray:
-    """A unit vector of hashed letter pairs for each word."""
-    data = np.frombuffer(b"".join([b"\x02" + w + b"\x03" for w in words]), np.uint8).astype(np.uint32)
-    n = np.array([len(w) + 2 for w in words])
-    pair = data[:-1] * np.uint32(0x01000193) ^ data[1:] * np.uint32(0x9E3779B1)
-    cell = (pair * np.uint32(0x85EBCA6B)) >> np.uint32(26)
-    of = np.repeat(np.arange(len(words)), n)
-    inner = of[:-1] == of[1:]
-    v = np.bincount(of[:-1][inner] * CELLS + cell[inner], minlength=len(words) * CELLS).reshape(len(words), CELLS).astype(np.float32)
-    v = np.sqrt(v)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+def spellings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A unit vector of hashed letter pairs for each word data[start:end], A-Z as a-z."""
+    n = end - start + 1  # pairs, with a mark before and after the word
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)  # of the second letter
+    low = _LOWER[data]
+    second = np.where(at < end[of], low[np.minimum(at, max(0, len(data) - 1))], np.uint32(3))
+    first = np.where(at > start[of], low[at - 1], np.uint32(2))
+    cell = ((first * np.uint32(0x01000193) ^ second * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)) >> np.uint32(26)
+    v = np.sqrt(np.bincount(of * CELLS + cell, minlength=len(n) * CELLS).reshape(len(n), CELLS).astype(np.float32))
+    return v / np.sqrt(n.astype(np.float32))[:, None]
+
+
+def _spelled(words: list[bytes]) -> np.ndarray:
+    data, offsets = flat(words)
+    return spellings(data, offsets[:-1], offsets[1:])
 
 
 def clustered(words: list[bytes], counts: np.ndarray, k: int = CLUSTERS, rounds: int = 15) -> np.ndarray:
     """Centres of spherical k-means over spellings, weighted by the root of the counts."""
     if not words:
         return np.zeros((k, CELLS), np.float32)
-    v, w = spellings(words), np.sqrt(counts)[:, None]
+    v, w = _spelled(words), np.sqrt(counts)[:, None]
     random = np.random.default_rng(SEED)
     centres = v[[int(np.argmax(counts))]]
     while len(centres) < k:
@@ -80,54 +85,58 @@ def clustered(words: list[bytes], counts: np.ndarray, k: int = CLUSTERS, rounds:
 
 
 class Lexicon:
-    """Indices of words, with class, hash and count of each; the head's are kept, others come and go."""
+    """The head's words by their hashes, with class and count of each; the class of any other word by its spelling."""
 
     def __init__(self, head: list[tuple[bytes, int]], centres: np.ndarray, end_count: int):
-        self.centres, self.singles = centres, {w: 1 + i for i, (w, _) in enumerate(head[:SINGLES])}
-        self.index = _Index()
-        self.kind, self.hash = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
-        self.count = np.zeros(0, np.int64)
-        for w in (_START, _END, *(w for w, _ in head)):
-            self.index[w]
-        self.fixed = len(self.index)
-        self._fill()
-        self.count[1 : self.fixed] = [end_count, *(c for _, c in head)]
-        self.count[0] = 0
-
-    def _fill(self):
-        """Class and hash of words new to the index; their count is -1, unknown here."""
-        new = self.index.new
-        if not new:
-            return
-        kind = (1 + SINGLES + (spellings(new) @ self.centres.T).argmax(1)).astype(np.uint8)
-        for i, w in enumerate(new):
-            if w in self.singles:
-                kind[i] = self.singles[w]
-            elif w == _END or w == _START:
-                kind[i] = 0
-        self.kind = np.concatenate([self.kind, kind])
-        self.hash = np.concatenate([self.hash, np.array([zlib.crc32(w) for w in new], np.uint32)])
-        self.count = np.concatenate([self.count, np.full(len(new), -1, np.int64)])
-        new.clear()
-
-    def indices(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.fixed + REMEMBERED:
-            self.index = _Index((w, i) for w, i in self.index.items() if i < self.fixed)
-            self.kind, self.hash, self.count = (x[: self.fixed] for x in (self.kind, self.hash, self.count))
-        out = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
-        self._fill()
-        return out
-
-
-class _Index(dict):
-    def __init__(self, *known):
-        super().__init__(*known)
-        self.new: list[bytes] = []
-
-    def __missing__(self, word):
-        self[word] = k = len(self)
-        self.new.append(word)
-        return k
+        self.centres, self.end_count = centres, end_count
+        data, offsets = flat([w for w, _ in head])
+        words = Words(data, offsets)
+        h = words.hashes(lower=True)
+        kind = self._clusters(data, words.start, words.end)
+        kind[:SINGLES] = 1 + np.arange(min(SINGLES, len(kind)))
+        order = np.argsort(h)
+        self.keys, self.kind, self.count = h[order], kind[order], np.array([c for _, c in head], np.int64)[order]
+
+    def _clusters(self, data, start, end) -> np.ndarray:
+        return (1 + SINGLES + (spellings(data, start, end) @ self.centres.T).argmax(1)).astype(np.uint8)
+
+    def known(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and count of each word; the count is -1 beyond the head."""
+        kind, count = np.zeros(len(h), np.uint8), np.full(len(h), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = self.keys[at] == h
+            kind[hit], count[hit] = self.kind[at[hit]], self.count[at[hit]]
+        else:
+            hit = np.zeros(len(h), bool)
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            _, first, back = np.unique(h[rest], return_index=True, return_inverse=True)
+            kind[rest] = self._clusters(data, start[rest[first]], end[rest[first]])[back]
+        return kind, count
+
+
+class Stream:
+    """The tokens of some texts, words and ends, in order: class, count, place in words (-1: an end), text, and rows of features."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon):
+        self.words = words = Words(data, offsets)
+        self.hashes = h = words.hashes(lower=True)
+        self.sizes = np.diff(words.of) + 1
+        n, texts = len(h) + len(offsets) - 1, len(offsets) - 1
+        self.text = np.repeat(np.arange(texts), self.sizes)
+        end = np.cumsum(self.sizes) - 1
+        inner = np.ones(n, bool)
+        inner[end] = False
+        self.place = np.full(n, -1)
+        self.place[inner] = np.arange(len(h))
+        self.kind, self.count = np.zeros(n, np.uint8), np.full(n, lexicon.end_count, np.int64)
+        self.kind[inner], self.count[inner] = lexicon.known(h, data, words.start, words.end)
+        # Contexts stand in a row with three start marks before each text.
+        row = np.zeros(n + 3 * texts, np.uint32)
+        at = np.arange(n) + 3 * (self.text + 1)
+        row[at[inner]] = (h >> np.uint64(32)).astype(np.uint32)
+        self.rows = rows_of(row[at - 1], row[at - 2], row[at - 3])
 
 
 def rows_of(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> list[np.ndarray]:
@@ -136,50 +145,52 @@ def rows_of(h1: np.ndarray, h2: np.ndarray, h3: np.ndarray) -> list[np.ndarray]:
     return [((x * m) >> shift).astype(np.uint16) for x in (h1, h2 ^ np.uint32(0x5BD1E995), h3 ^ np.uint32(0x1B873593), h1 * np.uint32(0x85EBCA6B) ^ h2 * np.uint32(0xC2B2AE35))]
 
 
-def log_shares(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Log probabilities (natural) of the classes in each context."""
-    z = weights[0][rows[0]] + bias
+def scores_of(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Logits of the classes in each context, within bounds that exp() can take."""
+    z = weights[0].take(rows[0], 0)
     for k in range(1, FEATURES):
-        z += weights[k][rows[k]]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+        z += weights[k].take(rows[k], 0)
+    z += bias
+    return np.clip(z, -60, 60, out=z)
+
+
+def log_shares(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
+    """Log probability (natural) of one class in each context."""
+    z = scores_of(weights, bias, rows)
+    own = z[np.arange(len(kind)), kind]
+    return own - np.log(np.exp(z, out=z).sum(1))
 
 
 class Trainer:
-    """Gradient steps from some weights; used counts the tokens that each row has taken part in."""
+    """Gradient steps from some weights; used counts the tokens that each row has taken part in.
+
+    Weights lie by class here, so that what a step adds to a class's rows is one weighted count.
+    """
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.weights, self.bias = weights.copy(), bias
+        self.by_class, self.bias = np.ascontiguousarray(weights.transpose(0, 2, 1)), bias[:, None]
         self.used = np.zeros(weights.shape[:2], np.int32)
-        self.squares = np.full(weights.shape[:2], 1e-3, np.float32)
+        self.squares = np.full(weights.shape[:2], 1e-3)
+
+    @property
+    def weights(self) -> np.ndarray:
+        return np.ascontiguousarray(self.by_class.transpose(0, 2, 1))
 
     def step(self, rows: list[np.ndarray], kind: np.ndarray) -> None:
-        gradient = -np.exp(log_shares(self.weights, self.bias, rows))
-        gradient[np.arange(len(kind)), kind] += 1
+        z = self.by_class[0].take(rows[0], 1)
+        for k in range(1, FEATURES):
+            z += self.by_class[k].take(rows[k], 1)
+        z += self.bias
+        np.exp(np.clip(z, -60, 60, out=z), out=z)
+        z *= -1 / z.sum(0)
+        z[kind, np.arange(len(kind))] += 1
+        gradient = z.astype(np.float64)
         for k, row in enumerate(rows):
-            order = np.argsort(row, kind="stable")
-            row = row[order]
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            sums = np.add.reduceat(gradient[order], first, axis=0)
-            row = row[first]
-            self.used[k, row] += np.diff(np.append(first, len(order))).astype(np.int32)
-            self.squares[k, row] += np.einsum("ij,ij->i", sums, sums)
-            self.weights[k, row] += sums * (RATE / np.sqrt(self.squares[k, row]))[:, None]
-
-
-def contexts(texts: list[bytes], lexicon: Lexicon):
-    """Tokens of some texts as lexicon indices with START marks, which of them are tokens, and each text's number of them."""
-    flat: list[bytes] = []
-    sizes = []
-    for t in texts:
-        words = t.lower().split()
-        flat += (_START, _START, _START)
-        flat += words
-        flat.append(_END)
-        sizes.append(len(words) + 1)
-    index = lexicon.indices(flat)
-    return flat, index, np.flatnonzero(index != 0), np.array(sizes)
+            sums = np.stack([np.bincount(row, g, 1 << ROW_BITS) for g in gradient])
+            self.used[k] += np.bincount(row, minlength=1 << ROW_BITS).astype(np.int32)
+            self.squares[k] += np.einsum("ij,ij->j", sums, sums)
+            sums *= RATE / np.sqrt(self.squares[k])
+            self.by_class[k] += sums
 
 
 _LEXICONS: dict = {}
@@ -263,10 +274,10 @@ def trained(docs: DataFrame, shared, bias: np.ndarray, volume: int) -> np.ndarra
             for b in batches:
                 data, offsets = utf8(b.column(0))
                 for first, last in slices(offsets):
-                    _, index, at, _ = contexts([data[i:j].tobytes() for i, j in zip(offsets[first:last].tolist(), offsets[first + 1 : last + 1].tolist(), strict=True)], lexicon)
-                    h = lexicon.hash[index]
-                    held.append((rows_of(h[at - 1], h[at - 2], h[at - 3]), lexicon.kind[index[at]]))
-                    n += len(at)
+                    part = offsets[first : last + 1]
+                    stream = Stream(data[part[0] : part[-1]], part - part[0], lexicon)
+                    held.append((stream.rows, stream.kind))
+                    n += len(stream.kind)
                     if n >= STEP:
                         held = learn()
                         n = len(held[0][1])
@@ -297,7 +308,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out.alias("held_out"))
     training = docs.where(~F.col("held_out"))
     ends, volume = training.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    vocabulary = written(word_counts(training))
+    vocabulary = written(word_counts(training), docs)
     words, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = words + ends, distinct + (ends > 0)
 
@@ -318,8 +329,9 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         sums = np.zeros((CLASSES, 2), np.int64)
         lexicon = _lexicon(shared)
         for b in batches:
-            index = lexicon.indices(pa.array(b.column(0)).cast(pa.binary()).to_pylist())
-            kind, c = lexicon.kind[index], b.column(1).to_numpy()
+            data, offsets = utf8(b.column(0))
+            words = Words(data, offsets)
+            kind, c = lexicon.known(words.hashes(lower=True), data, words.start, words.end)[0], b.column(1).to_numpy()
             sums[:, 0] += np.bincount(kind, c, CLASSES).astype(np.int64)
             sums[:, 1] += np.bincount(kind, minlength=CLASSES)
         yield pa.record_batch([pa.array(range(CLASSES), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["kind", "n", "v"])
@@ -340,40 +352,43 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         lexicon = _lexicon(shared)
         for b in batches:
             data, offsets = utf8(b.column(1))
-            row = b.column(3).to_pylist()
+            row = b.column(3).to_numpy()
             out, rest = [], []
             for first, last in slices(offsets):
-                flat, index, at, n = contexts([data[i:j].tobytes() for i, j in zip(offsets[first:last].tolist(), offsets[first + 1 : last + 1].tolist(), strict=True)], lexicon)
-                h, kind, count = lexicon.hash[index], lexicon.kind[index[at]], lexicon.count[index[at]]
-                logs = np.empty(len(at))
-                for i in range(0, len(at), STEP):
-                    part = at[i : i + STEP]
-                    shares = log_shares(weights.value, bias, rows_of(h[part - 1], h[part - 2], h[part - 3]))
-                    logs[i : i + STEP] = shares[np.arange(len(part)), kind[i : i + STEP]]
-                seen = count >= 0
+                part = offsets[first : last + 1]
+                local = data[part[0] : part[-1]]
+                stream = Stream(local, part - part[0], lexicon)
+                kind, count, n = stream.kind, stream.count, stream.sizes
+                logs = np.concatenate([log_shares(weights.value, bias, [r[i : i + STEP] for r in stream.rows], kind[i : i + STEP]) for i in range(0, len(kind), STEP)])
+                seen = count >= 0  # ends always
                 value = np.log10(np.where(seen, count, 0) + 0.5)
                 within = np.where(alone[kind], 0.0, value - room[kind])
                 edge = np.cumsum(n) - n
-                sums = [np.add.reduceat(x, edge) for x in (np.where(seen, within, 0) + logs / np.log(10), np.where(seen, value - base_room, 0), seen & (count > 0))]
+                sums = [np.add.reduceat(x, edge) for x in (np.where(seen, within, 0) + logs / np.log(10), np.where(seen, value - base_room, 0), (count > 0).astype(np.int64))]
                 out.append((n, *sums))
-                of = np.repeat(np.arange(first, last), n)
+                # Tail words of a document, each once.
                 tail = np.flatnonzero(~seen)
-                for (r, w), f in Counter(zip(of[tail].tolist(), [flat[i] for i in at[tail].tolist()], strict=True)).items():
-                    rest.append((row[r], w.decode(), f, int(lexicon.kind[lexicon.index[w]])))
-            n, s, base, known = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 4
-            m, k = len(rest), b.num_rows
-            rest = list(zip(*rest, strict=True)) if m else [()] * 4
-            yield pa.record_batch(
-                [
-                    pa.array([*row, *rest[0]], pa.int64()), pa.concat_arrays([b.column(0), pa.nulls(m, pa.int64())]), pa.concat_arrays([b.column(2), pa.nulls(m, pa.bool_())]),
-                    pa.array([*n.tolist(), *[None] * m], pa.int64()), pa.array([*known.tolist(), *[0] * m], pa.int64()), pa.array([*base.tolist(), *[0.0] * m]), pa.array([*s.tolist(), *[0.0] * m]),
-                    pa.array([*[None] * k, *rest[1]], pa.string()), pa.array([*[None] * k, *rest[2]], pa.int64()), pa.array([*[None] * k, *rest[3]], pa.int32()),
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "f", "kind"],
-            )
+                place, text = stream.place[tail], stream.text[tail]
+                _, once, times = np.unique(stream.hashes[place] + mixed(text.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+                place = place[once]
+                raw = local.tobytes().lower()
+                words = pa.array([raw[i:j] for i, j in zip(stream.words.start[place].tolist(), stream.words.end[place].tolist(), strict=True)], pa.binary()).cast(pa.string())
+                rest.append((row[first + text[once]], words, times, kind[tail[once]]))
+            if not out:
+                continue
+            n, s, base, known = (np.concatenate(x) for x in zip(*out, strict=True))
+            rows, words, times, kinds = zip(*rest, strict=True)
+            m, k = sum(map(len, rows)), b.num_rows
+            zero, none = np.zeros(m), np.zeros(k, np.int64)
+            columns = [
+                pa.array(np.concatenate([row, *rows])), pa.concat_arrays([b.column(0), pa.nulls(m, pa.int64())]), pa.concat_arrays([b.column(2), pa.nulls(m, pa.bool_())]),
+                pa.concat_arrays([pa.array(n), pa.nulls(m, pa.int64())]), pa.array(np.concatenate([known, zero.astype(np.int64)])), pa.array(np.concatenate([base, zero])), pa.array(np.concatenate([s, zero])),
+                pa.concat_arrays([pa.nulls(k, pa.string()), *words]), pa.array(np.concatenate([none, *times])), pa.array(np.concatenate([none, *kinds]).astype(np.int32)),
+            ]
+            yield pa.record_batch(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "f", "kind"])
 
     shape = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word string, f long, kind int"
-    parts = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(scored, shape))
+    parts = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(scored, shape), docs)
     tail = parts.where("word is not null").select("row", "word", "f", "kind").join(vocabulary.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
     value = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)
     rooms = F.array(*[F.lit(float(x)) for x in room])
@@ -384,4 +399,5 @@ def score(docs: DataFrame, held_out) -> DataFrame:
 
 def op2_maxent(spark, sf_dir):
     """op2's digest over the whole documents table."""
-    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 5) == 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compact(score(docs, crc_mod("doc_id", 5) == 1), docs)
