@@ -1,0 +1,202 @@
+"""Scores, clusters and alerts over packet rows, and the classes of interference.
+
+What is closed in form is a column expression or an aggregate. Streaming k-means and the multipath
+test depend on the order of an address's packets, so one processor runs them over an address's rows
+in order, in a batch (`clustered`) as in a stream (`streaming.analyzer`).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..functions.scalars import finite
+from .stats import baseline
+from .joins import against_baseline
+
+
+def scored(values: DataFrame, base: DataFrame | None = None, calibrated: bool = True, least: int = C.BASELINE_FEATURE_LEAST) -> DataFrame:
+    """(adva, number, key, value) -> (adva, number, anomaly_score, anomaly_contributions).
+
+    The score is the root mean square of deviations from the address's baseline, over features with
+    enough values and some spread; what depends on the clock counts only when it is calibrated.
+    """
+    base = baseline(values) if base is None else base
+    d = values.withColumn("value", finite(F.col("value"))).where("value is not null")
+    if not calibrated:
+        d = d.where(~F.col("key").isin(*C.CLOCK_BOUND))
+    z = against_baseline(d, base.where(F.col("n") >= least)).where(F.col("sigma").isNotNull())
+    entries = F.map_from_entries(F.collect_list(F.struct("key", "sigma")))  # at most one entry a feature
+    return z.groupBy("adva", "number").agg(F.sqrt(F.avg(F.col("sigma") * F.col("sigma"))).alias("anomaly_score"), entries.alias("anomaly_contributions"))
+
+
+def baseline_alerts(packets: DataFrame, enrolled: DataFrame, threshold: float = C.ANOMALY_ALERT) -> DataFrame:
+    """Alert texts of packets whose score is over the threshold, where the address's enrollment is valid."""
+    from .ordering import worst
+
+    detail = F.array_join(F.transform(worst(), lambda e: F.format_string("%s %+.1fs", e["key"], e["value"])), ", ")
+    d = packets.join(enrolled.where("valid").select("adva"), "adva", "left_semi").where(F.col("anomaly_score") > threshold)
+    return d.withColumn("alert", F.format_string("feature vector %.1f sigma outside baseline (%s)", "anomaly_score", detail))
+
+
+@dataclass
+class Device:
+    """What is remembered of one address: its clusters and its delay profiles."""
+
+    centres: list = field(default_factory=list)
+    counts: list = field(default_factory=list)
+    radii2: list = field(default_factory=list)
+    packets: int = 0
+    profile: np.ndarray | None = None
+    distances: list = field(default_factory=list)
+
+    def assign(self, x: np.ndarray, split: float = C.CLUSTER_SPLIT, most: int = C.CLUSTERS, slowest: float = C.CLUSTER_RATE) -> int:
+        """The cluster of a whitened vector; a far one founds a new cluster while there is room."""
+        self.packets += 1
+        if self.centres:
+            gaps = np.linalg.norm(np.array(self.centres) - x, axis=1) / np.sqrt(len(x))
+            k = int(gaps.argmin())
+            if gaps[k] <= split or len(self.centres) >= most:
+                self.counts[k] += 1
+                rate = max(slowest, 1 / self.counts[k])
+                self.centres[k] = self.centres[k] + rate * (x - self.centres[k])
+                self.radii2[k] += rate * (gaps[k] ** 2 - self.radii2[k])
+                return k
+        self.centres.append(np.array(x, float))
+        self.counts.append(1)
+        self.radii2.append(0.0)
+        return len(self.centres) - 1
+
+    def separation(self, least: int = C.SEPARATION_PACKETS) -> float:
+        """Distance of the two largest clusters in their own spread; 0 where there are not two."""
+        large = sorted((k for k in range(len(self.counts)) if self.counts[k] >= least), key=lambda k: -self.counts[k])[:2]
+        if len(large) < 2:
+            return 0.0
+        a, b = large
+        gap = np.linalg.norm(self.centres[a] - self.centres[b]) / np.sqrt(len(self.centres[a]))
+        spread = np.sqrt(self.radii2[a] + self.radii2[b])
+        return float(gap / spread) if spread > 1e-9 else 0.0
+
+    def populous(self, least: int = 3) -> int:
+        return sum(n >= least for n in self.counts)
+
+    def profile_step(self, profile: np.ndarray) -> tuple[float, float] | None:
+        """(distance, deviations above the usual) where a delay profile leaves what this device's have been."""
+        found = None
+        if self.profile is not None and self.profile.size == profile.size:
+            d = float(np.linalg.norm(profile - self.profile))
+            self.distances = [*self.distances, d][-C.MULTIPATH_ROWS :]
+            if len(self.distances) >= C.MULTIPATH_LEAST:
+                middle = float(np.median(self.distances))
+                mad = 1.4826 * float(np.median(np.abs(np.array(self.distances) - middle)))
+                if mad > 1e-6 and d > middle + C.MULTIPATH_MADS * mad:
+                    found = (d, (d - middle) / mad)
+            self.profile = C.MULTIPATH_KEEP * self.profile + (1 - C.MULTIPATH_KEEP) * profile
+        else:
+            self.profile = np.array(profile, float)
+        return found
+
+    def alerts(self, adva: str, profile: np.ndarray | None) -> list[str]:
+        out = []
+        if (s := self.separation()) > C.SEPARATION_ALERT and self.packets >= C.SEPARATION_AFTER:
+            out.append(f"two separated feature clusters under {adva} (separation {s:.1f}x their own spread)")
+        if profile is not None and profile.size and (step := self.profile_step(profile)):
+            out.append(f"multipath profile step change (L2 {step[0]:.2f}, {step[1]:.1f} MAD above this device's own baseline)")
+        return out
+
+
+CLUSTERED = "adva string, number long, cluster int, separation double, alerts array<string>"
+
+
+def processed(device: Device, adva: str, rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows (number, vector, optionally profile) of one address in order -> CLUSTERED rows; the device goes along."""
+    out = []
+    profiles = rows["profile"] if "profile" in rows else [None] * len(rows)
+    for number, vector, profile in zip(rows["number"], rows["vector"], profiles, strict=True):
+        x = np.nan_to_num(np.array([np.nan if v is None else v for v in vector], float), nan=0.0, posinf=0.0, neginf=0.0)
+        k = device.assign(x)
+        out.append((adva, number, k, device.separation(), device.alerts(adva, None if profile is None else np.asarray(profile, float))))
+    return pd.DataFrame(out, columns=["adva", "number", "cluster", "separation", "alerts"])
+
+
+def clustered(whitened: DataFrame, keep: str = "vector") -> DataFrame:
+    """(adva, number, vector[, profile]) -> CLUSTERED: each packet's cluster in its address's order.
+
+    The rows of an address are read in order, in batches: no address is held in memory as a whole.
+    """
+    parts = int(whitened.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = whitened.repartition(parts, "adva").sortWithinPartitions("adva", "number")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        adva, device = None, Device()
+        for b in batches:
+            starts = np.flatnonzero(np.append(True, b["adva"].to_numpy()[1:] != b["adva"].to_numpy()[:-1])) if len(b) else []
+            for i, j in zip(starts, [*starts[1:], len(b)], strict=True):
+                rows = b.iloc[i:j]
+                if rows["adva"].iloc[0] != adva:
+                    adva, device = rows["adva"].iloc[0], Device()
+                yield processed(device, adva, rows)
+
+    return ordered.mapInPandas(run, CLUSTERED)
+
+
+def cluster_labels(clusters: DataFrame) -> DataFrame:
+    """CLUSTERED rows with cluster_id: labels of (address, cluster) in the order in which they appear."""
+    from .windows import first_seen_labels
+
+    return clusters.join(first_seen_labels(clusters, ["adva", "cluster"], "number").withColumnRenamed("label", "cluster_id"), ["adva", "cluster"])
+
+
+def address_summary(packets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row for each address, most packets first: strength, intervals, clusters."""
+    from . import stats
+
+    per = clusters.groupBy("adva", "cluster").agg(F.count("*").alias("n")).groupBy("adva").agg(F.count_if(F.col("n") >= 3).cast("long").alias("clusters"))
+    last = clusters.groupBy("adva").agg(F.max_by("separation", "number").alias("cluster_separation"))
+    d = stats.device_tally(packets).select("adva", "packets")
+    for part in (stats.rssi_stats(packets), stats.interval_stats(packets).drop("gaps"), stats.delay_uniformity(packets), per, last):
+        d = d.join(part, "adva", "left")
+    return d.orderBy(F.desc("packets"), "adva")
+
+
+# -- interference ------------------------------------------------------------------------------
+
+
+def interference_class(latency: str = "reaction_latency_us") -> Column:
+    """(class, confidence) of a block by its figures, as the first rule that holds."""
+    c = lambda k: finite(F.col(k))
+    rules = [
+        (c("duty_cycle") < 0.02, "benign", 0.9, "channel essentially idle"),
+        (c(latency) < 50, "reactive", 0.85, "energy follows preambles within microseconds"),
+        ((c("occupied_bandwidth_hz") < 200e3) & (c("duty_cycle") > 0.5), "cw", 0.8, "narrowband, near-continuous"),
+        ((c("occupied_bandwidth_hz") > 3e6) & (c("spectral_kurtosis") < 6), "wideband noise", 0.7, "wide and noise-like"),
+        ((c("on_off_period_ms") > 0.5) & (c("on_off_period_ms") < 20), "wifi/coexistence", 0.6, "bursts with a period of some milliseconds"),
+        (F.coalesce(F.col("swept"), F.lit(False)), "swept", 0.6, "occupied bandwidth varying block to block"),
+        (c("spectral_kurtosis") > 40, "chirped", 0.5, "highly peaked spectrum"),
+    ]
+    out = F.struct(F.lit("benign").alias("classification"), F.lit(0.5).alias("confidence"), F.lit("no distinctive signature").alias("detail"))
+    for condition, name, confidence, detail in reversed(rules):
+        found = F.struct(F.lit(name).alias("classification"), F.lit(confidence).alias("confidence"), F.lit(detail).alias("detail"))
+        out = F.when(F.coalesce(condition, F.lit(False)), found).otherwise(out)
+    return out
+
+
+def classified(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks with figures of each (see dsp.blocks.block_figures) -> with classification, confidence, detail."""
+    from .windows import swept
+
+    d = swept(blocks, keys)
+    if "reaction_latency_us" not in d.columns:
+        d = d.withColumn("reaction_latency_us", F.lit(None).cast("double"))
+    return d.withColumn("_c", interference_class()).select("*", "_c.*").drop("_c")
+
+
+def sampled_blocks(blocks: DataFrame, every: int = 16) -> DataFrame:
+    """Every n-th block, as interference (16) and receiver balance (8) are looked at."""
+    return blocks.where(F.col("block_index") % every == 0)
