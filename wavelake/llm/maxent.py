@@ -37,7 +37,7 @@ from .textarrays import Words, flat, mixed, slices, utf8
 HEAD, SINGLES, CLUSTERS = 1 << 17, 7, 24
 CLASSES = 1 + SINGLES + CLUSTERS
 #: log2 of the rows of a feature's table, features, rounds of training, tokens of a gradient step, its rate.
-ROW_BITS, FEATURES, ROUNDS, STEP, RATE = 13, 4, 2, 15_000, 0.4
+ROW_BITS, FEATURES, ROUNDS, STEP, RATE = 15, 4, 2, 30_000, 0.5
 #: Letter-pair cells, words that k-means reads, words a task counts before it ships.
 CELLS, CLUSTERED, COUNTED = 64, 8192, 300_000
 #: Bytes of text that a training task reads at most where there are tasks enough for all cores.
