@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.scalars import finite, floor_bin
 
-GOOD = (~F.coalesce(F.col("is_event"), F.lit(False))) & F.coalesce(F.col("crc_ok"), F.lit(False)) & (F.coalesce(F.col("adva"), F.lit("")) != "")
+
+def good() -> Column:
+    """A packet, no event, with a right check and an address."""
+    return (~F.coalesce(F.col("is_event"), F.lit(False))) & F.coalesce(F.col("crc_ok"), F.lit(False)) & (F.coalesce(F.col("adva"), F.lit("")) != "")
 
 
 def admitted(packets: DataFrame) -> DataFrame:
     """Rows that analysis reads: packets with a right check and an address."""
-    return packets.where(GOOD)
+    return packets.where(good())
 
 
 def latest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
@@ -117,7 +120,7 @@ def circular(df: DataFrame, angle: Column, keys: list[str], least: int = 8) -> D
 
 def mean_bearing(packets: DataFrame, history: int = 400) -> DataFrame:
     """Mean bearing and its population spread in degrees of each address's last angles within +-90."""
-    d = packets.where(GOOD).withColumn("_a", F.greatest(F.lit(-90.0), F.least(F.lit(90.0), finite(F.col("aoa_deg"))))).where("aoa_deg is not null and _a is not null")
+    d = packets.where(good()).withColumn("_a", F.greatest(F.lit(-90.0), F.least(F.lit(90.0), finite(F.col("aoa_deg"))))).where("aoa_deg is not null and _a is not null")
     d = latest(d, ["adva"], "number", history)
     return d.groupBy("adva").agg(F.degrees(F.atan2(F.avg(F.sin(F.radians("_a"))), F.avg(F.cos(F.radians("_a"))))).alias("bearing_deg"), F.stddev_pop("_a").alias("spread_deg"), F.count("*").alias("n"))
 
