@@ -25,4 +25,12 @@ QUERIES = {
     "op9_wrappers": op9_wrappers,
     "op10_simhash": op10_simhash,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_passages": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ x AS (SELECT doc_id, s, ws[s:s + 19] AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)),
+ r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM x) WHERE k > 1),
+ gone AS (SELECT DISTINCT doc_id, s + i AS p FROM r, range(0, 20) t(i)),
+ every AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+ kept AS (SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.p) AS t FROM every e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id""",
+}
