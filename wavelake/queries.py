@@ -228,11 +228,20 @@ def payload_lengths(spark, sf_dir):
     return d.select("doc_id", F.octet_length("data").cast("long").alias("bytes"))
 
 
-@query()
+_TABLE = "[" + ", ".join(map(str, B._crc_table())) + "]"
+_DIGITS = "WITH d AS (SELECT doc_id, hex(encode(text))[1:80] AS h FROM documents), b AS (SELECT doc_id, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::INT) AS v FROM d) "
+
+
+@query(f"SELECT doc_id, list_reduce(v, lambda c, x: xor(c >> 8, {_TABLE}[(xor(c, x) & 255) + 1]), {B.reflect24(C.ADVERTISING_CRC_INIT)})::BIGINT AS crc FROM b", _DIGITS)
 def crc24(spark, sf_dir):
     return A.payloads(A.table(spark, sf_dir, "documents")).select("doc_id", B.crc24(B.byte_array(F.col("data"))).alias("crc"))
 
 
+@query("SELECT doc_id, line, lpad(lower(hex(line * 16)), 4, '0') || '  ' || rpad(array_to_string(list_transform(v[line * 16 + 1:line * 16 + 16], lambda x: lower(lpad(hex(x), 2, '0'))), ' '), 47, ' ') || '  ' || array_to_string(list_transform(v[line * 16 + 1:line * 16 + 16], lambda x: CASE WHEN x >= 32 AND x < 127 THEN chr(x) ELSE '.' END), '') AS text FROM (SELECT doc_id, v, unnest(range(0, (len(v) + 15) // 16)) AS line FROM b)", _DIGITS)
+def hex_dump(spark, sf_dir):
+    return B.hex_dump(A.payloads(A.table(spark, sf_dir, "documents")), "data", "doc_id").select("doc_id", F.col("line").cast("long"), "text")
+
+
 @query("SELECT doc_id, lower(hex(encode(text)))[1:80] AS back, TRUE AS changed FROM documents", "")
 def whiten_roundtrip(spark, sf_dir):
     d = A.payloads(A.table(spark, sf_dir, "documents")).withColumn("channel", F.pmod("doc_id", F.lit(40))).withColumn("b", B.byte_array(F.col("data")))
@@ -304,6 +313,77 @@ def interval_overlap(spark, sf_dir):
     return d.select(F.col("number_a").alias("number"), F.col("adva_a").alias("adva"), F.col("channel").cast("long")).distinct()
 
 
+@query()
+def advertising_items(spark, sf_dir):
+    """Texts' bytes read as advertising data: a row for each item."""
+    d = A.payloads(A.table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(B.parse_ad("data")).alias("place", "item"))
+    return d.select("doc_id", "place", "item.type", "item.name", "item.value", "item.truncated")
+
+
+@query()
+def parsed_packets(spark, sf_dir):
+    """Texts' bytes read as packets: header, address, check."""
+    d = B.parse_pdu(A.payloads(A.table(spark, sf_dir, "documents")), "data")
+    return d.select("doc_id", "decoded.ok", "decoded.pdu_name", "decoded.length", "decoded.adva_str", "decoded.crc_ok", "decoded.error")
+
+
+def _capture(spark, sf_dir):
+    """Sample blocks of a made-up capture: a packet for each of the table's last events' addresses."""
+    from .dsp.synth import Transmitter, advertisement, blocks, stream
+
+    users = [r.user_id for r in A.table(spark, sf_dir, "events").orderBy(F.desc("event_id")).limit(60).collect()]
+    made = [(advertisement(bytes([u % 256, u // 256, 0, 0, 0xDE, 0xC0]), bytes([2, 1, 6, 3, 9, 65 + u % 26, 66])), Transmitter(cfo_hz=1e3 * (u % 40 - 20), snr_db=30)) for u in users]
+    return blocks(spark, stream(made, seed=1)[0])
+
+
+@query()
+def demodulated_capture(spark, sf_dir):
+    from .dsp.demod import Receiver, demodulate
+
+    return demodulate(_capture(spark, sf_dir), Receiver()).select("session", "abs_sync", "channel", "sync_score", F.hex("pdu").alias("pdu"))
+
+
+@query()
+def measured_capture(spark, sf_dir):
+    from .plans.capture import numbered, packet_rows
+
+    return numbered(packet_rows(_capture(spark, sf_dir))).select("number", "adva", "pdu_name", "crc_ok", *C.VECTOR)
+
+
+@query()
+def interference_blocks(spark, sf_dir):
+    from .dsp.blocks import block_figures
+    from .operators.analysis import classified
+
+    return classified(block_figures(_capture(spark, sf_dir), 8e6), ["session", "epoch"])
+
+
+@query()
+def receiver_calibration(spark, sf_dir):
+    from .dsp.blocks import calibrate
+
+    return calibrate(_capture(spark, sf_dir), 8e6)
+
+
+@query()
+def clustered_vectors(spark, sf_dir):
+    """Vectors whitened by running moments, clustered in each address's order."""
+    from .operators.analysis import cluster_labels, clustered
+
+    w = windows.whitened(_vectors(spark, sf_dir), list(C.VECTOR), "number")
+    return cluster_labels(clustered(w.select("adva", "number", F.array(*[f"{k}_w" for k in C.VECTOR]).alias("vector")))).select("adva", "number", "cluster", "cluster_id", F.round("separation", 6).alias("separation"))
+
+
+@query()
+def address_summary(spark, sf_dir):
+    from .operators.analysis import address_summary as summary
+    from .operators.analysis import clustered
+
+    p = _packets(spark, sf_dir)
+    vectors = stats.admitted(p).select("adva", "number", F.array(F.coalesce("rssi_dbfs", F.lit(0.0)) / 10, F.coalesce("cfo_ppm", F.lit(0.0)) / 10).alias("vector"))
+    return summary(p, clustered(vectors))
+
+
 #: Filters with the SQL condition that each stands for.
 FILTERS = {
     "strength": ("rssi > -60 && crc_ok", "rssi_dbfs > -60 AND crc_ok"),
