@@ -148,7 +148,7 @@ def circular_bearing(spark, sf_dir):
     return d.select("adva", "n", *_r("mean_rad", "resultant", "spread_rad"))
 
 
-@query("SELECT bin, bin * 6.0 - 90 AS from_deg, n AS packets, round(0.15 + 0.8 * n / max(n) OVER (), 6) AS radius FROM (SELECT least(floor((aoa_deg + 90) / 6), 29)::INT AS bin, count(*) AS n FROM packets WHERE aoa_deg BETWEEN -90 AND 90 GROUP BY 1)")
+@query("SELECT bin, (bin * 6.0 - 90)::DOUBLE AS from_deg, n AS packets, round(0.15 + 0.8 * n / max(n) OVER (), 6) AS radius FROM (SELECT least(floor((aoa_deg + 90) / 6), 29)::INT AS bin, count(*) AS n FROM packets WHERE aoa_deg BETWEEN -90 AND 90 GROUP BY 1)")
 def bearing_histogram(spark, sf_dir):
     return stats.bearing_histogram(_packets(spark, sf_dir)).select("bin", F.col("from_deg").cast("double"), "packets", *_r("radius"))
 
