@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ def little_endian(data: Column, n: int) -> Column:
     return sum((F.shiftleft(at_byte(data, k).cast("long"), 8 * k) for k in range(1, n)), at_byte(data, 0).cast("long"))
 
 
+@lru_cache(1)
 def _crc_table() -> list[int]:
     out = []
     for value in range(256):

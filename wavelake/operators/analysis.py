@@ -80,8 +80,7 @@ class Device:
             return 0.0
         a, b = large
         gap = np.linalg.norm(self.centres[a] - self.centres[b]) / np.sqrt(len(self.centres[a]))
-        spread = np.sqrt(self.radii2[a] + self.radii2[b])
-        return float(gap / spread) if spread > 1e-9 else 0.0
+        return float(gap / np.sqrt(max(self.radii2[a] + self.radii2[b], 1e-12)))
 
     def populous(self, least: int = 3) -> int:
         return sum(n >= least for n in self.counts)

@@ -157,6 +157,11 @@ def first_seen_labels(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return seen.withColumn("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first", *keys)) - 1).drop("_first")
 
 
+def colours(df: DataFrame, key: str, order: str, n: int = 16) -> DataFrame:
+    """(key, colour): a number below n for each key, by first appearance."""
+    return first_seen_labels(df, [key], order).select(key, (F.col("label") % n).alias("colour"))
+
+
 def running_moments(df: DataFrame, values: list[str], order: str, block_rows: int = 100_000) -> DataFrame:
     """df with <v>_mean and <v>_std (sample) of all rows up to and with this one, in a global order.
 

@@ -54,3 +54,23 @@ def analyze(packets: DataFrame, enroll: tuple[str, ...] = (), threshold: float =
         out = out.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("anomaly_contributions", F.lit(None).cast("map<string,double>")).withColumn("_baseline_alert", F.lit(None).cast("string"))
     every = F.concat(F.coalesce("_order_alerts", F.array().cast("array<string>")), F.array("_burst_alert", "_baseline_alert"))
     return out.withColumn("alerts", F.array_compact(every)).drop("_order_alerts", "_burst_alert", "_baseline_alert")
+
+
+def tuned(blocks: DataFrame, plan: DataFrame) -> DataFrame:
+    """Blocks with the channel, frequency and epoch in force at their time.
+
+    plan: (session, effective_from, channel, frequency_hz), a row for each retune; epochs count them.
+    """
+    from ..operators.joins import as_of
+
+    w = Window.partitionBy("session").orderBy("effective_from")
+    steps = plan.withColumn("_epoch", F.row_number().over(w) - 1)
+    row = steps.select("session", F.col("effective_from").alias("wall_time"), F.struct("channel", "frequency_hz", "_epoch").alias("_plan"))
+    d = as_of(blocks, row, ["session"], "wall_time", "_plan", "_now")
+    return d.withColumn("channel", F.coalesce("_now.channel", "channel")).withColumn("frequency_hz", F.coalesce("_now.frequency_hz", "frequency_hz")).withColumn("epoch", F.coalesce(F.col("_now._epoch"), F.col("epoch")).cast("int")).drop("_now")
+
+
+def retune_events(plan: DataFrame) -> DataFrame:
+    """Event rows of a plan, to stand among packets."""
+    text = F.format_string("retuned to channel %d (%.0f MHz)", F.col("channel"), F.col("frequency_hz") / 1e6)
+    return plan.select("session", F.col("effective_from").alias("wall_time"), "channel", "frequency_hz", F.lit(True).alias("is_event"), F.lit("retune").alias("event_kind"), text.alias("event_text"), F.lit(False).alias("crc_ok"))
