@@ -35,6 +35,12 @@ def test_blocks_references_and_broken_markup():
     assert [alone(x) for x in ("", "plain < 3", "<p>open <b>x", "<!-- a", "<a href='x", "<div>" * 3000 + "x")] == ["", "plain < 3", "open x", "", "", "x"]
 
 
+def test_names_of_what_holds_the_page():
+    text = "<h1>Title</h1><p>" + "words of the article " * 20 + "</p>"
+    assert alone(f"<body><div class='layout has-sidebar'><div class='sidebar'>Side</div><article><div class='entry-header'><h1>Title</h1></div><p>Words.</p><div class='related'>More</div></article></div></body>") == "Title Words."
+    assert alone(f"<body><div class='page-header'>Top</div><div class='with-sidebar'><div class='content'>{text}</div><div class='side'>x</div></div></body>").startswith("Title words of")
+
+
 def test_options_groups_and_slots():
     pages = [f"<body><h1>T{k}</h1>{'<div class=note0><p>x</p></div>' if k % 2 else ''}{'<p>text</p>' * (k + 1)}<div class=end>same</div></body>" for k in range(4)]
     wrapper = _item(read(pages[0]))

@@ -51,8 +51,11 @@ _CLOSE_P = frozenset("address article aside blockquote center details dialog dir
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
 _OUT = frozenset("head nav footer aside form button select noscript iframe object template svg canvas menu dialog script style title textarea audio video map".split())
 _OUT_NAME = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|topbar|sidebars?|side|widgets?|related|recommended|recommendations?|share|sharing|social|comments?|commentlist|respond|replies|reply|disqus|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|signup|login|toolbar|pagination|pager|skip|copyright|legal|disclaimer|search)(?:[^a-z]|$)"
+    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|topbar|sidebars?|side|widgets?|related|recommended|recommendations?|share|sharing|social|comments?|commentlist|respond|replies|reply|disqus|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|signup|login|toolbar|pagination|pager|skip|copyright|legal|disclaimer|search|complementary|contentinfo|dialog)(?:[^a-z]|$)"
 )
+#: Of these names, ones that also stand on what merely holds such parts: not believed of most of a page's text.
+_WEAK_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|nav|menus?|footer|header|topbar|sidebars?|side|widgets?|related|share|social|promos?|banners?|search)(?:[^a-z]|$)")
+_HEADER = re.compile(r"(?<![a-z])header(?![a-z])")
 _MAIN_NAME = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|main|post|entry|story|body)(?:[^a-z]|$)")
 
 # A wrapper item: [sign, optional, repeated, pages, characters, characters in links, literal or None, items].
@@ -214,12 +217,36 @@ def _mass(item: list) -> tuple[int, int]:
 
 
 def _ruled_out(sign: str, inside: bool) -> bool:
+    """Whether an element's tag or names make it no article text; inside one, headers are its own."""
     tag, _, names = sign.partition(".")
-    return tag in _OUT or tag == "header" and not inside or bool(names) and tag not in ("html", "body") and _OUT_NAME.search(names) is not None
+    if tag in _OUT or tag == "header" and not inside:
+        return True
+    return bool(names) and tag not in ("html", "body") and _OUT_NAME.search(_HEADER.sub("", names) if inside else names) is not None
+
+
+def _spared(wrapper: list) -> list:
+    """The wrapper with weak names taken off items that hold most of its text: these hold the page."""
+    def raw(item):
+        return item[CHARS] + sum(raw(x) for x in item[ITEMS] if x[SIGN].split(".")[0] not in _OUT)
+
+    total = raw(wrapper)
+
+    def spared(item):
+        tag, _, names = item[SIGN].partition(".")
+        out = list(item)
+        if names and tag not in _OUT and _OUT_NAME.search(names) and 2 * raw(item) > total:
+            left = ".".join(n for n in names.split(".") if not _WEAK_NAME.search(n))
+            out[SIGN] = f"{tag}.{left}" if left else tag
+        out[ITEMS] = [spared(x) if 2 * raw(x) > total else x for x in item[ITEMS]]
+        return out
+
+    return spared(wrapper)
 
 
 def judged(wrapper: list) -> list:
     """[sign, whether its text is the article's, items, whether it repeats] of each item of a wrapper."""
+    signs = wrapper
+    wrapper = _spared(wrapper)
     found: dict[int, list] = {1: [], 2: []}
 
     def search(item, path):
@@ -247,7 +274,7 @@ def judged(wrapper: list) -> list:
         if most >= 0.5 * _mass(wrapper)[0]:
             chosen = {id(min((x for x, _ in found[2] if _mass(x)[0] >= 0.8 * most), key=lambda x: _mass(x)[0]))}
 
-    def mark(item, inside, out):
+    def mark(item, own, inside, out):
         out = out or _ruled_out(item[SIGN], inside) if item[SIGN] else out
         inside = inside or id(item) in chosen
         if item[SIGN] == "#":
@@ -257,9 +284,9 @@ def judged(wrapper: list) -> list:
                 constant = item[PAGES] > 2 and item[LITERAL] is not None
                 good = not out and not constant and 2 * item[LINKED] <= item[CHARS]
             return ["#", int(good), [], item[REPEATED]]
-        return [item[SIGN], 0, [mark(x, inside, out) for x in item[ITEMS]], item[REPEATED]]
+        return [own[SIGN], 0, [mark(x, y, inside, out) for x, y in zip(item[ITEMS], own[ITEMS], strict=True)], item[REPEATED]]
 
-    return mark(wrapper, not chosen, False)
+    return mark(wrapper, signs, not chosen, False)
 
 
 def extracted(page: list, wrapper: list) -> str:
