@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="wavelake-")
+        local = tempfile.mkdtemp(prefix="wavelake-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = "file://" + local
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/wavelake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
