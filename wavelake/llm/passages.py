@@ -51,15 +51,38 @@ def _windows(data: np.ndarray, offsets: np.ndarray, size: int):
 
 
 def _packed(cells: np.ndarray) -> bytes:
-    return pa.compress(np.diff(cells, prepend=np.uint32(0)).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+    """Gaps of ascending cells by planes of bytes, of which the high ones compress to little."""
+    gaps = np.diff(cells, prepend=np.uint32(0)).astype("<u4")
+    return pa.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes, size: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(pa.decompress(packed, size * 4, codec="zstd", asbytes=True), np.uint32), dtype=np.uint32)
+    planes = np.frombuffer(pa.decompress(packed, size * 4, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0], dtype=np.uint32)
 
 
-def sketch(docs: DataFrame, size: int, bits: int) -> list[np.ndarray]:
-    """For each row of the sketch, bits of the cells whose counter is two or more."""
+class Sketch:
+    """For each row of a sketch, bits of the cells whose counter is two or more; compressed on its way to the workers."""
+
+    def __init__(self, rows: list[np.ndarray], bits: int):
+        self.rows, self.bits = rows, bits
+
+    def __getstate__(self):
+        return self.bits, [pa.compress(r.tobytes(), codec="zstd", asbytes=True) for r in self.rows]
+
+    def __setstate__(self, state):
+        self.bits, rows = state
+        self.rows = [np.frombuffer(pa.decompress(r, 1 << (self.bits - 3), codec="zstd"), np.uint8) for r in rows]
+
+    def maybe_repeated(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for row, cells in zip(self.rows, _cells(h, self.bits), strict=True):
+            out &= (row[cells >> np.uint32(3)] >> (np.uint8(7) - (cells & np.uint32(7)).astype(np.uint8))) & np.uint8(1) != 0
+        return out
+
+
+def sketch(docs: DataFrame, size: int, bits: int) -> Sketch:
+    """The merged sketch of all windows of docs."""
     low = bits - BLOCK_BITS
 
     def shipped(held: list[np.ndarray]):
@@ -122,14 +145,7 @@ def sketch(docs: DataFrame, size: int, bits: int) -> list[np.ndarray]:
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(2)]
     for r in blocks.toLocalIterator():
         out[r.row][r.block << (low - 3) : (r.block + 1) << (low - 3)] = np.frombuffer(pa.decompress(bytes(r.bits), 1 << (low - 3), codec="zstd", asbytes=True), np.uint8)
-    return out
-
-
-def _maybe_repeated(rows: list[np.ndarray], bits: int, h: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for row, cells in zip(rows, _cells(h, bits), strict=True):
-        out &= (row[cells >> np.uint32(3)] >> (np.uint8(7) - (cells & np.uint32(7)).astype(np.uint8))) & np.uint8(1) != 0
-    return out
+    return Sketch(out, bits)
 
 
 def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
@@ -139,14 +155,14 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Words have some six bytes: four times as many cells as windows, as long as the bound allows.
     bits = min(most_bits, max(LEAST_BITS, int(volume / 1.7).bit_length()))
-    rows = spark.sparkContext.broadcast(sketch(texts, size, bits))
+    seen = spark.sparkContext.broadcast(sketch(texts, size, bits))
 
     def firsts(held):
         ids, starts, h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((starts, ids, h2, h1))
         ids, starts, h1, h2 = (x[order] for x in (ids, starts, h1, h2))
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        return pa.record_batch([pa.array(h1[new].view(np.int64)), pa.array(h2[new]), pa.array(ids[new]), pa.array(starts[new].astype(np.int32))], ["h1", "h2", "id", "start"])
+        return pa.record_batch([pa.array(h1[new].view(np.int64)), pa.array(h2[new].astype(np.int64) << 32 | starts[new]), pa.array(ids[new])], ["h1", "rest", "id"])
 
     def candidates(batches):
         held, n = [], 0
@@ -159,7 +175,7 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS
                 if not len(at):
                     continue
                 h1 = window_hashes(h, at, size)
-                maybe = _maybe_repeated(rows.value, bits, h1)
+                maybe = seen.value.maybe_repeated(h1)
                 at, h1 = at[maybe], h1[maybe]
                 if not len(at):
                     continue
@@ -173,7 +189,9 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS
             yield firsts(held)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(candidates, "h1 long, h2 int, id long, start int").repartition(parts, "h1", "h2")
+    # Two numbers share a long: rows are shuffled by the million.
+    found = texts.mapInArrow(candidates, "h1 long, rest long, id long").repartition(parts, "h1")
+    found = found.select("h1", F.shiftright("rest", 32).alias("h2"), "id", F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"))
     least = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"))
     keys = least.select(F.col("first.id").alias("_kept_id"), F.shiftleft(F.col("first.start").cast("long"), 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     keys = keys.groupBy("_kept_id").agg(F.collect_list("key").alias("_kept_keys"))
@@ -203,7 +221,7 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS
                     fits = place < words.of[of + 1]
                     kept_at = np.full(n, -1, np.int64)
                     kept_at[place[fits]] = own[fits] & 0xFFFFFFFF
-                    again = at[_maybe_repeated(rows.value, bits, h1) & (kept_at[at] != (h1 & np.uint64(0xFFFFFFFF)).astype(np.int64))]
+                    again = at[seen.value.maybe_repeated(h1) & (kept_at[at] != (h1 & np.uint64(0xFFFFFFFF)).astype(np.int64))]
                     cover = np.zeros(n + 1, np.int32)
                     np.add.at(cover, again, 1)
                     np.subtract.at(cover, again + size, 1)
