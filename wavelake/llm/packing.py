@@ -32,8 +32,8 @@ from .textarrays import Words, slices, utf8
 
 LENGTH, END_ID = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Units whose ids a worker remembers; rows of a bucket of a queue; rounds of a block of the stream.
-REMEMBERED, BUCKET_ROWS, BLOCK_ROUNDS = 1_500_000, 20_000, 256
+#: Units whose ids a worker remembers; rows of all queues' buckets of one number at most; buckets of small inputs; rounds of a block of the stream.
+REMEMBERED, BUCKET_ROWS, LEAST_BUCKETS, BLOCK_ROUNDS = 1_500_000, 2_500, 256, 256
 
 
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
@@ -174,7 +174,8 @@ def positions(rows: DataFrame, weights: dict | None = None, length: int = LENGTH
     which all queues end together.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    buckets = max(1, -(-rows.count() // bucket_rows))
+    count = rows.count()
+    buckets = max(1, min(LEAST_BUCKETS, count // 50), -(-count // bucket_rows))
     order = F.xxhash64(F.lit(1), "doc_id")
     d = rows.select("row", "doc_id", "n", key.alias("queue"), order.alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     totals = d.groupBy("queue", "bucket").agg(F.sum("n").alias("total"))
