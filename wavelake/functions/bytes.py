@@ -20,9 +20,9 @@ LONGEST = 260
 
 def byte_array(data: Column) -> Column:
     """A binary as an array of ints 0 to 255."""
-    digits = F.hex(data)
     n = F.octet_length(data)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))).when(n == 0, F.array().cast("array<int>"))
+    one = lambda i: F.conv(F.hex(F.substr(data, i + 1, F.lit(1))), 16, 10).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).when(n == 0, F.array().cast("array<int>"))
 
 
 def from_bytes(values: Column) -> Column:
@@ -77,8 +77,8 @@ def crc24_from_air(data: Column) -> Column:
 
 def dewhitened(values: Column, channel: Column) -> Column:
     """An array of bytes xored with its channel's keystream; applying it twice gives the bytes back."""
-    streams = F.array(*[F.lit(np.frombuffer(keystream(c, LONGEST), np.uint8).astype(np.int32).tolist()) for c in range(40)])
-    own = F.slice(F.element_at(streams, channel.cast("int") + 1), 1, F.size(values))
+    streams = F.lit(b"".join(keystream(c, LONGEST) for c in range(40)))
+    own = byte_array(F.substr(streams, channel.cast("int") * LONGEST + 1, F.size(values)))
     return F.zip_with(values, own, lambda a, b: a.bitwiseXOR(b))
 
 
