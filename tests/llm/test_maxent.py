@@ -60,7 +60,7 @@ def test_gradient_steps_learn_a_context():
     rows = maxent.rows_of(*h)
     for _ in range(80):
         trainer.step(rows, kind)
-    assert np.exp(maxent.log_shares(trainer.weights, trainer.bias, rows, kind)).mean() > 0.9
+    assert np.exp(maxent.log_shares(trainer.weights, trainer.bias[:, 0], rows, kind)).mean() > 0.9
     assert trainer.used.sum() == 80 * 4000 * maxent.FEATURES
 
 
