@@ -41,6 +41,10 @@ def vectors(embeddings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return embeddings.select(F.col("label").cast("string").alias("adva"), F.col("vec_id").alias("number"), *[F.get("embedding", F.lit(i)).cast("double").alias(k) for i, k in enumerate(keys)])
 
 
+#: Bytes that the longest text has at most.
+WHOLE = 1 << 30
+
+
 def payloads(documents: DataFrame, n: int = 40) -> DataFrame:
-    """(doc_id, data): up to n bytes of each text, as payloads; a packet holds so many."""
+    """(doc_id, data): up to n bytes of each text, as payloads; WHOLE: all of them."""
     return documents.select("doc_id", F.substr(F.col("text").cast("binary"), F.lit(1), F.lit(n)).alias("data"))

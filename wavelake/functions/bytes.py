@@ -136,15 +136,15 @@ def ad_items(payload: bytes | None) -> list[tuple] | None:
     """Items of advertising data up to a length of zero; one that runs over the end is a truncated last item."""
     if payload is None:
         return None
-    out, rest = [], bytes(payload)
-    while rest and rest[0]:
-        n = rest[0]
-        if n + 1 > len(rest):
-            out.append((None, "Truncated AD structure", rest, None, True))
+    out, data, at = [], bytes(payload), 0
+    while at < len(data) and data[at]:
+        end = at + data[at] + 1
+        if end > len(data):
+            out.append((None, "Truncated AD structure", data[at:], None, True))
             break
-        kind, raw = rest[1], rest[2 : n + 1]
+        kind, raw = data[at + 1], data[at + 2 : end]
         out.append((kind, AD_TYPES.get(kind, f"Unknown (0x{kind:02X})"), raw, ad_value(kind, raw), False))
-        rest = rest[n + 1 :]
+        at = end
     return out
 
 

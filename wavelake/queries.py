@@ -315,15 +315,15 @@ def interval_overlap(spark, sf_dir):
 
 @query()
 def advertising_items(spark, sf_dir):
-    """Texts' bytes read as advertising data: a row for each item."""
-    d = A.payloads(A.table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(B.parse_ad("data")).alias("place", "item"))
+    """Whole texts' bytes read as advertising data: a row for each item."""
+    d = A.payloads(A.table(spark, sf_dir, "documents"), A.WHOLE).select("doc_id", F.posexplode(B.parse_ad("data")).alias("place", "item"))
     return d.select("doc_id", "place", "item.type", "item.name", "item.value", "item.truncated")
 
 
 @query()
 def parsed_packets(spark, sf_dir):
-    """Texts' bytes read as packets: header, address, check."""
-    d = B.parse_pdu(A.payloads(A.table(spark, sf_dir, "documents")), "data")
+    """Whole texts' bytes read as packets: header, address, check."""
+    d = B.parse_pdu(A.payloads(A.table(spark, sf_dir, "documents"), A.WHOLE), "data")
     return d.select("doc_id", "decoded.ok", "decoded.pdu_name", "decoded.length", "decoded.adva_str", "decoded.crc_ok", "decoded.error")
 
 
