@@ -73,3 +73,15 @@ def test_packets_of_whole_texts(spark, odd_texts):
             assert rows[i].ok == (len(data) >= 5 and data[1] + 5 <= len(data))
             assert rows[i].crc_ok == (rows[i].ok and int.from_bytes(data[data[1] + 2 : data[1] + 5], "little") == crc24(data[: data[1] + 2]))
     assert rows[2].ok and rows[3].ok and not rows[0].ok
+
+
+def test_captures_hold_every_event(spark, tmp_path):
+    users = {k: [70_000, 3, 255, 256][k % 4] + k // 4 for k in range(150)}
+    rows = [(k, u) for k, u in users.items()] + [(7, 1000)] * 70 + [(None, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted(f"C0:DE:00:00:{u // 256 % 256:02X}:{u % 256:02X}" for u in ((r[1] or 0) for r in rows))
+    found = QUERIES["measured_capture"](spark, str(tmp_path)).collect()
+    assert sorted(r.adva for r in found) == want and all(r.crc_ok for r in found)
+    assert len({(r.session, r.number) for r in found}) == len(rows) == QUERIES["demodulated_capture"](spark, str(tmp_path)).count()
+    for name in ("interference_blocks", "receiver_calibration"):
+        assert {r.session for r in QUERIES[name](spark, str(tmp_path)).select("session").distinct().collect()} == {r.session for r in found}

@@ -328,12 +328,10 @@ def parsed_packets(spark, sf_dir):
 
 
 def _capture(spark, sf_dir):
-    """Sample blocks of a made-up capture: a packet for each of the table's last events' addresses."""
-    from .dsp.synth import Transmitter, advertisement, blocks, stream
+    """Sample blocks of made-up captures: a packet for the address of each of the table's events."""
+    from .dsp.synth import captures
 
-    users = [r.user_id for r in A.table(spark, sf_dir, "events").orderBy(F.desc("event_id")).limit(60).collect()]
-    made = [(advertisement(bytes([u % 256, u // 256, 0, 0, 0xDE, 0xC0]), bytes([2, 1, 6, 3, 9, 65 + u % 26, 66])), Transmitter(cfo_hz=1e3 * (u % 40 - 20), snr_db=30)) for u in users]
-    return blocks(spark, stream(made, seed=1)[0])
+    return captures(A.table(spark, sf_dir, "events"))
 
 
 @query()
@@ -347,7 +345,7 @@ def demodulated_capture(spark, sf_dir):
 def measured_capture(spark, sf_dir):
     from .plans.capture import numbered, packet_rows
 
-    return numbered(packet_rows(_capture(spark, sf_dir))).select("number", "adva", "pdu_name", "crc_ok", *C.VECTOR)
+    return numbered(packet_rows(_capture(spark, sf_dir))).select("session", "number", "adva", "pdu_name", "crc_ok", *C.VECTOR)
 
 
 @query()
