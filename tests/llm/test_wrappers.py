@@ -2,6 +2,8 @@ import html
 import json
 import re
 
+import pytest
+
 from wavelake.llm.wrappers import _item, extract, extracted, judged, merged, op9_wrappers, read
 
 from .conftest import SF
@@ -62,3 +64,12 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     found = extract(pages).collect()
     assert len(found) == 4 and sorted(len(r.text) for r in found) == [0, 0, 999_999, 999_999] and extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [199, 201, 5000])
+def test_constant_texts_of_any_length_go(spark, size):
+    notice = ("the same notice on all pages " * 200)[:size].strip()
+    own = [f"page {k} has this text of its own, " * 12 for k in range(4)]
+    pages = [(k, f"http://plain.example/{k}", f"<html><body><div><p>{t}</p></div><div><div>{notice}</div></div></body></html>") for k, t in enumerate(own)]
+    found = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {k: t.strip() for k, t in enumerate(own)}

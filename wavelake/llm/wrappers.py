@@ -21,6 +21,7 @@ end it (a block tag closes a paragraph, the end closes all).
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -58,7 +59,7 @@ _WEAK_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|nav|menus?|footer|header|topbar|si
 _HEADER = re.compile(r"(?<![a-z])header(?![a-z])")
 _MAIN_NAME = re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|main|post|entry|story|body)(?:[^a-z]|$)")
 
-# A wrapper item: [sign, optional, repeated, pages, characters, characters in links, literal or None, items].
+# A wrapper item: [sign, optional, repeated, pages, characters, characters in links, literal (see _literal) or None, items].
 SIGN, OPTIONAL, REPEATED, PAGES, CHARS, LINKED, LITERAL, ITEMS = range(8)
 
 
@@ -126,10 +127,15 @@ def read(page: str) -> list:
     return root
 
 
+def _literal(text: str) -> str | list:
+    """What stands for a text in a wrapper: itself, or the length and hash of a long one."""
+    return text if len(text) <= 200 else [len(text), hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()]
+
+
 def _item(node: list) -> list:
     """The wrapper of one page's tree, its repeats folded."""
     if node[0] == "#":
-        return ["#", 0, 0, 1, len(node[1]), node[2], node[1] if len(node[1]) <= 200 else None, []]
+        return ["#", 0, 0, 1, len(node[1]), node[2], _literal(node[1]), []]
     return [node[0], 0, 0, 1, 0, 0, None, _folded([_item(x) for x in node[1]])]
 
 
