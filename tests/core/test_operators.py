@@ -60,7 +60,10 @@ def test_missing_values_and_formats(spark):
     d = spark.createDataFrame([(1.5,), (float("nan"),), (float("inf"),), (None,)], "x double")
     assert [r[0] for r in S.all_finite(d).collect()] == [1.5, None, None, None] and [r[0] for r in d.select(S.cell(F.col("x"), 2)).collect()] == ["1.50", "", "", ""]
     m = spark.createDataFrame([((5.0, 0.5, "ppm", False, 0.0, 4.0),), ((None, None, "", True, None, None),)], "m struct<value double,uncertainty double,units string,calibrated boolean,spec_low double,spec_high double>")
-    assert [r[0] for r in m.select(S.format_measurement(F.col("m"))).collect()] == ["5.000 +/- 0.500 ppm [UNCALIBRATED]", "n/a"]
+    assert [r[0] for r in m.select(S.format_measurement(F.col("m"))).collect()] == ["5 +/- 0.5 ppm  [UNCALIBRATED]", "n/a"]
+    assert [r[0] for r in m.select(S.spec_text(F.col("m"))).collect()] == ["0 .. 4 ppm", "-"]
+    numbers = spark.createDataFrame([(0.0,), (1234.56,), (123456.0,), (0.00012345,), (-0.000012345,), (9999.9,)], "x double")
+    assert [r[0] for r in numbers.select(S.general(F.col("x"), 4)).collect()] == ["0", "1235", "1.235e+05", "0.0001235", "-1.235e-05", "1e+04"]
     assert [r[0] for r in m.select(S.in_spec(F.col("m.value"), F.col("m.spec_low"), F.col("m.spec_high"))).collect()] == [False, None]
     assert [r[0] for r in spark.createDataFrame([(-50.0,), (-80.0,)], "x double").select(S.floor_bin(F.col("x"), 3)).collect()] == [-51, -81]
 
@@ -92,6 +95,40 @@ def test_running_moments_do_not_depend_on_blocks(spark):
             assert rows[i].x_mean == pytest.approx(np.mean(seen)) and rows[i].x_std == pytest.approx(np.std(seen, ddof=1))
 
 
+def test_running_sums_and_moments_by_key(spark):
+    random = np.random.default_rng(3)
+    rows = [("ab"[k % 2], 10_000 * k + int(random.integers(0, 9)), 1e9 + float(random.normal())) for k in range(120)]
+    d = spark.createDataFrame(rows, "k string, number long, x double")
+    found = windows.running_moments(windows.running_sums(d, {"total": F.lit(1)}, "number", ["k"], 50_000), ["x"], "number", 30_000, ["k"]).collect()
+    for r in found:
+        seen = [x for k, n, x in rows if k == r.k and n <= r.number]
+        assert r.total == r.x_n == len(seen) and r.x_mean == pytest.approx(np.mean(seen), rel=1e-14)
+        assert r.x_std is None if len(seen) < 2 else r.x_std == pytest.approx(np.std(seen, ddof=1), rel=1e-6)
+    labels = windows.first_seen_labels(d.withColumn("key", F.col("number") % 7), ["key"], "number", size=100_000).collect()
+    first = {}
+    for _, n, _ in sorted(rows, key=lambda r: r[1]):
+        first.setdefault(n % 7, len(first))
+    assert {r.key: r.label for r in labels} == first
+
+
+def test_as_of_in_stretches(spark):
+    random = np.random.default_rng(6)
+    left = [(k % 3 if k % 11 else None, float(random.integers(0, 1000)) + 0.5, k) for k in range(150)]
+    right = [(k % 3 if k % 7 else None, float(t), float(t)) for k, t in enumerate(random.permutation(1000)[:60])]
+    l, r = spark.createDataFrame(left, "k int, t double, i int"), spark.createDataFrame(right, "k int, t double, v double")
+    whole, parts = (sorted((x.i, x.got) for x in joins.as_of(l, r, ["k"], "t", "v", "got", span).collect()) for span in (None, 37.0))
+    assert [w for w in whole] == [p for p in parts] == sorted((i, max((v for q, s, v in right if q == k and s <= t), default=None)) for k, t, i in left)
+
+
+def test_best_split_equals_the_windows(spark):
+    random = np.random.default_rng(8)
+    v = np.concatenate([random.normal(1e6, 2, 60), random.normal(1e6 + 30, 3, 90)])
+    r = windows.two_mode_split(spark.createDataFrame([("a", float(x)) for x in v], "k string, v double"), ["k"], "v").first()
+    sigma, low, high, n = analysis.best_split(v)
+    assert (sigma, low, high, n) == (pytest.approx(r.sigma), pytest.approx(r.low_mean), pytest.approx(r.high_mean), r.n_low) and sigma > 8
+    assert analysis.best_split(v[:10])[0] == 0 and analysis.best_split(np.ones(50))[0] == 0
+
+
 def test_gates_islands_and_spans(spark):
     d = spark.createDataFrame([(1, p, s) for p, s in ((0, 0.7), (1, 0.9), (2, 0.9), (10, 0.8), (11, 0.7))], "k int, p long, s double")
     assert sorted((r.p, r.s) for r in windows.islands(d, ["k"], "p", "s", 3).collect()) == [(1, 0.9), (10, 0.8)]
@@ -206,7 +243,14 @@ def test_calibration_history(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{no json")
     assert files.calibration_history(spark, str(tmp_path / "bad.json")).count() == 0
     c = spark.createDataFrame([(True, -1.0, -50.0, 1.0, None), (False, -12.0, -30.0, 1.1, 0.2)], "clipping boolean, peak_dbfs double, dc_magnitude_dbfs double, gain_imbalance double, antenna_coherence double")
-    assert [(len(r.notes), r.ok) for r in stats.judged_calibration(c).collect()] == [(1, False), (3, False)]
+    notes = stats.judged_calibration(c).collect()
+    # Notes on what is known (level, DC, gain ratio, clock, antennas), good or bad.
+    assert [(len(r.notes), r.ok) for r in notes] == [(4, False), (5, False)]
+    assert notes[0].notes[0].startswith("clips at -1.0") and notes[1].notes[0].startswith("level is good") and "large" in notes[1].notes[1] and "much" in notes[1].notes[2] and "check both" in notes[1].notes[4]
+    level = spark.createDataFrame([(-5.0,), (-20.0,), (-31.0,), (None,)], "peak_dbfs double")
+    assert [r.notes[0][:20] for r in stats.judged_calibration(level).collect()] == ["peak of -5.0 dBFS is", "level is good at -20", "peak of -31.0 dBFS i", "clock has no referen"]
+    sinks.write_history(old, str(tmp_path / "w.json"))
+    assert files.calibration_history(spark, str(tmp_path / "w.json")).agg(F.min("ts"), F.max("ts")).first() == (5.0, 204.0)
 
 
 def test_charts(spark, packets):
@@ -217,6 +261,9 @@ def test_charts(spark, packets):
     d = charts.direction(packets)
     assert d["rays"].count() > 0 and d["density"].count() > 0 and d["points"].count() > 0 and "split" in d
     assert charts.status(packets).first().packets == packets.count() and "packets" in sinks.console_report(packets)
+    table = charts.packet_table(packets, 3, dbm=True)
+    assert len(table.columns) == 17 and {f.name: f.metadata["title"] for f in table.schema.fields}["rssi"] == "RSSI (dBm)" and table.schema["cfo_ppm"].metadata["title"] == "CFO (ppm) *"
+    assert len(sinks.console_report(packets, most=2).splitlines()) == 4 and "more devices" in sinks.console_report(packets, most=2)
     base = stats.baseline(windows.unpivoted(A.vectors(A.table(spark, SF, "embeddings"), C.VECTOR), C.VECTOR))
     assert charts.ellipses(base, "cfo_ppm", "drift_hz").groupBy("k").count().count() == 2
 

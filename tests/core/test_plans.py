@@ -9,7 +9,7 @@ from wavelake.dsp.measure import Burst
 from wavelake.dsp.synth import Transmitter, advertisement, blocks, burst, crc24, stream
 from wavelake.functions.register import register
 from wavelake.operators import windows
-from wavelake.plans.capture import analyze, retune_events, tuned
+from wavelake.plans.capture import analyze, controlled, numbered, retune_events, tuned
 from wavelake.constants import VECTOR
 
 LEGIT = dict(cfo_hz=18e3, modulation_index=0.505, bt=0.5, ramp_us=2.0, drift_hz=6e3)
@@ -35,7 +35,20 @@ def test_two_transmitters_behind_one_address(spark, measured):
     found = analyze(measured, enroll=("bb",)).cache()
     assert found.count() == 180
     assert found.groupBy("adva").agg(F.count_distinct("cluster_id").alias("n")).where("n between 1 and 4").count() == 2
-    assert found.where("adva = 'BB' and anomaly_score is not null").count() == 90 and found.where("adva = 'AA' and anomaly_score is not null").count() == 0
+    assert found.where("adva = 'BB' and anomaly_score is not null").count() == 81 and found.where("adva = 'AA' and anomaly_score is not null").count() == 0
+    # A baseline counts the packets so far: no score before the tenth, no alert before it is valid.
+    bb = found.where("adva = 'BB'").orderBy("number").collect()
+    enrolled = lambda r: any("enrolled baseline" in a for a in r.alerts)
+    assert not any(map(enrolled, bb))
+    strict = analyze(measured.withColumn("calibrated", F.lit(True)), enroll=("BB",), threshold=0.1, needed=(40, 3, 2)).where("adva = 'BB'").orderBy("number").collect()
+    assert [enrolled(r) for r in strict] == [False] * 39 + [True] * 51
+    aa = [r for r in found.where("adva = 'AA'").orderBy("number").collect()]
+    modes = [k + 1 for k, r in enumerate(aa) if any("two modes" in a for a in r.alerts)]
+    assert modes and set(modes) <= {64, 80}
+    kinds = ["two separated", "two modes", "at once", "enrolled baseline", "delay profile"]
+    for r in aa + strict:
+        order = [next(k for k, text in enumerate(kinds) if text in a) for a in r.alerts]
+        assert order == sorted(order)
     split = {r.adva: r for r in windows.bimodal(measured, VECTOR).collect()}
     assert split["AA"].alert and not split["BB"].alert and split["AA"].key in ("cfo_ppm", "drift_hz", "drift_rate", "rise_time_us", "modulation_index")
 
@@ -59,6 +72,15 @@ def test_retunes(spark):
     assert retune_events(plan).orderBy("wall_time").collect()[1].event_text == "retuned to channel 38 (2426 MHz)"
 
 
+def test_commands_and_numbers(spark):
+    made = blocks(spark, np.zeros(16_384 * 6, np.complex64)).withColumn("wall_time", F.col("block_index").cast("double"))
+    commands = spark.createDataFrame([("s", 1.0, "gain", 30), ("s", 2.0, "clear", None), ("s", 4.0, "clear", None), ("s", 4.5, "gain", 20)], "session string, effective_from double, kind string, gain_db int")
+    assert [(r.gain_db, r.counter) for r in controlled(made, commands).orderBy("block_index").collect()] == [(45, 0), (30, 0), (30, 1), (30, 1), (30, 2), (20, 2)]
+    rows = [("s", e, k * 700) for e in (0, 1) for k in range(40)] + [("t", 0, 5)]
+    found = numbered(spark.createDataFrame(rows, "session string, epoch int, sample_index long"), span=1000).orderBy("session", "epoch", "sample_index").collect()
+    assert [r.number for r in found] == [*range(1, 81), 1]
+
+
 def test_sql_functions(spark):
     names = register(spark)
     packet = advertisement(bytes(range(1, 7)), bytes.fromhex("03094142"))

@@ -43,6 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     from .plans.capture import analyze, numbered, packet_rows
     from .plans.filters import filtered
     from .sources import files, sinks
+    from .tables import held
 
     plan = ChannelPlan(args.channel, args.freq, args.access_address, args.crc_init)
     spark = SparkSession.builder.appName("wavelake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -53,8 +54,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.blocks:
         receiver = Receiver(args.sample_rate, plan.channel, plan.access_address)
-        packets = numbered(packet_rows(files.sample_blocks(spark, args.blocks), receiver, not args.no_spectra, args.rssi_cal, block_samples=args.block_size))
-        packets = analyze(packets, tuple(args.enroll))
+        packets = held(packet_rows(files.sample_blocks(spark, args.blocks), receiver, not args.no_spectra, args.rssi_cal, block_samples=args.block_size))
+        packets = held(analyze(numbered(packets), tuple(args.enroll)))
     elif args.packets:
         packets = files.parquet_sessions(spark, args.packets)
     else:

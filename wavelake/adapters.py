@@ -45,6 +45,14 @@ def vectors(embeddings: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 WHOLE = 1 << 30
 
 
-def payloads(documents: DataFrame, n: int = 40) -> DataFrame:
-    """(doc_id, data): up to n bytes of each text, as payloads; WHOLE: all of them."""
+def payloads(documents: DataFrame, n: int = WHOLE) -> DataFrame:
+    """(doc_id, data): each text's bytes, the first n of them, as payloads."""
     return documents.select("doc_id", F.substr(F.col("text").cast("binary"), F.lit(1), F.lit(n)).alias("data"))
+
+
+def pieces(documents: DataFrame, n: int = 32) -> DataFrame:
+    """(doc_id, part, data): all of each text's bytes as payloads of n, the last one of what is left; one without bytes has an empty one."""
+    raw = F.col("text").cast("binary")
+    last = F.greatest(F.floor((F.coalesce(F.octet_length(raw), F.lit(0)) - 1) / n), F.lit(0))
+    d = documents.select("doc_id", F.coalesce(raw, F.lit(b"")).alias("_raw"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("part"))
+    return d.select("doc_id", "part", F.substr("_raw", F.col("part") * n + 1, F.lit(n)).alias("data"))

@@ -28,6 +28,7 @@ CLOCK_BOUND = ("cfo_ppm", "drift_hz", "drift_rate", "symbol_clock_ppm")
 #: Limits of the standard: (least, most).
 LIMITS = {"cfo_hz": (-150e3, 150e3), "drift_hz": (-50e3, 50e3), "drift_rate": (-20e3, 20e3), "modulation_index": (0.45, 0.55), "deviation": (225e3, 275e3)}
 
+# Fixed values, from here on: thresholds that results depend on.
 # Demodulation.
 GATE_DB, GATE_US, FLOOR_QUANTILE, FLOOR_ALPHA = 8.0, 4.0, 0.15, 0.05
 SYNC_THRESHOLD, SYNC_AGREEMENT, SYNC_GAP_SYMBOLS = 0.62, 0.85, 8
@@ -47,8 +48,9 @@ MULTIPATH_ROWS, MULTIPATH_LEAST, MULTIPATH_MADS, MULTIPATH_KEEP = 64, 32, 6.0, 0
 INTERVAL_CAP_US, HISTORY = 11_000_000.0, 256
 
 # Charts and tables.
-SERIES_ROWS, TRACKED, DRAWN, SERIES_GAP_S, TABLE_ROWS, SCATTER_ROWS = 600, 96, 8, 5.0, 20_000, 4000
+SERIES_ROWS, TRACKED, DRAWN, SERIES_GAP_S, TABLE_ROWS, SCATTER_ROWS, NOISE_ROWS = 600, 96, 8, 5.0, 20_000, 4000, 1800
 PEAK_DECAY_DB = 0.35
 
-# Calibration.
-CLIP, PEAK_TARGET, CALIBRATION_HISTORY = 0.98, (-15.0, -10.0), 200
+# Calibration: clipping, peaks (dBFS) and how far below them the gain is low, DC (dBFS), gain ratio (percent), coherence.
+CLIP, PEAK_TARGET, PEAK_SLACK, CALIBRATION_HISTORY = 0.98, (-15.0, -10.0), 15.0, 200
+DC_MOST, GAIN_MOST_PERCENT, COHERENCE_FAULT, COHERENCE_GOOD = -40.0, 5.0, 0.3, 0.7

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from ..constants import ADVERTISING_CRC_INIT, CRC_POLYNOMIAL_REFLECTED
 from ..dims import AD_TYPES, COMPANIES, FLAGS, PDU_TYPES, keystream, lookup
 
-#: Bytes of the longest whitened packet: header, payload and check.
-LONGEST = 260
+#: Bytes after which a keystream starts anew.
+PERIOD = 127
 
 
 def byte_array(data: Column) -> Column:
@@ -77,9 +77,10 @@ def crc24_from_air(data: Column) -> Column:
 
 def dewhitened(values: Column, channel: Column) -> Column:
     """An array of bytes xored with its channel's keystream; applying it twice gives the bytes back."""
-    streams = F.lit(b"".join(keystream(c, LONGEST) for c in range(40)))
-    own = byte_array(F.substr(streams, channel.cast("int") * LONGEST + 1, F.size(values)))
-    return F.zip_with(values, own, lambda a, b: a.bitwiseXOR(b))
+    streams = F.lit(b"".join(keystream(c, PERIOD) for c in range(40)))
+    round_ = F.hex(F.substr(streams, channel.cast("int") * PERIOD + 1, F.lit(PERIOD)))
+    own = F.unhex(F.repeat(round_, F.ceil(F.size(values) / PERIOD).cast("int")))
+    return F.zip_with(values, byte_array(F.substr(own, F.lit(1), F.size(values))), lambda a, b: a.bitwiseXOR(b))
 
 
 def bits_to_bytes(bits: Column) -> Column:

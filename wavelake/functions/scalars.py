@@ -79,12 +79,29 @@ def in_spec(value: Column, low: Column, high: Column) -> Column:
     return F.when(finite(value).isNotNull() & (low.isNotNull() | high.isNotNull()), F.coalesce(value >= low, F.lit(True)) & F.coalesce(value <= high, F.lit(True)))
 
 
+def general(x: Column, digits: int) -> Column:
+    """A number with so many digits that count, without zeros at the end; with an exponent below 1e-4 and from 10 ** digits on."""
+    s = F.when(finite(x).isNotNull(), F.format_string(f"%.{digits - 1}e", x))
+    power = F.substring_index(s, "e", -1).cast("int")
+    bare = lambda t: F.regexp_replace(t, r"\.?0+$", "") if digits > 1 else t
+    mantissa = F.substring_index(s, "e", 1)
+    plain = s.cast(f"decimal(38,{digits + 4})").cast("string")
+    return F.when(x == 0, "0").when((power >= -4) & (power < digits), bare(plain)).otherwise(F.concat(F.when(mantissa.contains("."), bare(mantissa)).otherwise(mantissa), F.lit("e"), F.substring_index(s, "e", -1)))
+
+
 def format_measurement(m: Column) -> Column:
-    """`value +/- uncertainty units [UNCALIBRATED]` of a measurement struct."""
-    value = F.when(finite(m["value"]).isNull(), "n/a").otherwise(F.format_string("%.4g", m["value"]))
-    spread = F.when(finite(m["uncertainty"]).isNotNull(), F.format_string(" +/- %.3g", m["uncertainty"])).otherwise("")
+    """`value +/- uncertainty units  [UNCALIBRATED]` of a measurement struct."""
+    spread = F.when(finite(m["uncertainty"]).isNotNull(), F.concat(F.lit(" +/- "), general(m["uncertainty"], 3))).otherwise("")
     units = F.when(F.length(m["units"]) > 0, F.concat(F.lit(" "), m["units"])).otherwise("")
-    return F.concat(value, spread, units, F.when(m["calibrated"], "").otherwise(" [UNCALIBRATED]"))
+    text = F.concat(general(m["value"], 4), spread, units, F.when(m["calibrated"], "").otherwise("  [UNCALIBRATED]"))
+    return F.when(finite(m["value"]).isNull(), "n/a").otherwise(text)
+
+
+def spec_text(m: Column) -> Column:
+    """`low .. high units` of a measurement struct; a dash without limits."""
+    number = lambda x: F.when((x == F.floor(x)) & (F.abs(x) < 1e9), x.cast("long").cast("string")).otherwise(general(x, 6))
+    low, high = F.coalesce(number(m["spec_low"]), F.lit("-inf")), F.coalesce(number(m["spec_high"]), F.lit("+inf"))
+    return F.when(m["spec_low"].isNull() & m["spec_high"].isNull(), "-").otherwise(F.trim(F.concat(low, F.lit(" .. "), high, F.lit(" "), F.coalesce(m["units"], F.lit("")))))
 
 
 def cell(x: Column, digits: int) -> Column:

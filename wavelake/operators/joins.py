@@ -38,17 +38,30 @@ def session_report(sessions: DataFrame) -> DataFrame:
     return per.join(pairs, "adva").withColumn("warning", F.lit(WARNING)).orderBy("adva")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, to: str) -> DataFrame:
-    """left with the value of right's latest row at or before its time, by union and one window.
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, to: str, span: float | None = None) -> DataFrame:
+    """left with the value of right's latest row at or before its time, by union and windows.
 
     Rows of both sides share one sort by key and time, so no pairs are formed, whatever the counts.
+    With a span of time, the sort is within a key's stretches of that length, and what a stretch
+    begins with comes from the last row of those before (a row for each): a hot key is many tasks' work.
     """
     columns = left.columns
     l = left.withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("_side", F.lit(1))  # noqa: E741
     r = right.select(*keys, F.col(time), F.col(value).alias("_v")).withColumn("_side", F.lit(0))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(to, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*columns, to)
+    if span is None:
+        w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn(to, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*columns, to)
+    both = both.withColumn("_stretch", F.floor(F.col(time) / span))
+    spans = both.groupBy(*keys, F.col("_stretch").alias("_at")).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(time))).alias("_end"))
+    w = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_at", F.last("_end", ignorenulls=True).over(w).alias("_before"))
+    w = Window.partitionBy(*keys, "_stretch").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_own", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    same = F.col("_stretch").eqNullSafe(F.col("_at"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return both.join(spans, same, "left").select(*columns, F.coalesce("_own", "_before").alias(to))
 
 
 def reaction_latency(onsets: DataFrame, preambles: DataFrame, keys: list[str], time: str = "time_us", last: int = 64, least: int = 3) -> DataFrame:

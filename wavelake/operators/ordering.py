@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -15,8 +15,8 @@ def busiest(df: DataFrame, n: int = C.DRAWN, focus: str | None = None) -> DataFr
     """(adva, packets) of the n addresses with most rows (first seen first among equals); with a known focus, that one alone."""
     counts = df.groupBy("adva").agg(F.count("*").alias("packets"), F.min("number").alias("first"))
     if focus is not None:
-        known = counts.withColumn("_focus", F.max(F.col("adva") == focus).over(Window.partitionBy(F.lit(0))))
-        counts = known.where((F.col("adva") == focus) | ~F.col("_focus")).drop("_focus")
+        known = counts.agg(F.coalesce(F.max(F.col("adva") == focus), F.lit(False)).alias("_focus"))  # one row
+        counts = counts.join(F.broadcast(known)).where((F.col("adva") == focus) | ~F.col("_focus")).drop("_focus")
     return counts.orderBy(F.desc("packets"), "first").limit(n).select("adva", "packets")
 
 

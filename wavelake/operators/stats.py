@@ -83,7 +83,7 @@ def bit_error_profile(positions: DataFrame) -> DataFrame:
     half = F.floor((F.col("top") + 1) / 2)
     tail = d.agg(F.sum("errors").alias("_all"), F.sum(F.when(F.col("position") >= half, F.col("errors")).otherwise(0)).alias("_tail"))
     share = F.col("_tail") / F.col("_all")
-    verdict = F.when(share > 0.7, "errors clustered late in the packet: collision or reactive emitter").when(share < 0.3, "errors clustered early: likely sync or ramp related").otherwise("errors spread uniformly: consistent with broadband noise")
+    verdict = F.when(share > 0.7, "late in the packet: a collision, or an emitter that reacts").when(share < 0.3, "early in the packet: synchronisation or the ramp").otherwise("all over the packet: broadband noise")
     return d.join(F.broadcast(tail.withColumn("verdict", verdict))).select("position", "errors", (F.col("errors") / F.col("_all")).alias("share"), "verdict")
 
 
@@ -148,18 +148,36 @@ def calibration_drift(history: DataFrame, key: str) -> DataFrame:
 
 
 def judged_calibration(c: DataFrame) -> DataFrame:
-    """Calibration rows with notes on what is out of range, and ok."""
+    """Calibration rows with notes on what was found, and ok.
+
+    A note each on the level, DC, gain ratio, skew, reference clock and temperature, where they are
+    known, and on the antennas where both heard packets. Clipping and incoherent antennas are faults.
+    """
     low, high = C.PEAK_TARGET
+    have = {f.name for f in c.schema.fields}
+    v = lambda k: finite(F.col(k)) if k in have else F.lit(None).cast("double")
+    yes = lambda k: F.coalesce(F.col(k), F.lit(False)) if k in have else F.lit(False)
+    say = F.format_string
+    peak, dc, gain, skew, degrees, coherence = (v(k) for k in ("peak_dbfs", "dc_magnitude_dbfs", "gain_imbalance", "quadrature_skew_deg", "temperature_c", "antenna_coherence"))
+    heard = v("antenna_packets")
+    some = coherence.isNotNull() & (F.coalesce(heard, F.lit(1 if "antenna_packets" not in have else 0)) > 0)
+    percent = 100 * F.abs(gain - 1)
     notes = [
-        F.when(F.col("clipping"), "the receiver clips: lower the gain"),
-        F.when(F.col("peak_dbfs") < low, "peaks lie low: raise the gain"),
-        F.when(~F.col("clipping") & (F.col("peak_dbfs") > high), "peaks lie high: lower the gain"),
-        F.when(F.col("dc_magnitude_dbfs") > -40, "DC offset above -40 dBFS"),
-        F.when(F.abs(F.col("gain_imbalance") - 1) > 0.05, "gain imbalance over 5 %"),
-        F.when(F.col("antenna_coherence") < 0.3, "antennas are not coherent").when(F.col("antenna_coherence") < 0.7, "antennas are weakly coherent"),
+        F.when(yes("clipping"), F.when(peak.isNotNull(), say("clips at %.1f dBFS: lower the gain, amplitudes are not valid", peak)).otherwise("clips: lower the gain, amplitudes are not valid"))
+        .when(peak > high, say("peak of %.1f dBFS is high: lower the gain by about %.0f dB", peak, peak - (low + high) / 2))
+        .when(peak < low - C.PEAK_SLACK, say("peak of %.1f dBFS is low: the gain could be %.0f dB higher", peak, (low + high) / 2 - peak))
+        .when(peak.isNotNull(), say("level is good at %.1f dBFS", peak)),
+        F.when(dc > C.DC_MOST, say("DC of %.1f dBFS is large, the receiver's own correction is due", dc)).when(dc.isNotNull(), say("DC of %.1f dBFS, taken out", dc)),
+        F.when(percent > C.GAIN_MOST_PERCENT, say("gain ratio is off by %.1f %%, much", percent)).when(gain.isNotNull(), say("gain ratio is off by %.2f %%, taken out", percent)),
+        F.when(skew.isNotNull(), say("skew of %+.2f degrees, taken out", skew)),
+        F.when(yes("calibrated_reference"), "clock is locked to a reference").otherwise("clock has no reference: offsets compare within this session only"),
+        F.when(degrees.isNotNull(), say("receiver at %.1f degrees C", degrees)),
+        F.when(some & (coherence < C.COHERENCE_FAULT), say("antennas do not hear the same (coherence %.2f): check both", coherence))
+        .when(some & (coherence < C.COHERENCE_GOOD), say("antennas agree in part (coherence %.2f): bearings are noisy", coherence))
+        .when(some, say("antennas agree (coherence %.2f): subtract their phase offset", coherence)),
     ]
-    faults = F.coalesce(F.col("clipping"), F.lit(False)) | F.coalesce(F.col("antenna_coherence") < 0.3, F.lit(False))
-    return c.withColumn("notes", F.array_compact(F.array(*notes))).withColumn("ok", ~faults)
+    faults = yes("clipping") | F.coalesce(some & (coherence < C.COHERENCE_FAULT), F.lit(False))
+    return c.withColumns({"notes": F.array_compact(F.array(*notes)), "ok": ~faults})
 
 
 def kurtosis(df: DataFrame, x: str, keys: list[str]) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions.scalars import finite
+from ..tables import held
 from .stats import admitted, latest
 
 
@@ -87,7 +93,7 @@ def peak_hold(df: DataFrame, bin_: str, frame: str, db: str, decay: float = C.PE
 
 
 def change_points(df: DataFrame, keys: list[str], order: str, value: str, least: float = 1e-6, epoch: str | None = None) -> DataFrame:
-    """The rows at which a trace changes by more than least; with epoch, `new_epoch` marks where the line breaks."""
+    """The rows at which a trace changes by more than least; with epoch, also those of a new epoch, and `moved` and `new_epoch` tell which."""
     w = Window.partitionBy(*keys).orderBy(order)
     d = df.withColumn(value, finite(F.col(value))).where(F.col(value).isNotNull())
     before = F.lag(value).over(w)
@@ -95,7 +101,7 @@ def change_points(df: DataFrame, keys: list[str], order: str, value: str, least:
     if epoch is None:
         return d.withColumn("_moved", moved).where("_moved").drop("_moved")
     fresh = F.coalesce(F.lag(epoch).over(w) != F.col(epoch), F.lit(False))
-    return d.withColumn("new_epoch", fresh).withColumn("_moved", moved | F.col("new_epoch")).where("_moved").drop("_moved")
+    return d.withColumn("new_epoch", fresh).withColumn("moved", moved).where("moved or new_epoch")
 
 
 def bin_breaks(df: DataFrame, bin_: str, width: float) -> DataFrame:
@@ -137,7 +143,11 @@ def energetic_spans(df: DataFrame, keys: list[str], index: str, on: Column, befo
 
 
 def lost_samples(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks with `lost`: samples missing before them by the clock, where this and the last block's clock are valid."""
+    """Blocks' clocks with `lost`: samples missing before them, where this and the last block's clock are valid.
+
+    Binary columns are left out, so that no samples are sorted.
+    """
+    blocks = blocks.drop(*[f.name for f in blocks.schema.fields if f.dataType.simpleString() == "binary"])
     w = Window.partitionBy(*keys).orderBy("block_index")
     gap = F.col("first_sample") - (F.lag("first_sample").over(w) + F.lag("n_samples").over(w))
     both = F.col("timestamp_valid") & F.coalesce(F.lag("timestamp_valid").over(w), F.lit(False))
@@ -151,10 +161,11 @@ def swept(blocks: DataFrame, keys: list[str], rows: int = 240, least: int = 8, s
     return d.withColumn("bandwidth_spread", F.stddev_pop("_b").over(w)).withColumn("swept", (F.count("*").over(w) > least) & F.coalesce(F.col("bandwidth_spread") > spread_hz, F.lit(False))).drop("_b")
 
 
-def first_seen_labels(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """(keys, label): numbers in the order in which keys first appear. One row for each key is ranked."""
-    seen = df.groupBy(*keys).agg(F.min(order).alias("_first"))
-    return seen.withColumn("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first", *keys)) - 1).drop("_first")
+def first_seen_labels(df: DataFrame, keys: list[str], order: str, size: int = 1_000_000) -> DataFrame:
+    """(keys, label): numbers in the order in which keys first appear. One row for each key, ranked in blocks of the order."""
+    seen = held(df.groupBy(*keys).agg(F.min(order).alias("_first")))
+    ranked = running_sums(seen, {"label": F.lit(1)}, "_first", size=size, ties=keys)
+    return ranked.select(*keys, (F.col("label") - 1).alias("label"))
 
 
 def colours(df: DataFrame, key: str, order: str, n: int = 16) -> DataFrame:
@@ -162,35 +173,99 @@ def colours(df: DataFrame, key: str, order: str, n: int = 16) -> DataFrame:
     return first_seen_labels(df, [key], order).select(key, (F.col("label") % n).alias("colour"))
 
 
-def running_moments(df: DataFrame, values: list[str], order: str, block_rows: int = 100_000) -> DataFrame:
-    """df with <v>_mean and <v>_std (sample) of all rows up to and with this one, in a global order.
+def _earlier(totals: DataFrame, names: list[str], keys: list[str], size: int) -> DataFrame:
+    """(keys, _block, sums) -> the sums over a key's blocks before each, in blocks of blocks: no window holds more than `size` of them."""
+    up = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    t = totals.withColumn("_group", F.floor(F.col("_block") / size))
+    g = t.groupBy(*keys, "_group").agg(*[F.sum(n).alias(n) for n in names])
+    g = g.select(*keys, "_group", *[zero(F.sum(n).over(up(*(keys or [F.lit(0)])).orderBy("_group"))).alias(f"_g_{n}") for n in names])
+    t = t.join(g, [*keys, "_group"])
+    return t.select(*keys, "_block", *[(zero(F.sum(n).over(up(*keys, "_group").orderBy("_block"))) + F.col(f"_g_{n}")).alias(f"_0_{n}") for n in names])
+
+
+def running_sums(df: DataFrame, sums: dict[str, Column], order: str, keys: list[str] = (), size: int = 100_000, ties: list[str] = ()) -> DataFrame:
+    """df with a running total of each of `sums` up to and with the row, in the order (a number) within keys without nulls.
 
-    Two levels: rows fall into blocks by a range of the order (an integer, dense or nearly so), block
-    totals are summed over the blocks before (one row for each block), and a window runs within blocks.
+    Rows fall into blocks by a range of the order, blocks into blocks of blocks; windows run within
+    these, so neither a hot key nor a sparse order is one task's work.
+    """
+    keys, names = list(keys), list(sums)
+    d = df.withColumn("_block", F.floor(F.col(order) / size)).withColumns({f"_s_{n}": c for n, c in sums.items()})
+    before = _earlier(held(d.groupBy(*keys, "_block").agg(*[F.sum(f"_s_{n}").alias(n) for n in names])), names, keys, size)
+    run = Window.partitionBy(*keys, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(before, [*keys, "_block"])
+    return d.select(*df.columns, *[(F.sum(f"_s_{n}").over(run) + F.col(f"_0_{n}")).alias(n) for n in names])
+
+
+def moments(df: DataFrame, values: list[str], order: str, block_rows: int = 100_000, keys: list[str] = ()) -> DataFrame:
+    """df with `_x`, its finite values as an array, and `_moments`: for each the (n, mean, std) of all rows of its key up to and with this one.
+
+    std is the sample's, null below two rows. As running_sums(), in blocks of an order (a number); what
+    earlier blocks sum to comes first in each block's rows, which are gone through in Arrow batches. All
+    sums are taken about the mean of the key's first block, so that large means lose no digits.
+    """
+    keys = list(keys)
+    d = df.withColumns({"_block": F.floor(F.col(order) / block_rows), "_x": F.array(*[finite(F.col(v)) for v in values])})
+    # Totals and their sums over earlier blocks: one row for each block and value, whatever their number.
+    t = d.select(*keys, "_block", F.posexplode("_x").alias("_p", "_v")).groupBy(*keys, "_block", "_p").agg(F.count("_v").alias("n"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_q"))
+    t = held(t)
+    centre = t.groupBy(*keys, "_p").agg(F.min_by("_m", F.when(F.col("n") > 0, F.col("_block"))).alias("c"))
+    t = t.join(centre, [*keys, "_p"]).selectExpr(*keys, "_block", "_p", "n", "coalesce(n * (_m - c), 0D) a", "coalesce(n * (_q + (_m - c) * (_m - c)), 0D) q")
+    before = _earlier(t, ["n", "a", "q"], [*keys, "_p"], block_rows).join(centre, [*keys, "_p"])
+    place = F.struct(F.col("_p").alias("p"), F.col("_0_n").cast("double").alias("n"), F.col("_0_a").alias("a"), F.col("_0_q").alias("q"), F.coalesce("c", F.lit(0.0)).alias("c"))
+    before = before.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(place)).alias("_before"))
+    rows = d.withColumn("_row", F.lit(True)).unionByName(before.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *keys, "_block").sortWithinPartitions(*keys, "_block", "_row", order)
+    columns, wide = rows.columns, len(values)
+    kept = [c for c in columns if c not in ("_block", "_before", "_row")]
+    moment = pa.struct([("n", pa.int64()), ("mean", pa.float64()), ("std", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = a = q = c = None
+        for b in batches:
+            is_row = b.column(columns.index("_row")).to_numpy(zero_copy_only=False).astype(bool)
+            before, x = b.column(columns.index("_before")), b.column(columns.index("_x"))
+            out, edges = [], np.append(np.flatnonzero(~is_row), len(is_row))
+            for i, j in zip([0, *edges[:-1]], edges, strict=True):
+                if i < len(is_row) and not is_row[i]:
+                    n, a, q, c = (np.array([e[k] for e in before[int(i)].as_py()]) for k in "naqc")
+                    i += 1
+                if i >= j:
+                    continue
+                part = x.slice(int(i), int(j - i)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, wide)
+                seen = np.isfinite(part)
+                y = np.where(seen, part - c, 0.0)
+                ns, as_, qs = n + np.cumsum(seen, 0), a + np.cumsum(y, 0), q + np.cumsum(y * y, 0)
+                n, a, q = ns[-1], as_[-1], qs[-1]
+                some = np.maximum(ns, 1)
+                mean, std = c + as_ / some, np.sqrt(np.maximum((qs - as_ * as_ / some) / np.maximum(ns - 1, 1), 0))
+                flat = [pa.array(ns.reshape(-1).astype(np.int64)), pa.array(mean.reshape(-1), mask=(ns < 1).reshape(-1)), pa.array(std.reshape(-1), mask=(ns < 2).reshape(-1))]
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) * wide + 1, wide), pa.int32()), pa.StructArray.from_arrays(flat, fields=list(moment))))
+            if out:
+                rest = b.filter(pa.array(is_row))
+                yield pa.RecordBatch.from_arrays([*[rest.column(columns.index(k)) for k in kept], pa.concat_arrays(out)], [*kept, "_moments"])
+
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name in kept], T.StructField("_moments", T.ArrayType(T.StructType([T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])))])
+    return rows.mapInArrow(run, schema).select(*df.columns, "_x", "_moments")
+
+
+def running_moments(df: DataFrame, values: list[str], order: str, block_rows: int = 100_000, keys: list[str] = ()) -> DataFrame:
+    """df with <v>_n, <v>_mean and <v>_std (sample) of all rows of its key up to and with this one, see moments()."""
+    d = moments(df, values, order, block_rows, keys)
+    return d.selectExpr(*[f"`{c}`" for c in df.columns], *[f"_moments[{i}].{k} as `{v}_{k}`" for i, v in enumerate(values) for k in ("n", "mean", "std")])
+
+
+def whitened(df: DataFrame, values: list[str], order: str, block_rows: int = 100_000, vector: str | None = None) -> DataFrame:
+    """df with <v>_w, or all of them as one array named by vector: each value less the running mean, in running deviations.
+
+    A deviation of none counts as one, a missing value as 0.
     """
-    d = df.withColumn("_block", F.floor(F.col(order) / block_rows))
-    x = {v: finite(F.col(v)) for v in values}
-    totals = d.groupBy("_block").agg(*[e for v in values for e in (F.count(x[v]).alias(f"_n_{v}"), F.coalesce(F.sum(x[v]), F.lit(0.0)).alias(f"_s_{v}"), F.coalesce(F.sum(x[v] * x[v]), F.lit(0.0)).alias(f"_q_{v}"))])
-    over = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_block", *[F.coalesce(F.sum(f"_{k}_{v}").over(over), F.lit(0)).alias(f"_{k}0_{v}") for v in values for k in "nsq"])
-    d = d.join(before, "_block")
-    run = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    for v in values:
-        n = F.col(f"_n0_{v}") + F.count(x[v]).over(run)
-        s = F.col(f"_s0_{v}") + F.coalesce(F.sum(x[v]).over(run), F.lit(0.0))
-        q = F.col(f"_q0_{v}") + F.coalesce(F.sum(x[v] * x[v]).over(run), F.lit(0.0))
-        mean = F.try_divide(s, n)
-        d = d.withColumn(f"{v}_mean", mean).withColumn(f"{v}_std", F.when(n > 1, F.sqrt(F.greatest((q - s * mean) / (n - 1), F.lit(0.0)))))
-    return d.drop("_block", *[f"_{k}0_{v}" for v in values for k in "nsq"])
-
-
-def whitened(df: DataFrame, values: list[str], order: str, block_rows: int = 100_000) -> DataFrame:
-    """df with <v>_w: each value less the running mean, in running deviations; a deviation of none counts as one, a missing value as 0."""
-    d = running_moments(df, values, order, block_rows)
-    for v in values:
-        scale = F.when(F.col(f"{v}_std") > 1e-12, F.col(f"{v}_std")).otherwise(1.0)
-        d = d.withColumn(f"{v}_w", F.coalesce((finite(F.col(v)) - F.col(f"{v}_mean")) / scale, F.lit(0.0)))
-    return d.drop(*[f"{v}_{k}" for v in values for k in ("mean", "std")])
+    d = moments(df, values, order, block_rows)
+    d = d.withColumn("_w", F.expr("zip_with(_x, _moments, (x, m) -> coalesce((x - m.mean) / if(m.std > 1e-12D, m.std, 1D), 0D))"))
+    own = [f"`{c}`" for c in df.columns]
+    return d.selectExpr(*own, f"_w as `{vector}`") if vector else d.selectExpr(*own, *[f"_w[{i}] as `{v}_w`" for i, v in enumerate(values)])
 
 
 def rates(df: DataFrame, time: Column, seconds: int = 1) -> DataFrame:

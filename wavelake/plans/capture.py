@@ -9,6 +9,7 @@ from .. import constants as C
 from ..dsp.demod import Receiver, demodulate
 from ..dsp.measure import measure
 from ..functions.bytes import parse_pdu
+from ..operators.windows import running_sums
 
 
 def packet_rows(blocks: DataFrame, receiver: Receiver = Receiver(), full: bool = True, rssi_cal_db: float | None = None, antenna_cal_rad: float = 0.0, block_samples: int = 16_384) -> DataFrame:
@@ -25,35 +26,63 @@ def packet_rows(blocks: DataFrame, receiver: Receiver = Receiver(), full: bool =
     return out.withColumn("is_event", F.lit(False)).withColumn("event_kind", F.lit("")).withColumn("event_text", F.lit("")).withColumn("access_address", F.lit(receiver.access_address).cast("long")).withColumn("alerts", F.array().cast("array<string>"))
 
 
-def numbered(packets: DataFrame) -> DataFrame:
-    """packets with `number`: 1, 2, ... in each session by epoch and sample."""
-    return packets.withColumn("number", F.row_number().over(Window.partitionBy("session").orderBy("epoch", "sample_index")).cast("long"))
+def numbered(packets: DataFrame, span: int = 1 << 30) -> DataFrame:
+    """packets with `number`: 1, 2, ... in each session by epoch and sample, counted in stretches of `span` samples."""
+    d = running_sums(packets, {"_own": F.lit(1)}, "sample_index", ["session", "epoch"], span)
+    w = Window.partitionBy("session").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    epochs = packets.groupBy("session", "epoch").agg(F.count("*").alias("_n")).select("session", "epoch", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return d.join(epochs, ["session", "epoch"]).select(*packets.columns, (F.col("_before") + F.col("_own")).cast("long").alias("number"))
 
 
-def analyze(packets: DataFrame, enroll: tuple[str, ...] = (), threshold: float = C.ANOMALY_ALERT) -> DataFrame:
+#: Measurements that are looked at for two modes: the vector's and the bearing.
+BIMODAL = (*C.VECTOR, "aoa_deg")
+
+
+def analyze(packets: DataFrame, enroll: tuple[str, ...] = (), threshold: float = C.ANOMALY_ALERT, needed: tuple[int, int, int] = (C.ENROLL_PACKETS, C.ENROLL_TEMPERATURES, C.ENROLL_DISTANCES)) -> DataFrame:
     """Packet rows with cluster_id, anomaly_score, contributions and alerts, as a batch.
 
-    Vectors are whitened by running moments, clustered in each address's order, scored against the
-    baselines of enrolled addresses.
+    Vectors are whitened by running moments and clustered in each address's order; enrolled addresses
+    are scored against their baseline as it is at each packet. A packet's alerts are, in this order:
+    two clusters, two modes of a measurement, too many packets at once, a baseline left, a delay
+    profile left. Needed: packets, whole degrees and bands of strength that make a baseline valid.
     """
     from ..operators import analysis, stats, windows
 
+    have = set(packets.columns)
     good = stats.admitted(packets)
-    white = windows.whitened(good.select("adva", "number", "profile", *C.VECTOR), list(C.VECTOR), "number")
-    clusters = analysis.cluster_labels(analysis.clustered(white.select("adva", "number", F.array(*[f"{k}_w" for k in C.VECTOR]).alias("vector"), "profile")))
-    out = packets.drop("alerts").join(clusters.select("adva", "number", "cluster_id", "separation", F.col("alerts").alias("_order_alerts")), ["adva", "number"], "left")
-    burst = windows.bursts(packets).where("burst").select("adva", "number", F.format_string("%d packets from %s inside one advertising event", "recent", "adva").alias("_burst_alert"))
+    none = F.lit(None).cast("double")
+    more = [F.col("profile") if "profile" in have else F.lit(None).cast("array<float>").alias("profile")]
+    values = F.array(*[F.col(k).cast("double") if k in have else none for k in BIMODAL]).alias("values")
+    white = windows.whitened(good.select("adva", "number", *C.VECTOR, *more, values), list(C.VECTOR), "number", vector="vector").select("adva", "number", "vector", "profile", "values")
+    clusters = analysis.cluster_labels(analysis.clustered(white, BIMODAL))
+    kinds = ["cluster_alert", "bimodal_alert", "multipath_alert"]
+    out = packets.drop("alerts").join(clusters.select("adva", "number", "cluster_id", "separation", *kinds), ["adva", "number"], "left")
+    burst = windows.bursts(packets).where("burst").select("adva", "number", F.format_string("%d packets of %s at once", "recent", "adva").alias("burst_alert"))
     out = out.join(burst, ["adva", "number"], "left")
     if enroll:
         own = good.where(F.upper("adva").isin(*[a.upper() for a in enroll]))
-        scores = analysis.scored(windows.unpivoted(own, C.VECTOR))
-        valid = stats.enrollment(own)
-        alerts = analysis.baseline_alerts(scores, valid, threshold).select("adva", "number", F.col("alert").alias("_baseline_alert"))
-        out = out.join(scores, ["adva", "number"], "left").join(alerts, ["adva", "number"], "left")
+        own = own if "calibrated" in have else own.withColumn("calibrated", F.lit(False))
+        scores = analysis.running_scores(own, needed=needed)
+        scores = scores.select("adva", "number", "anomaly_score", "anomaly_contributions", analysis.baseline_alert(threshold).alias("baseline_alert"))
+        out = out.drop("anomaly_score", "anomaly_contributions").join(scores, ["adva", "number"], "left")
     else:
-        out = out.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("anomaly_contributions", F.lit(None).cast("map<string,double>")).withColumn("_baseline_alert", F.lit(None).cast("string"))
-    every = F.concat(F.coalesce("_order_alerts", F.array().cast("array<string>")), F.array("_burst_alert", "_baseline_alert"))
-    return out.withColumn("alerts", F.array_compact(every)).drop("_order_alerts", "_burst_alert", "_baseline_alert")
+        out = out.withColumns({"anomaly_score": none, "anomaly_contributions": F.lit(None).cast("map<string,double>"), "baseline_alert": F.lit(None).cast("string")})
+    order = ["cluster_alert", "bimodal_alert", "burst_alert", "baseline_alert", "multipath_alert"]
+    return out.withColumn("alerts", F.array_compact(F.array(*order))).drop(*order)
+
+
+def controlled(blocks: DataFrame, commands: DataFrame) -> DataFrame:
+    """Blocks with the gain in force at their time, and `counter`: how many clear commands were given by then.
+
+    commands: (session, effective_from, kind, gain_db), kind gain or clear, a row for each. Totals by
+    counter start anew at each clear.
+    """
+    from ..operators.joins import as_of
+
+    w = Window.partitionBy("session").orderBy("effective_from")
+    steps = commands.select("session", F.col("effective_from").alias("wall_time"), F.struct(F.last(F.when(F.col("kind") == "gain", F.col("gain_db")), ignorenulls=True).over(w).alias("gain"), F.count_if(F.col("kind") == "clear").over(w).alias("clears")).alias("_set"))
+    d = as_of(blocks, steps, ["session"], "wall_time", "_set", "_now")
+    return d.withColumns({"gain_db": F.coalesce(F.col("_now.gain"), F.col("gain_db")).cast("int"), "counter": F.coalesce(F.col("_now.clears"), F.lit(0)).cast("long")}).drop("_now")
 
 
 def tuned(blocks: DataFrame, plan: DataFrame) -> DataFrame:

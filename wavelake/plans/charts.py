@@ -13,15 +13,15 @@ from ..functions.scalars import cell, finite, short_info
 from ..operators import ordering, stats, windows
 
 
-def spectrum(blocks: DataFrame, sample_rate: float) -> DataFrame:
+def spectrum(blocks: DataFrame, sample_rate: float, size: int = 1024) -> DataFrame:
     """Frequency, power and held peak of each block's spectrum."""
-    d = power_spectra(blocks, sample_rate).withColumn("_key", F.concat_ws("/", "session", "epoch", "bin"))
+    d = power_spectra(blocks, sample_rate, size).withColumn("_key", F.concat_ws("/", "session", "epoch", "bin"))
     return windows.peak_hold(d, "_key", "block_index", "power_dbfs").withColumnRenamed("peak", "peak_hold_dbfs").drop("_key")
 
 
-def waterfall(blocks: DataFrame, sample_rate: float, rows: int = 200, range_db: float = 45.0) -> DataFrame:
+def waterfall(blocks: DataFrame, sample_rate: float, rows: int = 200, range_db: float = 45.0, size: int = 1024) -> DataFrame:
     """The last spectra of each session as levels 0 to 1 below a top that follows the 99.9th percentile slowly."""
-    d = power_spectra(blocks, sample_rate)
+    d = power_spectra(blocks, sample_rate, size)
     last = Window.partitionBy("session", "epoch")
     d = d.withColumn("_end", F.max("block_index").over(last)).where(F.col("block_index") > F.col("_end") - rows).drop("_end")
     tops = d.groupBy("session", "epoch", "block_index").agg(F.percentile("power_dbfs", 0.999).alias("_t"))
@@ -103,19 +103,53 @@ def direction(packets: DataFrame, sigma: float = 2.5) -> dict[str, DataFrame]:
     return {"points": good.where(finite(F.col("aoa_deg")).isNotNull()).select("adva", "number", "aoa_deg", "rssi_dbfs"), "rays": stats.mean_bearing(packets), "density": stats.bearing_histogram(good), "split": split}
 
 
-def noise_and_delivery(blocks: DataFrame, packets: DataFrame) -> DataFrame:
-    """(series, x, y): the noise floor where it changes, and delivery by strength."""
-    noise = windows.change_points(blocks, ["session"], "block_index", "noise_floor_dbfs", epoch="epoch").select(F.lit("noise_floor_dbfs").alias("series"), F.col("block_index").cast("double").alias("x"), F.col("noise_floor_dbfs").alias("y"))
-    return noise.unionByName(stats.delivery(packets).select(F.lit("pdr").alias("series"), F.col("rssi_bin").alias("x"), F.col("pdr").alias("y")))
+def noise_and_delivery(blocks: DataFrame, packets: DataFrame, rows: int = C.NOISE_ROWS, width: float = 3.0) -> DataFrame:
+    """(session, series, x, y): the noise floor where it changes, and delivery by strength; a row of null y breaks the line.
 
+    Floors break where the epoch changes, and the last `rows` points of a session stay; delivery breaks
+    where bins are missing.
+    """
+    d = windows.change_points(blocks, ["session"], "block_index", "noise_floor_dbfs", epoch="epoch")
+    d = d.withColumn("_point", F.explode(F.array_compact(F.array(F.when(F.col("new_epoch"), 0), F.when(F.col("moved"), 1)))))
+    w = Window.partitionBy("session").orderBy(F.desc("block_index"), F.desc("_point"))
+    d = d.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= rows)
+    noise = d.select("session", F.lit("noise_floor_dbfs").alias("series"), F.col("block_index").cast("double").alias("x"), F.when(F.col("_point") == 1, F.col("noise_floor_dbfs")).alias("y"))
+    p = windows.bin_breaks(stats.delivery(packets, width), "rssi_bin", width)
+    p = p.withColumn("_point", F.explode(F.when(F.col("break_before"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    pdr = p.select(F.lit(None).cast("string").alias("session"), F.lit("pdr").alias("series"), F.when(F.col("_point") == 1, F.col("rssi_bin")).alias("x"), F.when(F.col("_point") == 1, F.col("pdr")).alias("y"))
+    return noise.unionByName(pdr)
 
-def packet_table(packets: DataFrame, rows: int = C.TABLE_ROWS) -> DataFrame:
-    """The packet list: the last rows as text cells."""
+
+#: The packet table's columns, with the title that a view shows and whether numbers stand right.
+TABLE = (
+    ("number", "#", True), ("time_us", "Time (us)", True), ("clock", "Abs time", False), ("channel", "Ch", True), ("pdu_type", "PDU type", False), ("adva", "AdvA", False), ("tx_add", "TxAdd", False), ("length", "Len", True),
+    ("rssi", "RSSI (dBFS)", True), ("cfo_ppm", "CFO (ppm) *", True), ("mod_index", "Mod idx", True), ("crc", "CRC", False), ("cluster", "Cluster", True), ("anomaly", "Anomaly", True), ("aoa_deg", "AoA (deg)", True), ("phase_deg", "d-phi (deg)", True), ("info", "Info", False),
+)
+
+
+def packet_table(packets: DataFrame, rows: int = C.TABLE_ROWS, dbm: bool = False, calibrated: bool = False) -> DataFrame:
+    """The packet list: the last rows as text cells, events with their kind and text alone.
+
+    Columns carry their title and side as metadata; units that hold for all rows stand there: dBm
+    where strengths are calibrated, a star where the clock is not.
+    """
     d = ordering.retained(packets, rows)
-    return d.select(
-        "number", F.date_format(F.timestamp_seconds("wall_time"), "HH:mm:ss").alias("clock"), cell(F.col("timestamp_us") / 1e6, 3).alias("time_s"), F.col("channel").cast("string").alias("channel"), "pdu_name", "adva",
-        F.col("length").cast("string").alias("length"), cell(F.col("rssi_dbfs"), 1).alias("rssi"), cell(F.col("cfo_ppm"), 2).alias("cfo_ppm"), cell(F.col("anomaly_score"), 2).alias("anomaly"), F.when(F.col("crc_ok"), "ok").otherwise("bad").alias("crc"), short_info(d).alias("info"),
-    )
+    have = set(d.columns)
+    v = lambda k: F.col(k) if k in have else F.lit(None).cast("double")
+    event = F.coalesce(F.col("is_event"), F.lit(False))
+    cells = {
+        "number": F.col("number").cast("string"), "time_us": cell(v("timestamp_us"), 0), "clock": F.date_format(F.timestamp_seconds("wall_time"), "HH:mm:ss"), "channel": F.col("channel").cast("string"),
+        "pdu_type": F.when(event, F.col("event_kind")).otherwise(F.col("pdu_name")), "adva": F.col("adva"), "tx_add": F.col("adva_kind"), "length": F.col("length").cast("string"),
+        "rssi": cell(F.coalesce(finite(v("rssi_dbm")), v("rssi_dbfs")), 1), "cfo_ppm": cell(v("cfo_ppm"), 2), "mod_index": cell(v("modulation_index"), 3), "crc": F.when(F.col("crc_ok"), "OK").otherwise("FAIL"),
+        "cluster": F.when(v("cluster_id") >= 0, v("cluster_id").cast("int").cast("string")), "anomaly": cell(v("anomaly_score"), 2), "aoa_deg": cell(v("aoa_deg"), 1), "phase_deg": cell(v("antenna_phase_deg"), 1), "info": short_info(d),
+    }
+    titles = {"rssi": "RSSI (dBm)"} if dbm else {}
+    titles |= {"cfo_ppm": "CFO (ppm)"} if calibrated else {}
+    out = []
+    for name, title, right in TABLE:
+        c = cells[name] if name in ("number", "time_us", "channel", "pdu_type", "info") else F.when(event, "").otherwise(cells[name])
+        out.append(F.coalesce(c, F.lit("")).alias(name, metadata={"title": titles.get(name, title), "align": "right" if right else "left"}))
+    return d.select(*out)
 
 
 def detail(packets: DataFrame) -> DataFrame:
@@ -142,4 +176,4 @@ def saved(chart: DataFrame, path: str) -> None:
     """A chart's rows as CSV; one without rows is an error."""
     if chart.isEmpty():
         raise ValueError("the chart has no rows")
-    chart.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    chart.write.mode("overwrite").option("header", "true").csv(path)

@@ -74,9 +74,6 @@ FIELDS = {
     "antennas": _number("n_antennas", kind="int"),
     **{k: _number(v) for k, v in _FEATURES.items()},
 }
-#: Text columns that are stored in upper case, which a scan can compare as they are.
-_STORED_UPPER = ("adva", "pdu_type", "pdu", "type")
-
 _LEXEMES = (
     ("(", r"\("), (")", r"\)"), ("op", r"==|!=|>=|<=|>|<|~"), ("and", r"&&|\band\b"), ("or", r"\|\||\bor\b"), ("not", r"!|\bnot\b"), ("contains", r"\bcontains\b"),
     ("string", r"\"[^\"]*\"|'[^']*'"), ("address", r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}"), ("number", r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"), ("word", r"[A-Za-z_][A-Za-z0-9_./]*"),
@@ -132,14 +129,14 @@ class Filter:
         value = make()
         if self.kind == "is":
             return value if kind == "bool" else value != "" if kind == "text" else value != 0
-        return _compared(self.field, kind, value, self.op, self.value)
+        return _compared(kind, value, self.op, self.value)
 
 
 def _python_text(kind: str, value: Column) -> Column:
     return F.lower(value.cast("string"))
 
 
-def _compared(field: str, kind: str, value: Column, op: str, literal: float | str) -> Column:
+def _compared(kind: str, value: Column, op: str, literal: float | str) -> Column:
     if op in ("contains", "~"):
         return _python_text(kind, value).contains(str(literal).lower())
     if kind == "bool":
@@ -152,8 +149,6 @@ def _compared(field: str, kind: str, value: Column, op: str, literal: float | st
         if op not in ("==", "!="):
             return F.lit(False)
         want = F.lit(str(literal).upper())
-        if field in _STORED_UPPER and op == "==" and str(literal):
-            return F.col("adva" if field == "adva" else "pdu_name") == want
         return F.upper(value) == want if op == "==" else F.upper(value) != want
     try:
         number = F.lit(float(literal))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as A
 from . import constants as C
+from .dims import keystream
 from .functions import bytes as B
 from .functions import scalars as S
 from .operators import joins, ordering, stats, windows
@@ -224,35 +225,52 @@ def noise_floor(spark, sf_dir):
 
 @query("SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents", "")
 def payload_lengths(spark, sf_dir):
-    d = A.payloads(A.table(spark, sf_dir, "documents"), 1 << 30)
+    d = A.payloads(A.table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.octet_length("data").cast("long").alias("bytes"))
 
 
 _TABLE = "[" + ", ".join(map(str, B._crc_table())) + "]"
-_DIGITS = "WITH d AS (SELECT doc_id, hex(encode(text))[1:80] AS h FROM documents), b AS (SELECT doc_id, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::INT) AS v FROM d) "
+_PIECES = "WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), p AS (SELECT doc_id, x, unnest(range(0, greatest(1, (len(x) + 63) // 64))) AS part FROM d), h AS (SELECT doc_id, part, x[64 * part + 1:64 * part + 64] AS h FROM p), b AS (SELECT doc_id, part, h, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::INT) AS v FROM h) "
 
 
-@query(f"SELECT doc_id, list_reduce(v, lambda c, x: xor(c >> 8, {_TABLE}[(xor(c, x) & 255) + 1]), {B.reflect24(C.ADVERTISING_CRC_INIT)})::BIGINT AS crc FROM b", _DIGITS)
+@query(f"SELECT doc_id, part, list_reduce(v, lambda c, x: xor(c >> 8, {_TABLE}[(xor(c, x) & 255) + 1]), {B.reflect24(C.ADVERTISING_CRC_INIT)})::BIGINT AS crc FROM b", _PIECES)
 def crc24(spark, sf_dir):
-    return A.payloads(A.table(spark, sf_dir, "documents")).select("doc_id", B.crc24(B.byte_array(F.col("data"))).alias("crc"))
+    d = A.pieces(A.table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("part").cast("long"), B.crc24(B.byte_array(F.col("data"))).alias("crc"))
 
 
-@query("SELECT doc_id, line, lpad(lower(hex(line * 16)), 4, '0') || '  ' || rpad(array_to_string(list_transform(v[line * 16 + 1:line * 16 + 16], lambda x: lower(lpad(hex(x), 2, '0'))), ' '), 47, ' ') || '  ' || array_to_string(list_transform(v[line * 16 + 1:line * 16 + 16], lambda x: CASE WHEN x >= 32 AND x < 127 THEN chr(x) ELSE '.' END), '') AS text FROM (SELECT doc_id, v, unnest(range(0, (len(v) + 15) // 16)) AS line FROM b)", _DIGITS)
+_LINES = "WITH d AS (SELECT doc_id, hex(encode(text)) AS x FROM documents), p AS (SELECT doc_id, x, unnest(range(0, (len(x) + 31) // 32)) AS line FROM d), h AS (SELECT doc_id, line, x[32 * line + 1:32 * line + 32] AS h FROM p), b AS (SELECT doc_id, line, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::INT) AS v FROM h) "
+
+
+@query("SELECT doc_id, line, printf('%04x', line * 16) || '  ' || rpad(array_to_string(list_transform(v, lambda x: lower(lpad(hex(x), 2, '0'))), ' '), 47, ' ') || '  ' || array_to_string(list_transform(v, lambda x: CASE WHEN x >= 32 AND x < 127 THEN chr(x) ELSE '.' END), '') AS text FROM b", _LINES)
 def hex_dump(spark, sf_dir):
     return B.hex_dump(A.payloads(A.table(spark, sf_dir, "documents")), "data", "doc_id").select("doc_id", F.col("line").cast("long"), "text")
 
 
-@query("SELECT doc_id, lower(hex(encode(text)))[1:80] AS back, TRUE AS changed FROM documents", "")
+@query("SELECT doc_id, part, lower(h) AS back, len(h) > 0 AS changed FROM h", _PIECES)
 def whiten_roundtrip(spark, sf_dir):
-    d = A.payloads(A.table(spark, sf_dir, "documents")).withColumn("channel", F.pmod("doc_id", F.lit(40))).withColumn("b", B.byte_array(F.col("data")))
+    d = A.pieces(A.table(spark, sf_dir, "documents")).withColumn("channel", F.pmod("doc_id", F.lit(40))).withColumn("b", B.byte_array(F.col("data")))
     d = d.withColumn("w", B.dewhitened(F.col("b"), F.col("channel")))
-    return d.select("doc_id", F.lower(F.hex(B.from_bytes(B.dewhitened(F.col("w"), F.col("channel"))))).alias("back"), (F.col("w") != F.col("b")).alias("changed"))
+    return d.select("doc_id", F.col("part").cast("long"), F.lower(F.hex(B.from_bytes(B.dewhitened(F.col("w"), F.col("channel"))))).alias("back"), (F.col("w") != F.col("b")).alias("changed"))
+
+
+_STREAMS = "[" + ", ".join("'" + keystream(c, B.PERIOD).hex() + "'" for c in range(40)) + "]"
+
 
+@query(f"SELECT event_id AS number, array_to_string(list_transform(range(0, 8), lambda i: printf('%02x', xor((event_id + 31 * i) & 255, ('0x' || {_STREAMS}[event_id % 40 + 1][2 * i + 1:2 * i + 2])::INT))), '') AS white FROM events", "")
+def whitened_bytes(spark, sf_dir):
+    n = F.col("event_id")
+    values = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (n + 31 * i).bitwiseAND(F.lit(255)).cast("int"))
+    return A.table(spark, sf_dir, "events").select(n.alias("number"), F.lower(F.hex(B.from_bytes(B.dewhitened(values, n % 40)))).alias("white"))
 
-@query("SELECT doc_id, array_to_string([h[11:12], h[9:10], h[7:8], h[5:6], h[3:4], h[1:2]], ':') AS address, CASE WHEN doc_id % 3 = 0 THEN 'public' ELSE CASE ('0x' || h[11:12])::INT // 64 WHEN 3 THEN 'random static' WHEN 1 THEN 'resolvable private' WHEN 0 THEN 'non-resolvable private' ELSE 'random (reserved)' END END AS kind FROM (SELECT doc_id, hex(encode(text))[1:12] AS h FROM documents) WHERE len(h) = 12", "")
+
+_SIXES = "WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), p AS (SELECT doc_id, x, unnest(range(0, len(x) // 12)) AS part FROM d), h AS (SELECT doc_id, part, x[12 * part + 1:12 * part + 12] AS h FROM p) "
+
+
+@query("SELECT doc_id, part, array_to_string([h[11:12], h[9:10], h[7:8], h[5:6], h[3:4], h[1:2]], ':') AS address, CASE WHEN doc_id % 3 = 0 THEN 'public' ELSE CASE ('0x' || h[11:12])::INT // 64 WHEN 3 THEN 'random static' WHEN 1 THEN 'resolvable private' WHEN 0 THEN 'non-resolvable private' ELSE 'random (reserved)' END END AS kind FROM h", _SIXES)
 def addresses(spark, sf_dir):
-    d = A.payloads(A.table(spark, sf_dir, "documents"), 6).where("octet_length(data) = 6")
-    return d.select("doc_id", B.format_address(F.col("data")).alias("address"), B.address_kind(F.col("data"), F.col("doc_id") % 3 != 0).alias("kind"))
+    d = A.pieces(A.table(spark, sf_dir, "documents"), 6).where("octet_length(data) = 6")
+    return d.select("doc_id", F.col("part").cast("long"), B.format_address(F.col("data")).alias("address"), B.address_kind(F.col("data"), F.col("doc_id") % 3 != 0).alias("kind"))
 
 
 @query("SELECT number, channel, CASE channel WHEN 37 THEN 2402e6 WHEN 38 THEN 2426e6 ELSE 2480e6 END::DOUBLE AS frequency_hz, CASE WHEN number % 41 = 40 THEN NULL ELSE number % 41 END AS data_channel FROM packets")
@@ -288,7 +306,7 @@ def calibration_drift(spark, sf_dir):
     return stats.calibration_drift(h, "rssi_dbfs").select("source", F.col("channel").cast("long"), *_r("first", "last"), "n", *_r("drift"))
 
 
-@query(", e AS (SELECT (length * 3 + number % 3) AS position FROM packets WHERE NOT crc_ok), c AS (SELECT position, count(*) AS errors FROM e GROUP BY 1), t AS (SELECT max(position) AS top, count(*) AS n FROM e), d AS (SELECT g.position, coalesce(errors, 0) AS errors, top, n FROM t, generate_series(0, top) g(position) LEFT JOIN c ON c.position = g.position), s AS (SELECT sum(errors) FILTER (position >= floor((top + 1) / 2)) / max(n) AS tail FROM d) SELECT position, errors, round(errors / n, 6) AS share, CASE WHEN tail > 0.7 THEN 'errors clustered late in the packet: collision or reactive emitter' WHEN tail < 0.3 THEN 'errors clustered early: likely sync or ramp related' ELSE 'errors spread uniformly: consistent with broadband noise' END AS verdict FROM d, s")
+@query(", e AS (SELECT (length * 3 + number % 3) AS position FROM packets WHERE NOT crc_ok), c AS (SELECT position, count(*) AS errors FROM e GROUP BY 1), t AS (SELECT max(position) AS top, count(*) AS n FROM e), d AS (SELECT g.position, coalesce(errors, 0) AS errors, top, n FROM t, generate_series(0, top) g(position) LEFT JOIN c ON c.position = g.position), s AS (SELECT sum(errors) FILTER (position >= floor((top + 1) / 2)) / max(n) AS tail FROM d) SELECT position, errors, round(errors / n, 6) AS share, CASE WHEN tail > 0.7 THEN 'late in the packet: a collision, or an emitter that reacts' WHEN tail < 0.3 THEN 'early in the packet: synchronisation or the ramp' ELSE 'all over the packet: broadband noise' END AS verdict FROM d, s")
 def bit_error_profile(spark, sf_dir):
     p = _packets(spark, sf_dir).where("not crc_ok").select((F.col("length") * 3 + F.col("number") % 3).cast("int").alias("position"))
     return stats.bit_error_profile(p).select(F.col("position").cast("long"), "errors", *_r("share"), "verdict")
@@ -316,72 +334,17 @@ def interval_overlap(spark, sf_dir):
 @query()
 def advertising_items(spark, sf_dir):
     """Whole texts' bytes read as advertising data: a row for each item."""
-    d = A.payloads(A.table(spark, sf_dir, "documents"), A.WHOLE).select("doc_id", F.posexplode(B.parse_ad("data")).alias("place", "item"))
+    d = A.payloads(A.table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(B.parse_ad("data")).alias("place", "item"))
     return d.select("doc_id", "place", "item.type", "item.name", "item.value", "item.truncated")
 
 
 @query()
 def parsed_packets(spark, sf_dir):
     """Whole texts' bytes read as packets: header, address, check."""
-    d = B.parse_pdu(A.payloads(A.table(spark, sf_dir, "documents"), A.WHOLE), "data")
+    d = B.parse_pdu(A.payloads(A.table(spark, sf_dir, "documents")), "data")
     return d.select("doc_id", "decoded.ok", "decoded.pdu_name", "decoded.length", "decoded.adva_str", "decoded.crc_ok", "decoded.error")
 
 
-def _capture(spark, sf_dir):
-    """Sample blocks of made-up captures: a packet for the address of each of the table's events."""
-    from .dsp.synth import captures
-
-    return captures(A.table(spark, sf_dir, "events"))
-
-
-@query()
-def demodulated_capture(spark, sf_dir):
-    from .dsp.demod import Receiver, demodulate
-
-    return demodulate(_capture(spark, sf_dir), Receiver()).select("session", "abs_sync", "channel", "sync_score", F.hex("pdu").alias("pdu"))
-
-
-@query()
-def measured_capture(spark, sf_dir):
-    from .plans.capture import numbered, packet_rows
-
-    return numbered(packet_rows(_capture(spark, sf_dir))).select("session", "number", "adva", "pdu_name", "crc_ok", *C.VECTOR)
-
-
-@query()
-def interference_blocks(spark, sf_dir):
-    from .dsp.blocks import block_figures
-    from .operators.analysis import classified
-
-    return classified(block_figures(_capture(spark, sf_dir), 8e6), ["session", "epoch"])
-
-
-@query()
-def receiver_calibration(spark, sf_dir):
-    from .dsp.blocks import calibrate
-
-    return calibrate(_capture(spark, sf_dir), 8e6)
-
-
-@query()
-def clustered_vectors(spark, sf_dir):
-    """Vectors whitened by running moments, clustered in each address's order."""
-    from .operators.analysis import cluster_labels, clustered
-
-    w = windows.whitened(_vectors(spark, sf_dir), list(C.VECTOR), "number")
-    return cluster_labels(clustered(w.select("adva", "number", F.array(*[f"{k}_w" for k in C.VECTOR]).alias("vector")))).select("adva", "number", "cluster", "cluster_id", F.round("separation", 6).alias("separation"))
-
-
-@query()
-def address_summary(spark, sf_dir):
-    from .operators.analysis import address_summary as summary
-    from .operators.analysis import clustered
-
-    p = _packets(spark, sf_dir)
-    vectors = stats.admitted(p).select("adva", "number", F.array(F.coalesce("rssi_dbfs", F.lit(0.0)) / 10, F.coalesce("cfo_ppm", F.lit(0.0)) / 10).alias("vector"))
-    return summary(p, clustered(vectors))
-
-
 #: Filters with the SQL condition that each stands for.
 FILTERS = {
     "strength": ("rssi > -60 && crc_ok", "rssi_dbfs > -60 AND crc_ok"),
@@ -404,3 +367,5 @@ def _filter(text):
 for _name, (_text, _condition) in FILTERS.items():
     QUERIES[f"filter_{_name}"] = _filter(_text)
     SQL[f"filter_{_name}"] = f"{_PACKETS} SELECT number, adva FROM packets WHERE {_condition}"
+
+from . import queries_radio, queries_tables  # noqa: E402,F401

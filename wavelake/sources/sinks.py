@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,7 +72,9 @@ class _Part(WriterCommitMessage):
 class PcapSource(DataSource):
     """Writer `wavelake_pcap`: a capture file for each partition of pcap_records(), in order of its rows.
 
-    Rows that are range-partitioned and sorted by time give files that follow one another.
+    Rows that are range-partitioned and sorted by time give files that follow one another. The path
+    is a folder that driver and executors share. Tasks write to a folder of their job, and the driver
+    moves whole files to the path once all tasks are done; a job that fails leaves nothing.
     """
 
     @classmethod
@@ -82,33 +87,33 @@ class PcapSource(DataSource):
 
 class _PcapWriter(DataSourceWriter):
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.own = path, os.path.join(path, f"_writing-{uuid.uuid4().hex}")
 
     def write(self, iterator):
-        import os
-
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
-        target = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.pcap")
+        os.makedirs(self.own, exist_ok=True)
+        # A task that runs twice has a file for each attempt; the driver takes the one that is reported.
+        task = TaskContext.get()
+        target = os.path.join(self.own, f"part-{task.partitionId():05d}-{task.taskAttemptId()}.pcap")
         n = 0
-        with open(target + ".open", "wb") as f:
+        with open(target, "wb") as f:
             f.write(PCAP_HEADER)
             for row in iterator:
                 f.write(row["record"])
                 n += 1
-        os.replace(target + ".open", target)
         return _Part(target, n)
 
     def commit(self, messages):
-        pass
+        done = [m for m in messages if m is not None]
+        if missing := [m.path for m in done if not os.path.exists(m.path)]:
+            raise FileNotFoundError(f"{missing[0]}: the path is not shared with the executors")
+        for m in done:
+            os.replace(m.path, os.path.join(self.path, os.path.basename(m.path).rsplit("-", 1)[0] + ".pcap"))
+        shutil.rmtree(self.own, ignore_errors=True)
 
     def abort(self, messages):
-        import os
-
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        shutil.rmtree(self.own, ignore_errors=True)
 
 
 def write_pcap(packets: DataFrame, path: str) -> int:
@@ -162,12 +167,23 @@ def appended_history(history: DataFrame, new: DataFrame, keep: int = C.CALIBRATI
     return both.orderBy(F.desc("ts")).limit(keep)
 
 
-def console_report(packets: DataFrame, lost: int = 0, samples: int = 0) -> str:
-    """Totals and devices as text: two aggregates, a row for each device listed (the most frequent 1000)."""
+def write_history(history: DataFrame, path: str, keep: int = C.CALIBRATION_HISTORY) -> None:
+    """A calibration history as one JSON list, the latest `keep` rows in order of time."""
+    rows = [json.loads(r) for r in history.orderBy(F.desc("ts")).limit(keep).toJSON().collect()]
+    with open(path, "w") as f:
+        json.dump(rows[::-1], f, indent=2)
+
+
+def console_report(packets: DataFrame, lost: int = 0, samples: int = 0, most: int = 1000) -> str:
+    """Totals and devices as text, most frequent first: the first `most` devices, and how many more there are."""
     from ..operators.stats import device_tally, session_totals
 
     t = session_totals(packets, F.lit(lost), F.lit(samples)).first()
     lines = [f"packets {t.packets}, check right {t.crc_percent or 0:.1f} %, {t.packets_per_s or 0:.1f}/s, lost {t.lost_percent:.3f} %"]
-    for r in device_tally(packets).orderBy(F.desc("packets"), "adva").limit(1000).collect():
+    devices = device_tally(packets)
+    shown = devices.orderBy(F.desc("packets"), "adva").limit(most + 1).collect()
+    for r in shown[:most]:
         lines.append(f"{r.adva}  {r.packets:6d}  {r.first_pdu_name}  {r.first_adva_kind}")
+    if len(shown) > most:
+        lines.append(f"and {devices.count() - most} more devices")
     return "\n".join(lines)
