@@ -40,7 +40,7 @@ def test_two_transmitters_behind_one_address(spark, measured):
     bb = found.where("adva = 'BB'").orderBy("number").collect()
     enrolled = lambda r: any("enrolled baseline" in a for a in r.alerts)
     assert not any(map(enrolled, bb))
-    strict = analyze(measured.withColumn("calibrated", F.lit(True)), enroll=("BB",), threshold=0.1, needed=(40, 3, 2)).where("adva = 'BB'").orderBy("number").collect()
+    strict = analyze(measured.withColumn("calibrated", F.lit(True)), enroll=("BB",), threshold=0.1, needed=(40, 2, 2)).where("adva = 'BB'").orderBy("number").collect()
     assert [enrolled(r) for r in strict] == [False] * 39 + [True] * 51
     aa = [r for r in found.where("adva = 'AA'").orderBy("number").collect()]
     modes = [k + 1 for k, r in enumerate(aa) if any("two modes" in a for a in r.alerts)]
