@@ -8,7 +8,8 @@ level by level.
 Defined cases: null and empty texts have the statistics of the empty text and get its score; labels
 that are null are left out, and of several labels of a document the mean counts (half is good);
 without labelled rows every score is 0.5, with one class only its share; repeated rows get equal
-scores; ids without a document are left out of the fit.
+scores; ids without a document are left out of the fit, and of rows that share an id one is read (the
+least by its statistics).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, crc_mod, table
+from .common import SLICE_BYTES, compact, crc_mod, table
 from .compression import _again, _sums, duplicate_lines, repeated_words
 from .textarrays import Words, mixed, slices, utf8
 
@@ -41,7 +42,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text, as float32."""
     data, offsets = utf8(column)
     out = [np.zeros((0, len(FEATURES)), np.float32)]
-    table_ = np.zeros(256, np.int64)
+    table_ = np.zeros(256, np.uint8)
     for k, members in enumerate(_CLASSES.values()):
         table_[list(members)] = k + 1
     for first, last in slices(offsets):
@@ -56,8 +57,14 @@ def statistics(column: pa.Array) -> np.ndarray:
         longest = np.maximum.reduceat(np.append(length, 0), words.of[:-1]) * (np.diff(words.of) > 0)
         of_word = np.repeat(np.arange(len(n_words)), np.diff(words.of))
         kinds = table_[local]
-        of_byte = np.repeat(np.arange(len(n_words)), np.diff(part))
-        counts = np.bincount(of_byte * (len(_CLASSES) + 1) + kinds, minlength=len(n_words) * (len(_CLASSES) + 1)).reshape(len(n_words), -1)[:, 1:]
+        # Texts' counts of kinds of bytes; a long text is counted in slices.
+        counts, wide = np.zeros((len(n_words), len(_CLASSES) + 1), np.int64), len(_CLASSES) + 1
+        for a in range(0, len(local), SLICE_BYTES):
+            z = min(a + SLICE_BYTES, len(local))
+            i, j = np.searchsorted(part, a, "right") - 1, np.searchsorted(part, z, "left")
+            key = np.repeat(np.arange(j - i), np.diff(np.clip(part[i : j + 1], a, z))) * wide + kinds[a:z]
+            counts[i:j] += np.bincount(key, minlength=(j - i) * wide).reshape(j - i, wide)
+        counts = counts[:, 1:]
         shares = counts / np.maximum(n_bytes, 1)[:, None]
         lines = counts[:, list(_CLASSES).index("newline")] + 1.0
         ends = kinds[words.end - 1] if len(words.end) else np.zeros(0, int)
@@ -141,7 +148,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     labels = labels.where("quality is not null and doc_id is not null").where(crc_mod("doc_id", 5) != 0)
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("_label"))
     chosen = labels.orderBy(F.xxhash64(F.lit(SEED), "_label_id"), "_label_id").limit(sample)
-    # At most `sample` rows of an id and a label.
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id"))
 
     def batches(rows):
@@ -149,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             x = statistics(b.column(2)).astype(np.float32)
             yield pa.record_batch([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "x"])
 
-    rows = joined.select("doc_id", "_label", "text").mapInArrow(batches, "id long, label double, x binary").limit(2 * sample).collect()
+    # One row for each chosen id, whatever rows share it: at most `sample` rows reach the driver.
+    rows = joined.select("doc_id", "_label", "text").mapInArrow(batches, "id long, label double, x binary").groupBy("id", "label").agg(F.min("x").alias("x")).collect()
     rows = sorted((r.id, bytes(r.x), r.label) for r in rows)
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r[2] for r in rows]))
@@ -174,7 +181,11 @@ def op8_boosting(spark, sf_dir):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that a model fitted on docs and labels does not reject."""
+    """The rows of docs that a model fitted on docs and labels does not reject, with all their columns.
+
+    Rows are judged by their text alone: null and empty texts as the empty text, equal texts alike,
+    whatever their ids; without labels all score 0.5 and stay; an empty table gives no rows.
+    """
     model, at = train(docs, labels), docs.columns.index("text")
 
     def batches(rows):

@@ -22,30 +22,56 @@ BATCH_ROWS = 2000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a local temporary folder stands in.
+    Only where that setting is absent and all run on one machine (tests) a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        local = tempfile.mkdtemp(prefix="wavelake-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        base = "file://" + local
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="wavelake-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = "file://" + _LOCAL[0]
     return f"{base.rstrip('/')}/wavelake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that clash with none of a table's (Spark tells no case apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def volume(df: DataFrame) -> int:
+    """Bytes of df's files as Spark estimates them, without a job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def partitions(source: DataFrame, bytes_each: int = FILE_BYTES) -> int:
+    """Tasks for work that grows with source: as many as the session shuffles into, or more where its files are worth more."""
+    spark = source.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(volume(source) // bytes_each, 1 << 20))
+
+
 def compact(df: DataFrame, source: DataFrame) -> DataFrame:
     """df in as few partitions as keep all cores busy twice, or more where source's files are worth more.
 
     Tables derived from source then have no files of a few rows, whatever the shuffle partitions.
     """
     spark = df.sparkSession
-    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, min(size // FILE_BYTES, 1 << 20)))
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, min(volume(source) // FILE_BYTES, 1 << 20)))
 
 
 def written(df: DataFrame, source: DataFrame | None = None, codec: str = "zstd") -> DataFrame:

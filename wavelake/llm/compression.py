@@ -1,12 +1,14 @@
 """Quality rules on text structure and compression bands.
 
 A text passes the bands if its zstandard ratio (bytes / compressed bytes) lies between two limits
-that depend on its length, and if most of its fixed chunks do so by limits of their own. High ratios
+that depend on its length, and if the fixed chunks that hold most of it do so: full ones by limits of
+their own, the rest of the text, which is the last chunk, by those of a text of its length. High ratios
 mean repetition, low ones noise. Short texts compress less, so limits rise with the length; those
 below the least length have none. Base rules fail texts of few words or of mostly repeated phrases.
 
 Defined cases: null and empty texts have no words and fail; a text is judged on its own, so repeated
-rows get equal results; very long texts are compressed whole and in all their chunks.
+rows get equal results; very long texts are compressed whole and in all their chunks; a text below the
+size of a chunk is one.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import compact, table
-from .textarrays import BYTE_BASE, Words, _byte_values, mixed, powers, slices, utf8, window_hashes
+from .textarrays import Words, mixed, slices, span_hashes, utf8, window_hashes
 
 LEVEL, CHUNK = 3, 4096
 #: (from bytes, least ratio, largest ratio) of whole texts; the last entry that a text reaches holds.
 #: They leave some 5 % beyond the extremes seen among documents labelled good.
 BANDS = ((256, 1.2, 2.1), (512, 1.35, 2.15), (1024, 1.5, 2.25), (2048, 1.7, 2.35), (4096, 1.85, 2.5), (16384, 2.0, 2.7), (65536, 2.0, 2.95))
-#: The same of chunks; a text fails if over CHUNK_SHARE of its full chunks lie outside.
+#: The same of full chunks; a text fails if over CHUNK_SHARE of its bytes are in chunks that lie outside.
 CHUNK_BAND, CHUNK_SHARE = (1.7, 2.45), 0.5
 SYMBOLS = b"#*$%&|<>"
 #: Words below which a text fails, and the share (of 100) of words in repeated phrases above which it does.
@@ -70,10 +72,8 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.n
     end = end - ((end > start) & (data[end - 1] == 0x0A)) if n else end
     has = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end = start[has], end[has]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values(False)[data] * powers(BYTE_BASE, n), dtype=np.uint64)])
-    h = (sums[end] - sums[start]) * powers(pow(BYTE_BASE, -1, 1 << 64), n + 1)[start] + (end - start).astype(np.uint64)
     of = np.searchsorted(offsets, start, "right") - 1
-    key = mixed(h) + mixed(of.astype(np.uint64) + np.uint64(1))
+    key = span_hashes(data, start, end) + mixed(of.astype(np.uint64) + np.uint64(1))
     order = np.argsort(key, kind="stable")
     later = np.zeros(len(key), bool)
     later[order[1:]] = key[order[1:]] == key[order[:-1]]
@@ -100,8 +100,8 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
         local, part = data[part[0] : part[-1]], part - part[0]
         words = Words(local, part)
         h = words.hashes()
-        chars = np.concatenate([[0], np.cumsum((local & 0xC0) != 0x80, dtype=np.int64)])
-        word_chars = np.diff(np.concatenate([[0], np.cumsum(chars[words.end] - chars[words.start])])[words.of])
+        chars = np.concatenate([np.zeros(1, np.int32), np.cumsum((local & 0xC0) != 0x80, dtype=np.int32)])
+        word_chars = np.diff(np.concatenate([[0], np.cumsum(chars[words.end] - chars[words.start], dtype=np.int64)])[words.of])
         n_words = np.diff(words.of)
         n_repeat = _sums(repeated_words(words, h), words.of)
         ratio, n_chunks, outside, inside = [], [], [], []
@@ -110,15 +110,17 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
             n = b - a
             r = n / len(press.compress(raw[a:b])) if n else 0.0
             low, high = _limits(n)
-            full = n // CHUNK
-            bad = 0
-            for k in range(full):
-                c = CHUNK / len(press.compress(raw[a + k * CHUNK : a + (k + 1) * CHUNK]))
-                bad += not CHUNK_BAND[0] <= c <= CHUNK_BAND[1]
+            bad = lost = 0
+            for k in range(a, b, CHUNK):
+                size = min(CHUNK, b - k)
+                c = size / len(press.compress(raw[k : k + size]))
+                least, most = CHUNK_BAND if size == CHUNK else _limits(size)
+                if not least <= c <= most:
+                    bad, lost = bad + 1, lost + size
             ratio.append(r)
-            n_chunks.append(full)
+            n_chunks.append(-(-n // CHUNK))
             outside.append(bad)
-            inside.append(low <= r <= high and bad <= CHUNK_SHARE * full)
+            inside.append(low <= r <= high and lost <= CHUNK_SHARE * n)
         failed = (n_words < LEAST_WORDS) | (100 * n_repeat > MOST_REPEATED * n_words)
         new = (n_words, word_chars, _sums(symbol[local], part), duplicate_lines(local, part, words), n_repeat, ratio, n_chunks, outside, failed, np.array(inside, bool) & ~failed)
         for k, v in zip(COLUMNS, new, strict=True):

@@ -11,7 +11,7 @@ repetition.
 
 Defined cases: null text has size 0; documents of size 0 and of null source take part (null is a
 source of its own, last in order); no document: an empty result; repeated rows are rows of their
-own, chosen alike when their ids and sizes are equal.
+own, of which the cut may take some: as many as the target has room for.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, fresh, text_of, written
+from .components import components
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -132,56 +134,86 @@ def _flow_of_part(patterns, sources, sizes, members, quotas, most):
     return {ps: arcs[arcs[i][3]][1] for ps, i in link.items()}
 
 
-def mix(docs: DataFrame, quotas: dict | None = None, weights=WEIGHTS, most: int = MOST, seed: int = SEED, bins: int = BINS, sources: str = "source") -> DataFrame:
+_PLAN = "pattern array<string>, whole int, rest double, source_size long, target double"
+
+
+def planned(by_pattern: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
+    """(pattern, size) and (source, source_size, target) -> _PLAN: how often each pattern is taken whole, and what of it once more.
+
+    Sources that no pattern joins have nothing to do with each other: each connected part is a flow of
+    its own, solved where its patterns and sources meet, and none is gathered on the driver. Patterns of
+    no source have parts of their own and give nothing.
+    """
+    one = by_pattern.withColumn("_source", F.explode_outer("pattern"))
+    if by_pattern.agg(F.max(F.size("pattern"))).first()[0] in (None, 0, 1):
+        part = one.withColumn("part", F.xxhash64("_source"))
+    else:
+        # Patterns and sources are nodes; ids of both are hashes, the lowest bit tells them apart.
+        node = lambda c, bit: F.shiftleft(F.shiftright(F.xxhash64(c), 1), 1).bitwiseOR(F.lit(bit))
+        pairs = written(one.select("pattern", "size", "_source", node("pattern", 0).alias("_p"), node("_source", 1).alias("_s")))
+        found = components(pairs.where("size(pattern) > 0").select(F.col("_p").alias("u"), F.col("_s").alias("v")))
+        part = pairs.join(found, F.col("_p") == F.col("node"), "left").withColumn("part", F.coalesce("component", "_p"))
+    joined = part.join(aims.withColumnRenamed("source", "_aim"), F.col("_source").eqNullSafe(F.col("_aim")) & (F.size("pattern") > 0), "left")
+
+    def solved(rows):
+        sizes, members, quotas, known = {}, defaultdict(list), {}, {}
+        for pattern, size, source, source_size, target in zip(rows["pattern"], rows["size"], rows["_source"], rows["source_size"], rows["target"], strict=True):
+            p = tuple(pattern)
+            sizes[p] = int(size)
+            if p:
+                members[p].append(source)
+                quotas[source], known[source] = float(target), int(source_size)
+        given = defaultdict(float)
+        for (p, _), amount in min_cost_flow(sizes, members, quotas, most).items():
+            given[p] += amount
+        out = []
+        for p, size in sizes.items():
+            whole = min(most, int(given[p] // size + 1e-9)) if size else 0
+            rest = max(0.0, given[p] - whole * size) if whole < most else 0.0
+            out.append((list(p), whole, rest, known[p[0]] if p else 0, quotas[p[0]] if p else 0.0))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _PLAN.split(", ")])
+
+    return joined.select("part", "pattern", "size", "_source", "source_size", "target").groupBy("part").applyInPandas(solved, _PLAN)
+
+
+def mix(docs: DataFrame, quotas: dict | None = None, weights=WEIGHTS, most: int = MOST, seed: int = SEED, bins: int = BINS, sources: str = "source", row: str | None = None) -> DataFrame:
     """doc_id, pattern, source_size, target, size, times of each document (times: how often the mix takes it).
 
     `sources` is a column with a document's source, or an array of its sources. quotas: words by
     source; absent, targets() of the sources' own sizes. A document of several sources reports the
-    first one's size and target. The patterns and sources alone reach the driver: distinct values,
-    summed, not documents.
+    first one's size and target. row: a column that is passed on, and tells rows apart that are
+    otherwise equal at the cut.
     """
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[sources]
     pattern = F.array_sort(F.array_distinct(F.col(sources))) if kind.startswith("array") else F.array(F.col(sources).cast("string"))
-    rows = docs.select(F.col("doc_id"), pattern.alias("pattern"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    passed = [F.col(row).alias("_row")] if row else []
+    rows = docs.select(F.col("doc_id"), pattern.alias("pattern"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), *passed)
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_bin", F.pmod("_h", F.lit(bins)).cast("int"))
     rows = written(rows, docs)
     sized = rows.groupBy("pattern", "_bin").agg(F.sum("size").alias("size"))
     sized = written(sized.coalesce(8))
     by_pattern = sized.groupBy("pattern").agg(F.sum("size").alias("size"))
     by_source = by_pattern.select(F.explode("pattern").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
-    known = targets(by_source, weights, most)
-    aims = {r.source: (r.source_size, r.target) for r in known.collect()}
+    aims = targets(by_source, weights, most)
     if quotas is not None:
-        aims = {s: (n, float(quotas.get(s, 0.0))) for s, (n, _) in aims.items()}
-    found = [(tuple(r.pattern), r.size) for r in by_pattern.collect()]
-    flow = min_cost_flow(dict(found), {p: p for p, _ in found}, {s: t for s, (_, t) in aims.items()}, most)
-    given = defaultdict(float)
-    for (p, _), amount in flow.items():
-        given[p] += amount
-    plan = []
-    for p, size in found:
-        whole = min(most, int(given[p] // size + 1e-9)) if size else 0
-        rest = max(0.0, given[p] - whole * size) if whole < most else 0.0
-        first = aims[p[0]] if p else (0, 0.0)
-        plan.append((list(p), whole, rest, *first))
-    plan = spark.createDataFrame(plan, "pattern array<string>, whole int, rest double, source_size long, target double")
+        words = F.create_map(*[F.lit(x) for k, v in quotas.items() if k is not None for x in (k, float(v))]) if any(k is not None for k in quotas) else F.lit(None).cast("map<string,double>")
+        aims = aims.withColumn("target", F.when(F.col("source").isNull(), F.lit(float(quotas.get(None, 0.0)))).otherwise(F.coalesce(F.try_element_at(words, "source"), F.lit(0.0))))
+    plan = written(planned(by_pattern, aims, most).coalesce(8))
     # The cut: bins whose sizes fit in the rest are taken whole; documents of the next bin are taken in order of hash.
     so_far = Window.partitionBy("pattern").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     cut = sized.withColumn("_before", F.coalesce(F.sum("size").over(so_far), F.lit(0)))
-    cut = cut.join(F.broadcast(plan), "pattern").where((F.col("_before") <= F.col("rest")) & (F.col("_before") + F.col("size") > F.col("rest")))
-    cut = cut.select("pattern", F.col("_bin").alias("_cut"), F.col("_before").alias("_full"))
-    plan = plan.join(cut, "pattern", "left").groupBy("pattern", "whole", "rest", "source_size", "target").agg(F.min("_cut").alias("_cut"), F.min_by("_full", "_cut").alias("_full"))
-    plan = spark.createDataFrame(plan.collect(), plan.schema)
-    out = rows.join(F.broadcast(plan), "pattern")
+    cut = cut.join(plan, "pattern").where((F.col("_before") <= F.col("rest")) & (F.col("_before") + F.col("size") > F.col("rest")))
+    cut = cut.groupBy("pattern").agg(F.min("_bin").alias("_cut"), F.min_by("_before", "_bin").alias("_full"))
+    plan = written(plan.join(cut, "pattern", "left").coalesce(8))
+    out = rows.join(plan, "pattern")
     edge = out.where(F.col("_bin") == F.col("_cut"))
-    run = Window.partitionBy("pattern").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("pattern").orderBy("_h", "doc_id", "size", *(["_row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("_before", F.col("_full") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     # A document that straddles the cut is taken if that comes nearer to it.
     edge = edge.withColumn("_extra", (F.col("_before") + F.col("size") / 2 <= F.col("rest")).cast("int"))
     even = out.where(F.col("_cut").isNull() | (F.col("_bin") != F.col("_cut")))
     even = even.withColumn("_extra", (F.col("rest") > 0).cast("int") * F.when(F.col("_cut").isNull(), 1).otherwise((F.col("_bin") < F.col("_cut")).cast("int")))
-    columns = ["doc_id", "pattern", "size", "source_size", "target", F.least(F.lit(most), F.col("whole") + F.col("_extra")).cast("long").alias("times")]
+    columns = ["doc_id", "pattern", "size", "source_size", "target", F.least(F.lit(most), F.col("whole") + F.col("_extra")).cast("long").alias("times"), *(["_row"] if row else [])]
     return even.select(*columns).unionAll(edge.select(*columns))
 
 
@@ -194,8 +226,13 @@ def op7_mixing(spark, sf_dir):
 
 
 def keep_mix(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
-    times = mix(docs.select("doc_id", "text", "source")).where("times > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("times").alias("_mix_times"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    repeated = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    """The documents as often as the mix takes them, with their own columns.
+
+    Each row is taken as often as it itself is due, whatever ids or texts it shares; null is a source
+    of its own; texts without words are never due and go; an empty table gives no rows.
+    """
+    row, times, copy = fresh(docs.columns, "_row_number", "_times", "_copy")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), docs)
+    due = mix(rows.select("doc_id", "text", "source", row), row=row).where("times > 0").select(F.col("_row").alias(f"{row}due"), F.col("times").alias(times))
+    repeated = rows.join(due, F.col(row) == F.col(f"{row}due")).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+    return repeated.select(*docs.columns)

@@ -32,8 +32,10 @@ from .textarrays import Words, slices, utf8
 
 LENGTH, END_ID = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Units whose ids a worker remembers; rows of all queues' buckets of one number at most; buckets of small inputs; rounds of a block of the stream.
+#: Units whose ids a worker remembers; rows of a bucket of small inputs; buckets of these; rounds of a block of the stream.
 REMEMBERED, BUCKET_ROWS, LEAST_BUCKETS, BLOCK_ROUNDS = 1_500_000, 2_500, 256, 256
+#: Buckets of a queue and blocks of the stream at most: so many totals go through one task; beyond it these grow.
+MOST_TOTALS = 1 << 16
 
 
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
@@ -174,21 +176,26 @@ def positions(rows: DataFrame, weights: dict | None = None, length: int = LENGTH
     which all queues end together.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    count = rows.count()
-    buckets = max(1, min(LEAST_BUCKETS, count // 50), -(-count // bucket_rows))
+    count, tokens = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    buckets = min(MOST_TOTALS, max(1, min(LEAST_BUCKETS, count // 50), -(-count // bucket_rows)))
+    # Rounds grow with the queue that has most of them; with given weights a small share makes more.
+    block_rounds = max(block_rounds, -(-tokens // (length * MOST_TOTALS)))
     order = F.xxhash64(F.lit(1), "doc_id")
     d = rows.select("row", "doc_id", "n", key.alias("queue"), order.alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     totals = d.groupBy("queue", "bucket").agg(F.sum("n").alias("total"))
+    totals = written(totals)
     earlier = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0))).withColumn("own", F.sum("total").over(Window.partitionBy("queue")))
+    own = totals.groupBy("queue").agg(F.sum("total").alias("own"))
     if weights is None:
-        share = F.col("own") / F.sum("total").over(Window.partitionBy())
-        totals = totals.withColumn("share", share)
+        own = own.select(F.col("queue").alias("_q"), (F.col("own") / F.lit(float(max(tokens, 1)))).alias("share"))
     else:
         given = F.create_map(*[x for k, w in weights.items() for x in (F.lit("null" if k is None else "=" + k), F.lit(float(w)))]) if weights else F.lit(None).cast("map<string,double>")
-        own = totals.select("queue").distinct().withColumn("w", F.coalesce(F.try_element_at(given, "queue"), F.lit(1.0)))
-        own = own.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy())).select(F.col("queue").alias("_q"), "share")
-        totals = totals.join(own, F.col("queue") == F.col("_q")).drop("_q")
+        own = own.select(F.col("queue").alias("_q"), F.coalesce(F.try_element_at(given, "queue"), F.lit(1.0)).alias("w"))
+        every = own.agg(F.sum("w")).first()[0] or 1.0
+        own = own.select("_q", (F.col("w") / every).alias("share"))
+        least = own.agg(F.min("share")).first()[0] or 1.0
+        block_rounds = max(block_rounds, int(tokens / (least * length * MOST_TOTALS)) + 1)
+    totals = totals.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0))).join(own, F.col("queue") == F.col("_q"))
     totals = totals.select(F.col("queue").alias("_queue"), F.col("bucket").alias("_bucket"), "before", "share")
     run = Window.partitionBy("queue", "bucket").orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("in_bucket", F.sum("n").over(run)).join(totals, (F.col("queue") == F.col("_queue")) & (F.col("bucket") == F.col("_bucket")))

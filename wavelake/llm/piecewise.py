@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, table, text_of, written
+from .common import SLICE_BYTES, partitions, table, text_of, written
 from .textarrays import BYTE_BASE, _byte_values, mixed, packed, powers, unpacked
 
 WINDOW, OVERLAP, MOST = 7, 2, 64
@@ -159,9 +159,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Rows are dealt out in ranges of doc_id, once; each task compares its rows with their next ones
     and hands on its first and last row, which are matched across tasks afterwards.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs)
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.xxhash64("text").alias("tie"))
-    ranged = packed(texts, "text", "frame").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie")
+    ranged = packed(texts, "text", "frame").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def swept(batches):
         held = first = None

@@ -86,32 +86,54 @@ class Words:
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         self.start = np.flatnonzero(inside & (~before | edge[:n]))
-        after = np.zeros(n, bool)
-        after[:-1] = inside[1:]
-        self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        before[:-1] = inside[1:]  # now: whether the byte after is inside
+        before[-1:] = False
+        self.end = np.flatnonzero(inside & (~before | edge[1:])) + 1
         self.of = np.searchsorted(self.start, offsets)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; lower: A-Z count as a-z."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_byte_values(lower)[self.data] * powers(BYTE_BASE, n), out=sums[1:])
-        inverse = pow(BYTE_BASE, -1, 1 << 64)
-        return mixed((sums[self.end] - sums[self.start]) * powers(inverse, n + 1)[self.start] + (self.end - self.start).astype(np.uint64))
+        return span_hashes(self.data, self.start, self.end, lower)
 
     def windows(self, size: int) -> np.ndarray:
         """Indices of the words at which a window of so many words of one text starts."""
-        index = np.arange(len(self.start))
-        stop = np.repeat(self.of[1:], np.diff(self.of))
-        return index[index + size <= stop]
+        last = np.zeros(len(self.start) + 1, np.int8)  # words with less than a window after them
+        np.add.at(last, np.maximum(self.of[1:] - (size - 1), self.of[:-1]), 1)
+        np.subtract.at(last, self.of[1:], 1)
+        return np.flatnonzero(np.cumsum(last[:-1], dtype=np.int8) == 0)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], spans in order and apart.
+
+    The polynomial starts anew after every SLICE_BYTES, so that a long text needs no more memory for
+    it than a short one; a hash doesn't depend on where that is.
+    """
+    out, values = np.empty(len(start), np.uint64), _byte_values(lower)
+    inverse, i = pow(BYTE_BASE, -1, 1 << 64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE_BYTES, "right")))
+        a, z = int(start[i]), int(end[j - 1])
+        sums = np.zeros(z - a + 1, np.uint64)
+        np.cumsum(values[data[a:z]] * powers(BYTE_BASE, z - a), out=sums[1:])
+        first, last = start[i:j] - a, end[i:j] - a
+        out[i:j] = mixed((sums[last] - sums[first]) * powers(inverse, z - a + 1)[first] + (last - first).astype(np.uint64))
+        i = j
+    return out
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, size: int, base: int = WORD_BASE) -> np.ndarray:
-    """A 64-bit hash of words[i : i + size] for each i in at."""
-    n = len(words)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * powers(base, n), out=sums[1:])
-    return mixed((sums[at + size] - sums[at]) * powers(pow(base, -1, 1 << 64), n + 1)[at])
+    """A 64-bit hash of words[i : i + size] for each i in at, which ascends. In slices, as span_hashes()."""
+    out, inverse, i = np.empty(len(at), np.uint64), pow(base, -1, 1 << 64), 0
+    while i < len(at):
+        j = int(np.searchsorted(at, at[i] + SLICE_BYTES // 4, "right"))
+        a, z = int(at[i]), int(at[j - 1]) + size
+        sums = np.zeros(z - a + 1, np.uint64)
+        np.cumsum(words[a:z] * powers(base, z - a), out=sums[1:])
+        k = at[i:j] - a
+        out[i:j] = mixed((sums[k + size] - sums[k]) * powers(inverse, z - a + 1)[k])
+        i = j
+    return out
 
 
 def packed(docs: DataFrame, text: str, to: str) -> DataFrame:
