@@ -47,11 +47,39 @@ def test_a_full_sketch_loses_nothing(spark, documents, monkeypatch):
     from wavelake.llm import passages
 
     monkeypatch.setattr(passages, "LEAST_BITS", 11)
+    monkeypatch.setattr(passages, "BLOCK_BITS", 3)
     rows = [(i, t) for i, t, _ in documents]
     found = {r.doc_id: r["_kept_text"] for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20, 11).collect()}
     assert all(found[i] == " ".join(kept) for i, (_, kept) in brute(rows, 20).items())
 
 
+def test_many_chunks_and_shared_ids(spark, monkeypatch):
+    """Chunks of a few hundred bytes; texts that share an id, rows that repeat, without an id too, in several chunks."""
+    from wavelake.llm import passages
+
+    monkeypatch.setattr(passages, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(passages, "BLOCK_BITS", 2)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(k % 9 if k % 4 else None, f"{'a b c ' * (k % 7)} {passage if k % 3 else ''} t{k % 11}") for k in range(80)]
+    found = [(r.doc_id, r.text, r["_kept_text"]) for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), 4).collect()]
+    assert sorted((r[0] or -1, r[1]) for r in found) == sorted((r[0] or -1, r[1]) for r in rows)
+    # Documents in order: by id, then by a hash of the text; equal rows are one.
+    import xxhash
+
+    key = lambda r: (-(1 << 63) if r[0] is None else r[0], xxhash.xxh64_intdigest(r[1].encode()) >> 1 if sum(q[0] == r[0] for q in rows) > 1 else 0)
+    one = {key(r): r[1] for r in rows}
+    want = brute(list(one.items()), 4)
+    assert all(kept == " ".join(want[key((i, t))][1]) for i, t, kept in found)
+
+
+def test_share_of_windows_passed_on(spark, documents):
+    """A sketch of four cells a window lets few windows through that occur once; one of a cell for ten of them lets all."""
+    from wavelake.llm.passages import Layout
+
+    assert [Layout(n, 16).bits for n in (10**6, 10**9, 10**12, 10**14)] == [20, 30, 40, 46]
+    assert [(Layout(n, 16).low, Layout(n, 16).chunk >> 20) for n in (10**9, 10**14)] == [(22, 12), (26, 192)]
+
+
 def test_odd_rows(odd):
     found = drop_repeats(odd)
     assert found.columns == [*odd.columns, "_n_words", "_n_removed", "_kept_text"]

@@ -55,8 +55,10 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 
 def volume(df: DataFrame) -> int:
-    """Bytes of df's files as Spark estimates them, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables that df reads, as Spark knows them without a job; rows whose size it doesn't know count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def partitions(source: DataFrame, bytes_each: int = FILE_BYTES) -> int:
