@@ -12,38 +12,41 @@ from pyspark.sql import functions as F
 
 from wavelake.llm.boosting import keep_good
 from wavelake.llm.common import small_batches, table, written
+from wavelake.llm.copies import keep_one
 from wavelake.llm.mixing import keep_mix
 from wavelake.llm.packing import pack
 from wavelake.llm.passages import without_repeats
-from wavelake.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject, each judged by its text; see boosting.keep_good()."""
     small_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five-word shingles alike to 0.8 or more; see copies."""
     small_batches(spark)
     return keep_one(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occur earlier."""
+    """Documents without passages that occur earlier; ones that lose all words go; see passages.without_repeats()."""
     small_batches(spark)
     return without_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, row by row; see mixing.keep_mix()."""
     small_batches(spark)
     return keep_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null and empty texts are one piece, their end token; rows that repeat are packed as often.
+    """
     small_batches(spark)
     return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
