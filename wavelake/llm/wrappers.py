@@ -4,14 +4,19 @@ A page is read as a stream of block tags and text; inline tags melt into the tex
 union-free regular expression over such streams, kept as a tree: a tag (with its class, id and role)
 holds a sequence of items; an item may be optional or a repeated group; a text is a literal while
 all pages agree on it and a slot once two differ. Pages are aligned with the wrapper so far:
-equal neighbours fold into repeated groups, sequences are aligned by their longest common
-subsequence of tags, what only one side has becomes optional, and differing texts become slots.
+equal neighbours fold into repeated groups, sequences are aligned so that items stand together which
+have the same tag and most in common below, what only one side has becomes optional, and differing
+texts become slots. Long sequences are parted at anchors first, so that memory stays bounded.
 Two wrappers are aligned in the same way, so each task infers wrappers of its own pages and these
 are merged by host, first in salted parts, so that a host with a third of all pages is shared out.
 
-With a host's wrapper complete, its items are judged once, by the tags and names on their path and by
-the text and link mass of their slots over all pages of the host; a page's text is that of its items
-that the wrapper holds to be the article.
+With a host's wrapper complete, its items are judged once. With three pages or more its structure
+decides: going down from the root, the part that holds most of the text in slots is the main part, if it
+neither repeats nor is missing from many pages; constant texts and lists of links in it are frame. Tags
+break ties: an article or main element that has its share of this text is believed as it is, and tags of
+frames (nav, footer, form ...) are no text. Names of classes count only on hosts of one or two pages,
+where there is nothing to compare. A page's text is that of its items that the wrapper holds to be the
+article.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own; pages that
 are alone on their host are their own wrapper; repeated rows get equal results; text that is the same
@@ -25,18 +30,22 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, table
+from .common import FILE_BYTES, compact, partitions, table, volume
 from .textarrays import packed, unpacked
 
-#: Parts in which the wrappers of one host are merged before they meet.
+#: Parts in which the wrappers of one host are merged before they meet: these at least, and one for each 64 MB of pages.
 SALTS = 16
-#: Items of one sequence beyond which items of the same tag fold into one group wherever they stand.
-LONG = 256
+#: Cells of the table by which two sequences are aligned, at most.
+CELLS = 1 << 18
+#: Pages from which on a host's wrapper tells what is constant; share of a part's text below which nothing in it is its main part.
+ENOUGH, MAIN = 3, 0.5
 #: Open tags beyond which further ones are held to be siblings, as browsers do.
 DEEP = 200
 
@@ -150,29 +159,95 @@ def _alike(a: list, b: list) -> bool:
     return a[SIGN] == b[SIGN] and (a[SIGN].split(".")[0] in _LEAVES or _shape(a) == _shape(b))
 
 
-def _folded(items: list) -> list:
+def _folded(items: list, same_page: bool = True) -> list:
+    """Neighbours that are alike made one repeated item; those of a wrapper only if one of them repeats already."""
     out: list = []
     for x in items:
-        if out and _alike(out[-1], x):
+        if out and _alike(out[-1], x) and (same_page or out[-1][REPEATED] or x[REPEATED]):
+            optional = out[-1][OPTIONAL] & x[OPTIONAL]
             out[-1] = merged(out[-1], x, same_page=True)
-            out[-1][REPEATED] = 1
+            out[-1][REPEATED], out[-1][OPTIONAL] = 1, optional
         else:
             out.append(x)
     return out
 
 
-def _aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
-    """Places of two sequences side by side, by their longest common subsequence."""
+def _key(item: list, below: int) -> tuple:
+    """What an item is aligned by: its sign, and the signs of what it holds."""
+    return item[0], frozenset(x[0] for x in item[below])
+
+
+def _fit(a: tuple, b: tuple) -> float:
+    """How well two items fit each other: 0 if not at all, more the more they have in common below."""
+    if a[0] != b[0]:
+        return 0.0
+    if not a[1] or not b[1]:
+        return 1.0 if a[1] == b[1] else 0.25
+    return len(a[1] & b[1]) / len(a[1] | b[1]) + 0.25
+
+
+def _anchors(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of equal keys that occur once on both sides, as many as rise on both (by patience)."""
+    once = lambda x: {k: i for i, k in enumerate(x) if counts[k] == 1}
+    counts = Counter(a)
+    left = once(a)
+    counts = Counter(b)
+    pairs = sorted((left[k], j) for k, j in once(b).items() if k in left)
+    tops, top_at, back = [], [], []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tops, j)
+        tops[k : k + 1], top_at[k : k + 1] = [j], [n]
+        back.append(top_at[k - 1] if k else -1)
+    out, n = [], top_at[-1] if top_at else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = back[n]
+    return out[::-1]
+
+
+def _aligned(a: list[tuple], b: list[tuple]) -> list[tuple[int | None, int | None]]:
+    """Places of two sequences of keys side by side, so that what fits most stands together.
+
+    Sequences are first parted at anchors. What is between is aligned by a table of at most CELLS cells;
+    beyond it, by equal keys in turn, which needs no table.
+    """
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
+    for x, y in [*(_anchors(a, b) if len(a) * len(b) > CELLS // 16 else []), (len(a), len(b))]:
+        out += [(None if p is None else i + p, None if q is None else j + q) for p, q in _between(a[i:x], b[j:y])]
+        if x < len(a):
+            out.append((x, y))
+        i, j = x + 1, y + 1
+    return out
+
+
+def _between(a: list[tuple], b: list[tuple]) -> list[tuple[int | None, int | None]]:
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
+    if n * m > CELLS:
+        places: dict[tuple, list[int]] = {}
+        for k in range(m - 1, -1, -1):
+            places.setdefault(b[k], []).append(k)
+        for i in range(n):
+            at = places.get(a[i], [])
+            while at and at[-1] < j:
+                at.pop()
+            if at:
+                out += [(None, k) for k in range(j, at[-1])] + [(i, at[-1])]
+                j = at.pop() + 1
+            else:
+                out.append((i, None))
+        return out + [(None, k) for k in range(j, m)]
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
+        row, under = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    out: list[tuple[int | None, int | None]] = []
+            fit = _fit(a[i], b[j])
+            row[j] = max(under[j], row[j + 1], under[j + 1] + fit if fit else 0.0)
     i = j = 0
     while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
+        if i < n and j < m and (fit := _fit(a[i], b[j])) and best[i][j] == best[i + 1][j + 1] + fit:
             out.append((i, j))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
@@ -187,26 +262,19 @@ def _aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
 def merged(a: list, b: list, same_page: bool = False) -> list:
     """The wrapper of all that either of two wrappers of the same tag stands for."""
     x, y = a[ITEMS], b[ITEMS]
-    if len(x) == len(y) and all(p[SIGN] == q[SIGN] for p, q in zip(x, y, strict=True)):
+    keys = [_key(p, ITEMS) for p in x], [_key(q, ITEMS) for q in y]
+    if keys[0] == keys[1]:
         items = [merged(p, q, same_page) for p, q in zip(x, y, strict=True)]
     else:
         items = []
-        for i, j in _aligned([p[SIGN] for p in x], [q[SIGN] for q in y]):
+        for i, j in _aligned(*keys):
             if i is not None and j is not None:
                 items.append(merged(x[i], y[j], same_page))
             else:
                 only = list(x[i] if j is None else y[j])
                 only[OPTIONAL] = 1
                 items.append(only)
-        if len(items) > LONG:
-            by: dict[str, list] = {}
-            for p in items:
-                if p[SIGN] in by:
-                    by[p[SIGN]][:] = merged(by[p[SIGN]], p, same_page)
-                    by[p[SIGN]][REPEATED] = 1
-                else:
-                    by[p[SIGN]] = p
-            items = list(by.values())
+        items = _folded(items, same_page)
     literal = a[LITERAL] if a[LITERAL] == b[LITERAL] else None
     pages = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
     return [a[SIGN], a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], pages, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], literal, items]
@@ -249,48 +317,104 @@ def _spared(wrapper: list) -> list:
     return spared(wrapper)
 
 
-def judged(wrapper: list) -> list:
-    """[sign, whether its text is the article's, items, whether it repeats] of each item of a wrapper."""
-    signs = wrapper
-    wrapper = _spared(wrapper)
-    found: dict[int, list] = {1: [], 2: []}
+def _text(item: list) -> int:
+    """Characters below an item that speak for an article: those of slots, which differ between pages and are no lists of links."""
+    if item[SIGN] == "#":
+        constant = item[PAGES] >= ENOUGH and item[LITERAL] is not None
+        return 0 if constant or 2 * item[LINKED] > item[CHARS] else item[CHARS]
+    return 0 if item[SIGN].split(".")[0] in _OUT else sum(map(_text, item[ITEMS]))
+
+
+def _main(wrapper: list) -> list:
+    """The part of a host's wrapper that holds its text: down from the root as long as one part has most of it.
+
+    Blocks of text are no parts, but pieces of one. A part that repeats is a list (of comments, say), and
+    one that many pages lack is an extra: neither is a main part.
+    """
+    node, pages = wrapper, wrapper[PAGES]
+    while True:
+        parts = [x for x in node[ITEMS] if x[SIGN] != "#" and x[SIGN].split(".")[0] not in _LEAVES]
+        whole = [x for x in parts if not x[REPEATED] and 2 * x[PAGES] > pages] or parts
+        best = max(whole, key=_text, default=None)
+        if best is None or _text(best) == 0 or _text(best) < MAIN * sum(_text(x) for x in node[ITEMS] if x in whole or x not in parts):
+            return node
+        node = best
+
 
-    def search(item, path):
+def _elements(wrapper: list, tags: tuple[str, ...]) -> list:
+    """Outermost elements of some tags, with text, that no frame's tag holds."""
+    out = []
+
+    def search(item):
         for x in item[ITEMS]:
-            if _ruled_out(x[SIGN], False):
-                continue
-            tag, _, names = x[SIGN].partition(".")
-            rank = 1 if tag in ("article", "main") or re.search(r"(?:^|\.)(?:main|articlebody)(?:\.|$)", names) else 2 if names and tag not in ("html", "body") and _MAIN_NAME.search(names) else 0
-            if rank and _mass(x)[0]:
-                found[rank].append((x, path))
-            search(x, (*path, id(x)))
-
-    search(wrapper, ())
-    chosen: set[int] = set()
-    if found[1]:
-        articles = [(x, p) for x, p in found[1] if x[SIGN].split(".")[0] == "article"]
-        mains = [x for x, _ in found[1] if x[SIGN].split(".")[0] != "article"]
-        top = [x for x, p in articles if not any(id(y) in p for y, _ in articles)]
-        if mains and sum(_mass(x)[0] for x in top) < 0.4 * max(_mass(x)[0] for x in mains):
-            top = [max(mains, key=lambda x: _mass(x)[0])]
-        most = max(_mass(x)[0] for x in top or mains)
-        chosen = {id(x) for x in top or mains if _mass(x)[0] >= 0.25 * most}
-    elif found[2]:
-        most = max(_mass(x)[0] for x, _ in found[2])
-        if most >= 0.5 * _mass(wrapper)[0]:
-            chosen = {id(min((x for x, _ in found[2] if _mass(x)[0] >= 0.8 * most), key=lambda x: _mass(x)[0]))}
-
-    def mark(item, own, inside, out):
-        out = out or _ruled_out(item[SIGN], inside) if item[SIGN] else out
-        inside = inside or id(item) in chosen
+            tag = x[SIGN].split(".")[0]
+            if tag in tags:
+                if _text(x):
+                    out.append(x)
+            elif tag not in _OUT:
+                search(x)
+
+    search(wrapper)
+    return out
+
+
+def _by_names(wrapper: list) -> list:
+    """Of a wrapper without enough pages to compare: the part that its names hold to be the content, or none."""
+    found: list[list] = []
+
+    def search(item):
+        for x in item[ITEMS]:
+            if not _ruled_out(x[SIGN], False):
+                tag, _, names = x[SIGN].partition(".")
+                if names and tag not in ("html", "body") and _MAIN_NAME.search(names) and _mass(x)[0]:
+                    found.append(x)
+                search(x)
+
+    search(wrapper)
+    most = max((_mass(x)[0] for x in found), default=0)
+    if found and most >= 0.5 * _mass(wrapper)[0]:
+        return [min((x for x in found if _mass(x)[0] >= 0.8 * most), key=lambda x: _mass(x)[0])]
+    return []
+
+
+def judged(wrapper: list) -> list:
+    """[sign, whether its text is the article's, items, whether it repeats] of each item of a wrapper.
+
+    With pages enough, structure decides: the main part holds the article, and in it what is constant
+    over all pages and lists of links are no text. An article or main element is believed where it
+    has a quarter of that part's text, or holds it. Names decide only where there are too few pages.
+    """
+    enough = wrapper[PAGES] >= ENOUGH
+    signs = wrapper
+    wrapper = wrapper if enough else _spared(wrapper)
+    articles, mains = _elements(wrapper, ("article",)), _elements(wrapper, ("main",))
+    if mains and sum(map(_text, articles)) < 0.4 * max(map(_text, mains)):
+        articles = [max(mains, key=_text)]
+    articles = [x for x in articles if _text(x) >= 0.25 * max(map(_text, articles))]
+    named: list = []
+    if enough:
+        part = _main(wrapper)
+        tagged = bool(articles) and sum(map(_text, articles)) >= 0.25 * _text(part)
+        chosen = articles if tagged else [part]
+    else:
+        tagged = bool(articles)
+        named = [] if articles else _by_names(wrapper)
+        chosen = articles or named
+    own = {id(x) for x in chosen}
+
+    def mark(item, sign, inside, out):
+        tag = item[SIGN].split(".")[0]
+        if item[SIGN]:
+            out = out or (_ruled_out(item[SIGN], inside) if not enough else tag in _OUT or tag == "header" and not inside)
+        inside = inside or id(item) in own
         if item[SIGN] == "#":
-            if chosen:
+            if tagged or named:
                 good = inside and not out
-            else:  # no such element: texts that vary and are no lists of links
-                constant = item[PAGES] > 2 and item[LITERAL] is not None
-                good = not out and not constant and 2 * item[LINKED] <= item[CHARS]
+            else:  # texts that differ and are no lists of links
+                constant = item[PAGES] >= ENOUGH and item[LITERAL] is not None
+                good = inside and not out and not constant and 2 * item[LINKED] <= item[CHARS]
             return ["#", int(good), [], item[REPEATED]]
-        return [own[SIGN], 0, [mark(x, y, inside, out) for x, y in zip(item[ITEMS], own[ITEMS], strict=True)], item[REPEATED]]
+        return [sign[SIGN], 0, [mark(x, y, inside, out) for x, y in zip(item[ITEMS], sign[ITEMS], strict=True)], item[REPEATED]]
 
     return mark(wrapper, signs, not chosen, False)
 
@@ -300,20 +424,28 @@ def extracted(page: list, wrapper: list) -> str:
     out: list[str] = []
 
     def walk(nodes, items):
-        at = 0
+        # Runs of nodes that are alike stand for one repeated item, as in _folded().
+        runs: list[list] = []
         for node in nodes:
-            sign = node[0]
-            fits = [k for k in (*range(at, len(items)), *range(at)) if items[k][0] == sign]
-            if not fits:
-                continue  # cannot be: the wrapper stands for all pages of its host
-            below = {x[0] for x in node[1]} if sign != "#" else set()
-            k = next((k for k in fits if below <= {x[0] for x in items[k][2]}), fits[0]) if len(fits) > 1 else fits[0]
-            at = k if items[k][3] else k + 1
-            if sign == "#":
-                if items[k][1]:
-                    out.append(node[1])
+            key = ("#", frozenset()) if node[0] == "#" else _key(node, 1)
+            if runs and runs[-1][0][0] == key[0] and (key[0].split(".")[0] in _LEAVES or runs[-1][0] == key):
+                runs[-1][1].append(node)
             else:
-                walk(node[1], items[k][2])
+                runs.append([key, [node]])
+        known = [_key(x, 2) for x in items]
+        keys = [r[0] for r in runs]
+        pairs = [(k, k) for k in range(len(keys))] if keys == known else [(i, j) for i, j in _aligned(keys, known) if i is not None]
+        for i, j in pairs:
+            if j is None:  # a repeated item may stand for several runs
+                fits = [(_fit(keys[i], known[k]) + items[k][3], -k) for k in range(len(known)) if known[k][0] == keys[i][0]]
+                if not fits:
+                    continue  # cannot be: the wrapper stands for all pages of its host
+                j = -max(fits)[1]
+            for node in runs[i][1]:
+                if node[0] != "#":
+                    walk(node[1], items[j][2])
+                elif items[j][1]:
+                    out.append(node[1])
 
     walk(page[1], wrapper[2])
     return " ".join(out)
@@ -354,9 +486,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(list(by), pa.string()), pa.array([json.dumps(w) for w in by.values()], pa.string())], ["host", "wrapper"])
 
     shape = "host string, salt int, wrapper string"
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(pages)
+    salts = max(SALTS, min(volume(pages) // FILE_BYTES, 1 << 12))
     found = pages.select("host", F.col("html").cast("string")).mapInArrow(inferred, "host string, wrapper string")
-    found = found.select("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int").alias("salt"), "wrapper")
+    found = found.select("host", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int").alias("salt"), "wrapper")
     found = found.repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", "wrapper").mapInArrow(_merging, shape)
     found = found.withColumn("salt", F.lit(0)).repartition(parts, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_merging, shape)
 
