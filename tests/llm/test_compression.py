@@ -1,8 +1,11 @@
+import math
 import random
 import re
 from collections import Counter
 
-from wavelake.llm.compression import judge, op6_compression
+import zstandard
+
+from wavelake.llm.compression import BANDS, CHUNK_BAND, judge, op6_compression
 
 from .conftest import SF, WORD
 
@@ -31,6 +34,50 @@ def test_whole_table_against_plain_counts(spark, documents):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
 
 
+def verdict(text):
+    """Whether a text passes the bands, one chunk after the other."""
+    def ratio(x):
+        return len(x) / len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(x))
+
+    def band(x):
+        low, high = 0, math.inf
+        for least, a, b in BANDS:
+            low, high = (a, b) if len(x) >= least else (low, high)
+        return low <= ratio(x) <= high
+
+    data = text.encode()
+    if not data:
+        return True
+    chunks = [data[k : k + 4096] for k in range(0, len(data), 4096)]
+    outside = sum(len(c) for c in chunks if not (CHUNK_BAND[0] <= ratio(c) <= CHUNK_BAND[1] if len(c) == 4096 else band(c)))
+    return band(data) and 2 * outside <= len(data)
+
+
+def test_verdicts_against_plain_chunks(spark, documents):
+    noise = random.Random(2)
+    junk = "".join(chr(noise.randrange(33, 127)) for _ in range(4000))
+    texts = [t or "" for _, t, _ in documents]
+    texts += [texts[0][:4096] + junk, junk, " ".join(texts[1:9])[:4000] + " " + junk[:2000], "same words again " * 900]
+    rows = {r.doc_id: r for r in judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].kept == (verdict(t) and not rows[i].base_failed) and rows[i].n_chunks == -(-len(t.encode()) // 4096)
+    assert not rows[len(documents)].kept  # what lies in the last chunk alone counts
+
+
+def test_sql_of_the_counts(spark):
+    import duckdb
+
+    from wavelake.llm.queries import QUERIES, SQL
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name in ("compression_counts", "mixing_targets"):
+        df = QUERIES[name](spark, SF)
+        found = c.execute(SQL[name])
+        at = [[d[0] for d in found.description].index(k) for k in df.columns]
+        assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(repr(tuple(r[k] for k in at)) for r in found.fetchall())
+
+
 def test_good_documents_stay_and_extremes_go(spark, documents):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = {r.doc_id: r for r in op6_compression(spark, SF).collect()}

@@ -1,18 +1,38 @@
-"""The text operators' queries and their SQL."""
+"""The text operators' queries and their SQL.
+
+Queries without a number show a part of an operator that SQL can express.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .boosting import op8_boosting
-from .compression import op6_compression
+from .common import table
+from .compression import judge, op6_compression
 from .language import op4_language
 from .maxent import op2_maxent
-from .mixing import op7_mixing
+from .mixing import mix, op7_mixing
 from .packing import op1_packing
 from .passages import op5_passages
 from .piecewise import op3_piecewise
 from .simhash import op10_simhash
 from .wrappers import op9_wrappers
 
+
+
+def compression_counts(spark, sf_dir):
+    """op6's counts and base rules, without the bands."""
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark, sf_dir):
+    """op7's sizes and targets by source, from its documents."""
+    d = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    d = d.groupBy(F.col("pattern")[0].alias("source")).agg(F.count("*").alias("documents"), F.sum("size").alias("words"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 3).alias("target"))
+    return d.select("source", "documents", "words", "source_size", "target")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_maxent": op2_maxent,
@@ -24,6 +44,8 @@ QUERIES = {
     "op8_boosting": op8_boosting,
     "op9_wrappers": op9_wrappers,
     "op10_simhash": op10_simhash,
+    "compression_counts": compression_counts,
+    "mixing_targets": mixing_targets,
 }
 SQL: dict[str, str] = {
     "op5_passages": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -33,4 +55,16 @@ SQL: dict[str, str] = {
  every AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
  kept AS (SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.p) AS t FROM every e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
  SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id""",
+    "compression_counts": r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ x AS (SELECT doc_id, s, ws[s:s + 2] AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS s FROM w WHERE len(ws) >= 3)),
+ twice AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, win) AS k FROM x) WHERE k > 1),
+ again AS (SELECT doc_id, count(DISTINCT s + i) AS n FROM twice, range(0, 3) t(i) GROUP BY doc_id),
+ lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+ SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(again.n, 0) > 50 * len(ws) AS base_failed
+ FROM w LEFT JOIN again ON w.doc_id = again.doc_id LEFT JOIN lines ON w.doc_id = lines.doc_id""",
+    "mixing_targets": r"""WITH s AS (SELECT source, count(*) AS documents, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS words FROM documents GROUP BY source),
+ w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 3.0 * words AS cap, sum(words) OVER () AS total FROM s),
+ l AS (SELECT *, cap / weight AS ratio, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+ a AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level <= ratio)
+ SELECT source, documents, words, words AS source_size, round(least(cap, coalesce(a.level * weight, cap)), 3) AS target FROM l LEFT JOIN a ON TRUE""",
 }
