@@ -130,7 +130,7 @@ def folded_floors(spark, sf_dir):
  round(10 * log10(rms), 5) AS rms_dbfs, round(10 * log10(peak), 5) AS peak_dbfs, round(10 * log10(floor), 5) AS noise_floor_dbfs, part >= {C.CLIP} AS clipping FROM c JOIN q ON c.n = q.n""",
     _LONG_SQL,
 )
-def receiver_calibration(spark, sf_dir):
+def block_calibration(spark, sf_dir):
     d = D.calibrate(_long_blocks(spark, sf_dir), 8e6)
     return d.select("ts", "samples", *_r("dc_i", "dc_q", digits=7), *_r("dc_magnitude_dbfs", digits=4), *_r("gain_imbalance", digits=6), *_r("quadrature_skew_deg", "rms_dbfs", "peak_dbfs", "noise_floor_dbfs", digits=5), "clipping")
 
@@ -143,7 +143,7 @@ def receiver_calibration(spark, sf_dir):
  SELECT d.n::BIGINT AS block_index, round(duty, 6) AS duty_cycle, round(envelope_kurtosis, 4) AS envelope_kurtosis, coalesce(best >= 0.25 * zero, FALSE) AS periodic FROM d JOIN kur ON d.n = kur.n LEFT JOIN top ON d.n = top.n""",
     _LONG_SQL,
 )
-def interference_blocks(spark, sf_dir):
+def block_interference(spark, sf_dir):
     from .operators.analysis import classified
 
     d = classified(D.block_figures(_long_blocks(spark, sf_dir), 8e6), ["session", "epoch"])
@@ -203,3 +203,17 @@ def measured_capture(spark, sf_dir):
         "snr_near": c("snr_db").between(15, 45), "eye_open": c("eye_opening") > 0.3, "ramp_near": c("rise_time_us").between(0.2, 5), "filtered": c("effective_bt").between(0.1, 1.0), "spread_small": c("freq_error_rms") < 100e3,
     }
     return d.select("session", "number", "adva", "pdu_name", "crc_ok", "info", *[(F.round(k, n) + 0.0).alias(k) for k, n in (("modulation_index", 1), ("rssi_dbfs", 0))], *[v.alias(k) for k, v in checks.items()])
+
+
+@query()
+def interference_blocks(spark, sf_dir):
+    """Figures and classes of all captures' blocks; block_interference holds the figures to SQL."""
+    from .operators.analysis import classified
+
+    return classified(D.block_figures(_capture(spark, sf_dir), 8e6), ["session", "epoch"])
+
+
+@query()
+def receiver_calibration(spark, sf_dir):
+    """Calibration figures of all captures' blocks; block_calibration holds them to SQL."""
+    return D.calibrate(_capture(spark, sf_dir), 8e6)
