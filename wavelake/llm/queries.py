@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .boosting import op8_boosting
 from .common import table
 from .compression import judge, op6_compression
+from .interaction import op12_interaction
 from .language import op4_language
 from .maxent import op2_maxent
 from .mixing import mix, op7_mixing
@@ -44,6 +45,7 @@ QUERIES = {
     "op8_boosting": op8_boosting,
     "op9_wrappers": op9_wrappers,
     "op10_simhash": op10_simhash,
+    "op12_interaction": op12_interaction,
     "compression_counts": compression_counts,
     "mixing_targets": mixing_targets,
 }
@@ -67,4 +69,14 @@ SQL: dict[str, str] = {
  l AS (SELECT *, cap / weight AS ratio, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
  a AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level <= ratio)
  SELECT source, documents, words, words AS source_size, round(least(cap, coalesce(a.level * weight, cap)), 3) AS target FROM l LEFT JOIN a ON TRUE""",
+    "op12_interaction": r"""WITH p AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM (VALUES ('A'),('B'),('C'),('D'),('E')) a(f), (VALUES ('A'),('B'),('C'),('D'),('E')) b(f), (VALUES ('A'),('B'),('C'),('D'),('E')) c(f), (VALUES ('A'),('B'),('C'),('D'),('E')) d(f), (VALUES ('A'),('B'),('C'),('D'),('E')) e(f) WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+ t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ g AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ x AS (SELECT part, concat(CASE WHEN len(ws) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' END, CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' END,
+  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM t LEFT JOIN g USING (doc_id)),
+ n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY part, fails),
+ s AS (SELECT part, filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS f, fails, n, good, toxic, length(regexp_replace(filter_order, '[' || CASE WHEN fails = '' THEN '_' ELSE fails END || '].*', '')) + 1 AS first FROM n, p, range(1, 6) r(step)),
+ a AS (SELECT part, filter_order, step, f, sum(CASE WHEN first > step THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN first = step THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN first < step AND contains(fails, f) THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN first = step THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN first = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM s GROUP BY part, filter_order, step, f)
+ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM a""",
 }
