@@ -22,6 +22,8 @@ text are one document. No rows give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,8 +165,8 @@ def group_links(keys: list[np.ndarray], fp: np.ndarray, group_rows: int) -> tupl
     return order[found[0]], order[found[1]]
 
 
-def likeness(left: list[bytes], right: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Shared shingles over all different ones of each pair of texts."""
+def overlaps(left: list[bytes], right: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shared shingles and all different ones of each pair of texts."""
     n = len(left)
     h, edge = shingles(*flat([*left, *right]), size)
     side = np.repeat(np.arange(2 * n), np.diff(edge))
@@ -177,20 +179,20 @@ def likeness(left: list[bytes], right: list[bytes], size: int = SHINGLE) -> np.n
     h, pair = h[order], pair[order]
     twice = np.concatenate([[False], (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])])
     both = np.bincount(pair[twice], minlength=n)
-    return both / np.maximum(np.bincount(pair, minlength=n) - both, 1)
+    return both, np.bincount(pair, minlength=n) - both
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The (u, v) of pairs whose texts are alike; texts: (node, mark)."""
-    sides = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = texts.select("node", "mark").join(sides, "node").withColumnRenamed("mark", "_wanted")
-    rows = docs.select(_mark().alias("_text_mark"), text_of().alias("text"))
-    # One text for each mark; rows of equal mark have equal texts.
-    found = packed(rows.join(wanted, F.col("_text_mark") == F.col("_wanted")).select("node", "text"), "text", "frame")
-    found = written(found.groupBy("node").agg(F.min("frame").alias("frame")), docs)
-    d = pairs.join(found.select(F.col("node").alias("u"), F.col("frame").alias("left")), "u").join(found.select(F.col("node").alias("v"), F.col("frame").alias("right")), "v")
+def likeness(left: list[bytes], right: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Shared shingles over all different ones of each pair of texts."""
+    both, all_ = overlaps(left, right, size)
+    return both / np.maximum(all_, 1)
 
-    def compared(batches):
+
+def compared(pairs: DataFrame, frames: DataFrame, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int = SHINGLE) -> DataFrame:
+    """The (u, v) of pairs for which alike(shared, all) holds; frames: (node, frame) of nodes' texts."""
+    d = pairs.join(frames.select(F.col("node").alias("u"), F.col("frame").alias("left")), "u").join(frames.select(F.col("node").alias("v"), F.col("frame").alias("right")), "v")
+
+    def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, COMPARED):
                 part = b.slice(k, COMPARED)
@@ -200,11 +202,22 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similar: float
                 while i < part.num_rows:
                     done = sizes[i - 1] if i else 0
                     j = max(i + 1, int(np.searchsorted(sizes, done + (1 << 22), "right")))
-                    keep.append(likeness(texts_[0][i:j], texts_[1][i:j]) >= similar)
+                    keep.append(alike(*overlaps(texts_[0][i:j], texts_[1][i:j], size)))
                     i = j
                 yield part.select([0, 1]).filter(pa.array(np.concatenate(keep)))
 
-    return d.select("u", "v", "left", "right").mapInArrow(compared, "u long, v long")
+    return d.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The (u, v) of pairs whose texts are alike; texts: (node, mark)."""
+    sides = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = texts.select("node", "mark").join(sides, "node").withColumnRenamed("mark", "_wanted")
+    rows = docs.select(_mark().alias("_text_mark"), text_of().alias("text"))
+    # One text for each mark; rows of equal mark have equal texts.
+    found = packed(rows.join(wanted, F.col("_text_mark") == F.col("_wanted")).select("node", "text"), "text", "frame")
+    found = written(found.groupBy("node").agg(F.min("frame").alias("frame")), docs)
+    return compared(pairs, found, lambda both, all_: both >= similar * np.maximum(all_, 1))
 
 
 def groups(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -14,6 +14,7 @@ from .interaction import op12_interaction
 from .language import op4_language
 from .maxent import op2_maxent
 from .mixing import mix, op7_mixing
+from .ngramjoin import op11_ngramjoin
 from .packing import op1_packing
 from .passages import op5_passages
 from .piecewise import op3_piecewise
@@ -45,6 +46,7 @@ QUERIES = {
     "op8_boosting": op8_boosting,
     "op9_wrappers": op9_wrappers,
     "op10_simhash": op10_simhash,
+    "op11_ngramjoin": op11_ngramjoin,
     "op12_interaction": op12_interaction,
     "compression_counts": compression_counts,
     "mixing_targets": mixing_targets,
@@ -69,6 +71,15 @@ SQL: dict[str, str] = {
  l AS (SELECT *, cap / weight AS ratio, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
  a AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level <= ratio)
  SELECT source, documents, words, words AS source_size, round(least(cap, coalesce(a.level * weight, cap)), 3) AS target FROM l LEFT JOIN a ON TRUE""",
+    "op11_ngramjoin": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+ l AS (SELECT u, v FROM p JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * i >= 85 * (x.n + y.n - i)),
+ e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+ r AS (SELECT u AS doc_id, u AS c FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id),
+ c AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.doc_id""",
     "op12_interaction": r"""WITH p AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM (VALUES ('A'),('B'),('C'),('D'),('E')) a(f), (VALUES ('A'),('B'),('C'),('D'),('E')) b(f), (VALUES ('A'),('B'),('C'),('D'),('E')) c(f), (VALUES ('A'),('B'),('C'),('D'),('E')) d(f), (VALUES ('A'),('B'),('C'),('D'),('E')) e(f) WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
  t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
  g AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
