@@ -79,7 +79,7 @@ def test_against_all_pairs(spark, group_rows):
 
 def test_pairs_only_the_second_round_finds(spark, monkeypatch):
     """Without the neighbours' round all links come through the filters."""
-    empty = lambda grouped, parts: grouped.selectExpr("node as u", "node as v").limit(0)
+    empty = lambda grouped, *more: grouped.selectExpr("node as u", "node as v").limit(0)
     monkeypatch.setattr(ngramjoin, "neighbours", empty)
     texts = corpus(np.random.default_rng(3))
     check(spark, list(enumerate(texts)), group_rows=50)

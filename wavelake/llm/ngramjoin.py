@@ -10,13 +10,15 @@ n - ceil(bound * n) + 1 of each (its prefix), so only prefixes are joined:
 2. Each document orders its shingles by class and hash and yields its prefix: shingle, place, and how many
    of the shingles after it fall in each of eight parts of the hash space. Equal sets are one node.
 3. Nodes that share a prefix shingle are joined on it. A pair has to pass the length filter (sizes), the
-   positional filter (what can be shared from these places on) and the suffix filter (the parts'
-   differences, which the sets cannot make good). What passes is compared once, on all its shingles.
+   positional filter (what can be shared from these places on) and the suffix filters (the parts'
+   differences, which the sets cannot make good; then those of SKETCH parities of counts by hash, of which no
+   more can differ than shingles do). What passes is compared once, on all its shingles.
 
-A group of m near copies has m * m pairs but needs m - 1 links. So each node is first compared with its
-neighbour by size in the HOMES largest groups it is in, and these links' components are found; after that
-pairs within a component are left out, and all others are compared: nothing is lost. A shingle's group beyond
-GROUP_ROWS is dealt out as pairs of blocks, rows of its largest component only against other rows.
+A group of m near copies has m * m pairs but needs m - 1 links. So each node is first compared with the
+nearest by parities of the NEAR before it by size, in each of the HOMES largest groups it is in, and these
+links' components are found; after that pairs within a component are left out, and all others that pass
+the filters are compared: nothing is lost. A shingle's group beyond GROUP_ROWS is dealt out as pairs of
+blocks, rows of its largest component only against other rows.
 
 Defined cases: A-Z count as a-z; a text with fewer words than a shingle is one shingle of all; without a word
 (null, empty, blank) it has no shingle and is linked with nothing; equal sets are linked; rows that
@@ -42,12 +44,12 @@ from .textarrays import slices, utf8
 
 #: Words of a shingle; least shared shingles in 100 different ones.
 SHINGLE, SHARE = 4, 85
-#: Groups in which a node is first compared with its neighbours; rows of a group that are joined in one place.
-HOMES, GROUP_ROWS = 2, 4096
+#: Groups in which a node first meets others, and how many by size there; rows of a group that are joined in one place.
+HOMES, NEAR, GROUP_ROWS = 2, 32, 4096
 #: Rows a task holds, and pairs it looks at together. Bytes of text of a chunk at most.
 GATHERED, PAIRS, CHUNK = 1 << 16, 1 << 20, 48 << 20
-#: Parts of the hash space whose counts the suffix filter compares.
-PARTS = 8
+#: Parts of the hash space whose counts, and those whose parities, the suffix filters compare.
+PARTS, SKETCH = 8, 1024
 
 
 def least_shared(m: np.ndarray | int, n: np.ndarray | int, share: int = SHARE):
@@ -133,7 +135,7 @@ def rarity(docs: DataFrame, size: int, plan: Layout, parts: int) -> DataFrame:
     return rows.mapInArrow(merged, "chunk long, block long, data binary")
 
 
-_PREFIXED = "doc_id long, hi long, lo long, n long, shingles binary, places binary, tails binary, frame binary"
+_PREFIXED = "doc_id long, hi long, lo long, n long, shingles binary, places binary, tails binary, sketch binary, frame binary"
 
 
 def _tails(h: np.ndarray, edge: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -146,6 +148,26 @@ def _tails(h: np.ndarray, edge: np.ndarray, of: np.ndarray, at: np.ndarray) -> n
     return out
 
 
+def _sketches(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sets a row of bytes: whether so many of its shingles as are in a part of the hash space are odd."""
+    part = (h >> np.uint64(3)).astype(np.int64) & (SKETCH - 1)
+    out = [np.zeros((0, SKETCH // 8), np.uint8)]
+    for first in range(0, n, 256):
+        a, z = np.searchsorted(of, [first, first + 256])
+        counts = np.bincount((of[a:z] - first) * SKETCH + part[a:z], minlength=min(256, n - first) * SKETCH)
+        out.append(np.packbits((counts & 1).astype(bool)).reshape(-1, SKETCH // 8))
+    return np.concatenate(out)
+
+
+def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Parities in which rows of sketches (as 64-bit words) differ: at most as many as shingles do."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+def _words(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, SKETCH // 64)
+
+
 def prefixed(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """A row for each of docs (doc_id long, text): its set's mark (hi, lo) and size and, if others may share its prefix, that and the text."""
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -165,12 +187,12 @@ def prefixed(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFr
         place = np.arange(len(h)) - edge[of]
         at = np.flatnonzero((place < prefix(n, share)[of]) & (cls > 0))
         mine, tails, place = np.searchsorted(of[at], np.arange(len(n) + 1)), _tails(h, edge, of, at), place[at].astype("<u4")
-        token = h[at]
+        token, sketch = h[at], _sketches(h, of, len(n))
         data, offsets = utf8(b.column(1))
         raw, press = memoryview(data), zstandard.ZstdCompressor(level=1)
-        out = [[], [], [], []]
+        out = [[], [], [], [], []]
         for k, (i, j) in enumerate(zip(mine[:-1].tolist(), mine[1:].tolist(), strict=True)):
-            some = (token[i:j].tobytes(), place[i:j].tobytes(), tails[i:j].tobytes(), press.compress(raw[offsets[k] : offsets[k + 1]])) if j > i else (None,) * 4
+            some = (token[i:j].tobytes(), place[i:j].tobytes(), tails[i:j].tobytes(), sketch[k].tobytes(), press.compress(raw[offsets[k] : offsets[k + 1]])) if j > i else (None,) * 5
             for x, v in zip(out, some, strict=True):
                 x.append(v)
         return pa.record_batch([ids, pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(n), *(pa.array(x, pa.binary()) for x in out)], [c.split()[0] for c in _PREFIXED.split(", ")])
@@ -214,48 +236,73 @@ def _exploded(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "shingles", "places", "tails").mapInArrow(run, "shingle long, n long, node long, place int, tail long")
 
 
-def neighbours(grouped: DataFrame, parts: int) -> DataFrame:
-    """(u, v): nodes next to each other by size in one of the HOMES largest groups that they are in."""
-    w = Window.partitionBy("node").orderBy(F.desc("m"), "shingle")
-    homes = grouped.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= HOMES).select("shingle", "n", "node")
-    order = ["shingle", "n", "node"]
+_MET = "u long, v long, shingle long, n long, sketch binary"
 
-    def chained(batches):
-        last = None
+
+def _nearest(share: int, near: int, ends: bool):
+    """Rows (shingle, n, node, sketch) in order -> each node and the nearest of the `near` before it, if the pair may be alike.
+
+    ends: also, with u = v, the first and last rows of the task, as many, for what goes on in other tasks.
+    """
+    names = [c.split()[0] for c in _MET.split(", ")]
+
+    def run(batches):
+        held, begun = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            token, n, node = (b.column(k).to_numpy() for k in range(3))
-            ends = [(token[0], n[0], node[0])] if last is None else []
-            if last is not None:
-                token, n, node = (np.concatenate([[x], y]) for x, y in zip(last, (token, n, node), strict=True))
-            last = (token[-1], n[-1], node[-1])
-            next_ = np.flatnonzero(token[1:] == token[:-1])
-            yield pa.record_batch([pa.array(node[next_]), pa.array(node[next_ + 1]), pa.array(token[next_]), pa.array(n[next_]), pa.array(np.zeros(len(next_), bool))], ["u", "v", "shingle", "n", "edge"])
-            if ends:
-                yield _edge(ends[0])
-        if last is not None:
-            yield _edge(last)
-
-    def _edge(row):
-        token, n, node = (int(x) for x in row)
-        return pa.record_batch([pa.array([node]), pa.array([node]), pa.array([token]), pa.array([n]), pa.array([True])], ["u", "v", "shingle", "n", "edge"])
-
-    found = homes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(chained, "u long, v long, shingle long, n long, edge boolean")
+            new = [b.column(k).to_numpy() for k in range(3)] + [_words(b.column(3).to_pylist())]
+            old = 0 if held is None else len(held[0])
+            token, n, node, sketch = new if held is None else (np.concatenate(x) for x in zip(held, new, strict=True))
+            best, of = np.full(len(token), 1 << 40), np.zeros(len(token), int)
+            for w in range(1, min(near, len(token) - 1) + 1):
+                gap = _unlike(sketch[w:], sketch[:-w])
+                gap[token[w:] != token[:-w]] = 1 << 40
+                better = gap < best[w:]
+                best[w:][better], of[w:][better] = gap[better], w
+            i = np.flatnonzero(best < 1 << 40)
+            i = i[i >= old]
+            j = i - of[i]
+            ok = best[i] <= n[i] + n[j] - 2 * least_shared(n[i], n[j], share)
+            i, j = i[ok], j[ok]
+            none = pa.nulls(len(i), pa.binary())
+            yield pa.record_batch([pa.array(node[i]), pa.array(node[j]), pa.array(token[i]), pa.array(n[i]), none], names)
+            if ends and begun < near:
+                yield end(token, n, node, sketch, slice(old, old + near - begun))
+                begun += len(token) - old
+            held = tuple(x[-near:] for x in (token, n, node, sketch))
+        if ends and held is not None:
+            yield end(*held, slice(None))
+
+    def end(token, n, node, sketch, at):
+        return pa.record_batch([pa.array(node[at]), pa.array(node[at]), pa.array(token[at]), pa.array(n[at]), pa.array([x.tobytes() for x in sketch[at]], pa.binary())], names)
+
+    return run
+
+
+def neighbours(grouped: DataFrame, nodes: DataFrame, parts: int, share: int = SHARE) -> DataFrame:
+    """(u, v): each node with the nearest by sketch of the NEAR before it by size, in each of the HOMES largest groups that it is in."""
+    w = Window.partitionBy("node").orderBy(F.desc("m"), "shingle")
+    homes = grouped.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= HOMES).select("shingle", "n", "node")
+    homes = written(homes.join(nodes.select("node", "sketch"), "node").select("shingle", "n", "node", "sketch"), grouped)
+    order = ["shingle", "n", "node"]
+    found = homes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_nearest(share, NEAR, True), _MET)
     found = written(found, grouped)
-    # Where a group goes on in the next task, the last row of one meets the first of the next: two rows for each task.
-    before = F.lag("u").over(Window.partitionBy("shingle").orderBy("n", "u"))
-    joints = found.where("edge").select("shingle", "n", "u").withColumn("v", before).where("v is not null").select("u", "v")
-    return found.where("not edge").select("u", "v").unionAll(joints).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # Where a group goes on in the next task, the last rows of one meet the first of the next: 2 * NEAR rows of a task.
+    ends = found.where("sketch is not null").select("shingle", "n", F.col("u").alias("node"), "sketch").dropDuplicates(["shingle", "node"])
+    joints = ends.repartition(parts, "shingle").sortWithinPartitions(*order).mapInArrow(_nearest(share, NEAR, False), _MET)
+    pairs = found.where("sketch is null").select("u", "v").unionAll(joints.select("u", "v"))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def candidates(grouped: DataFrame, found: DataFrame, parts: int, share: int = SHARE, group_rows: int | None = None) -> DataFrame:
+def candidates(grouped: DataFrame, found: DataFrame, nodes: DataFrame, parts: int, share: int = SHARE, group_rows: int | None = None) -> DataFrame:
     """(u, v) of nodes of unlike components that share a prefix shingle and pass the length, positional and suffix filters.
 
     grouped: rows of _exploded(); found: (node, component) of nodes that have been linked so far.
     """
     group_rows = group_rows or GROUP_ROWS
-    rows = grouped.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "sketch").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = grouped.join(named, "node")
     sizes = rows.groupBy("shingle", "component").count()
     top = F.max(F.struct("count", "component"))
     mixed = sizes.groupBy("shingle").agg(top.alias("top"), F.count("*").alias("kinds"), F.sum("count").alias("all")).where("kinds > 1")
@@ -267,14 +314,14 @@ def candidates(grouped: DataFrame, found: DataFrame, parts: int, share: int = SH
     cells = f"""case when _d + _o <= {group_rows} then array({cell(0, 0, 0)})
         when main then transform(sequence(0, {blocks('_o')} - 1), x -> {cell(1, own('_d'), 'x')})
         else concat(transform(sequence(0, {blocks('_d')} - 1), x -> {cell(1, 'x', own('_o'))}), transform(sequence(0, {blocks('_o')} - 1), x -> {cell(2, f"least(x, {own('_o')})", f"greatest(x, {own('_o')})")})) end"""
-    rows = rows.selectExpr("shingle", "n", "node", "place", "tail", "component", "main", f"{own('_o')} as block", f"explode({cells}) as c")
-    rows = rows.select("shingle", "c.kind", "c.p", "c.q", "n", "node", "place", "tail", "component", "main", "block")
+    rows = rows.selectExpr("shingle", "n", "node", "place", "tail", "sketch", "component", "main", f"{own('_o')} as block", f"explode({cells}) as c")
+    rows = rows.select("shingle", "c.kind", "c.p", "c.q", "n", "node", "place", "tail", "sketch", "component", "main", "block")
     names = rows.columns
     rows = rows.repartition(parts, *names[:4]).sortWithinPartitions(*names[:5])
 
     def paired(batches):
         for held in whole_groups(batches, names, 4, GATHERED):
-            token, kind, p, q, n, node, place, tail, component, main, block = held
+            token, kind, p, q, n, node, place, tail, sketch, component, main, block = held
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (kind[1:] != kind[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
             group = np.cumsum(new) - 1
             # Sizes ascend in a group: each row's partners by the length filter are those that follow, up to a size.
@@ -283,7 +330,7 @@ def candidates(grouped: DataFrame, found: DataFrame, parts: int, share: int = SH
             end = np.searchsorted(code, (group << 40) + 100 * size // share, "right")
             each = end - np.arange(len(n)) - 1
             upto = np.concatenate([[0], np.cumsum(each)])
-            a = 0
+            sketch, a = _words(sketch), 0
             while a < len(n):
                 z = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
                 i = np.repeat(np.arange(a, z), each[a:z])
@@ -299,6 +346,8 @@ def candidates(grouped: DataFrame, found: DataFrame, parts: int, share: int = SH
                 i, j, need, left, right = (x[ok] for x in (i, j, need, left, right))
                 bytes_ = [np.ascontiguousarray(tail[x]).view(np.uint8).reshape(-1, PARTS).astype(np.int16) for x in (i, j)]
                 ok = np.abs(bytes_[0] - bytes_[1]).sum(1) <= left + right - 2 * (need - 1)
+                i, j, need = i[ok], j[ok], need[ok]
+                ok = _unlike(sketch[i], sketch[j]) <= size[i] + size[j] - 2 * need
                 u, v = np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])
                 if len(u):
                     order = np.lexsort((v, u))
@@ -317,10 +366,10 @@ def linked(nodes: DataFrame, source: DataFrame, size: int = SHINGLE, share: int
     grouped = written(rows.join(shared, F.col("shingle") == F.col("_s")).drop("_s"), source)
     frames = nodes.select("node", "frame")
     alike = lambda both, all_: 100 * both >= share * all_
-    first = written(neighbours(grouped, parts), source)
+    first = written(neighbours(grouped, nodes, parts, share), source)
     links = written(compared(first, frames, alike, size), source)
     found = components(links, source)
-    rest = written(candidates(grouped, found, parts, share, group_rows).join(first, ["u", "v"], "left_anti"), source)
+    rest = written(candidates(grouped, found, nodes, parts, share, group_rows).join(first, ["u", "v"], "left_anti"), source)
     more = compared(rest, frames, alike, size)
     return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more), source)
 
@@ -339,9 +388,11 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, share: int = SHARE, group
     component = component.unionAll(nodes.join(found.select(F.col("component").alias("node")).distinct(), "node").select("hi", "lo", F.col("node").alias("component")))
     own = written(own.join(component, ["hi", "lo"], "left"), docs)
     least = own.where("component is not null").groupBy("component").agg(F.min("least").alias("class"))
-    own = own.join(least, "component", "left").select("hi", "lo", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("class")).alias("class"))
-    d = members.join(own, ["hi", "lo"], "left")
-    return d.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class")).alias("component_id"))
+    # Sets without links, and rows without a set, take no part in the joins: there are many of them under one key.
+    lone = own.where("component is null").select("hi", "lo", F.col("least").alias("class"))
+    own = own.join(least, "component").select("hi", "lo", "class").unionAll(lone)
+    d = members.where("n_shingles > 0").join(own, ["hi", "lo"]).select("doc_id", "n_shingles", F.col("class").alias("component_id"))
+    return d.unionAll(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op11_ngramjoin(spark, sf_dir):
