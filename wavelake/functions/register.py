@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -23,18 +25,51 @@ class AdItems:
             yield (k, *item)
 
 
+#: Bytes by which all payloads go on together; longer ones are cut into stretches of so many.
+STRETCH = 256
+
+
+@lru_cache(1)
+def _after_stretch() -> np.ndarray:
+    """What STRETCH zero bytes make of a check, by each of its three bytes: [place, byte]."""
+    table = np.array(B._crc_table(), np.int64)
+    state = np.arange(256, dtype=np.int64)[None, :] << np.array([[0], [8], [16]])
+    for _ in range(STRETCH):
+        state = state >> 8 ^ table[state & 255]
+    return state
+
+
 def _crc(data: list[bytes], init: int = ADVERTISING_CRC_INIT) -> np.ndarray:
-    """Checks of some byte strings: all of them go on by a byte at a time, the longest first."""
+    """Checks of some byte strings, in numpy steps whose number doesn't follow the longest one's bytes.
+
+    A payload is cut, from its end, into stretches: a first one of up to STRETCH bytes that begins
+    with init, and whole ones that begin with zero. All stretches go on by a byte at a time, the
+    longest first; a check is linear, so each stretch's is added to what it makes of the one before.
+    """
     table = np.array(B._crc_table(), np.int64)
-    sizes = np.array([len(x) for x in data])
-    order = np.argsort(-sizes, kind="stable")
-    flat, first = np.frombuffer(b"".join(data), np.uint8), (np.cumsum(sizes) - sizes)[order]
-    left = np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), "right")
-    state = np.full(len(data), B.reflect24(init), np.int64)
+    sizes = np.array([len(x) for x in data], np.int64)
+    count = np.maximum(-(-sizes // STRETCH), 1)
+    place = np.cumsum(count) - count
+    length = np.full(int(count.sum()), STRETCH, np.int64)
+    length[place] = sizes - (count - 1) * STRETCH
+    start = np.cumsum(length) - length
+    order = np.argsort(-length, kind="stable")
+    flat, first = np.frombuffer(b"".join(data), np.uint8), start[order]
+    left = np.searchsorted(-length[order], -np.arange(1, length.max(initial=0) + 1), "right")
+    own = np.zeros(len(length), np.int64)
+    own[place] = B.reflect24(init)
+    state = own[order]
     for k, n in enumerate(left.tolist()):
         state[:n] = state[:n] >> 8 ^ table[(state[:n] ^ flat[first[:n] + k]) & 255]
-    out = np.empty_like(state)
-    out[order] = state
+    own[order] = state
+    # Payloads of many stretches go on together, too.
+    after, out = _after_stretch(), own[place].copy()
+    order = np.argsort(-count, kind="stable")
+    left = np.searchsorted(-count[order], -np.arange(2, count.max(initial=1) + 1), "right")
+    for k, n in enumerate(left.tolist(), 1):
+        i = order[:n]
+        c = out[i]
+        out[i] = after[0, c & 255] ^ after[1, c >> 8 & 255] ^ after[2, c >> 16] ^ own[place[i] + k]
     return out
 
 
@@ -43,18 +78,27 @@ def crc24(data: pd.Series) -> pd.Series:
     out = pd.Series([None] * len(data), dtype="Int64")
     known = data.notna().to_numpy()
     if known.any():
-        out[known] = _crc([bytes(x) for x in data[known]])
+        out[known] = _crc(data[known].tolist())
     return out
 
 
+@lru_cache(1)
+def _streams() -> np.ndarray:
+    """The keystream of each of the 40 channels."""
+    return np.stack([np.frombuffer(keystream(c, B.PERIOD), np.uint8) for c in range(40)])
+
+
 @F.pandas_udf(T.BinaryType())
 def dewhiten(data: pd.Series, channel: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(data), dtype=object)
-    for c, rows in data[data.notna()].groupby(channel):
-        raw = [bytes(x) for x in rows]
-        stream = np.frombuffer(keystream(int(c), max(map(len, raw))), np.uint8)
-        out[rows.index] = [(np.frombuffer(x, np.uint8) ^ stream[: len(x)]).tobytes() for x in raw]
-    return out
+    known = (data.notna() & channel.notna()).to_numpy()
+    raw = data[known].tolist()
+    sizes = np.array([len(x) for x in raw], np.int64)
+    end = np.cumsum(sizes)
+    place = np.arange(int(sizes.sum())) - np.repeat(end - sizes, sizes)
+    flat = np.frombuffer(b"".join(raw), np.uint8) ^ _streams()[np.repeat(channel[known].to_numpy(np.int64), sizes), place % B.PERIOD]
+    whole, out = flat.tobytes(), np.full(len(data), None, object)
+    out[known] = [whole[i:j] for i, j in zip((end - sizes).tolist(), end.tolist(), strict=True)] or None
+    return pd.Series(out)
 
 
 SQL_FUNCTIONS = {

@@ -11,23 +11,27 @@ from ..functions.scalars import finite
 WARNING = "channels were not captured simultaneously: differences of strength hold only for transmitters and surroundings that stood still"
 
 
-def session_strengths(sessions: DataFrame) -> DataFrame:
-    """(adva, channel, mean, std, n) of good packets' strengths; sessions of one channel are pooled, std is of the population."""
+def session_strengths(sessions: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(*by, adva, channel, mean, std, n) of good packets' strengths; sessions of one channel are pooled, std is of the population."""
     r = finite(F.col("rssi_dbfs"))
     d = sessions.where((F.coalesce(F.col("adva"), F.lit("")) != "") & F.col("crc_ok") & r.isNotNull())
-    return d.groupBy("adva", "channel").agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.count("*").alias("n"))
+    return d.groupBy(*by, "adva", "channel").agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.count("*").alias("n"))
 
 
-def session_join(sessions: DataFrame) -> DataFrame:
-    """Differences of mean strength between each two channels on which an address was heard.
+def channel_differences(strengths: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Differences of mean strength between each two channels of session_strengths() on which an address was heard.
 
     The join is on the aggregate, a row for each address and channel (40 at most), so an address
     yields 780 pairs at most.
     """
-    s = session_strengths(sessions)
-    a, b = (s.select("adva", *[F.col(c).alias(f"{c}_{side}") for c in ("channel", "mean", "n")]) for side in "ab")
-    pairs = a.join(b, "adva").where("channel_a < channel_b")
-    return pairs.select("adva", "channel_a", "channel_b", (F.col("mean_a") - F.col("mean_b")).alias("difference_db"), "n_a", "n_b")
+    a, b = (strengths.select(*by, "adva", *[F.col(c).alias(f"{c}_{side}") for c in ("channel", "mean", "n")]) for side in "ab")
+    pairs = a.join(b, [*by, "adva"]).where("channel_a < channel_b")
+    return pairs.select(*by, "adva", "channel_a", "channel_b", (F.col("mean_a") - F.col("mean_b")).alias("difference_db"), "n_a", "n_b")
+
+
+def session_join(sessions: DataFrame) -> DataFrame:
+    """Differences of mean strength between each two channels on which an address was heard."""
+    return channel_differences(session_strengths(sessions))
 
 
 def session_report(sessions: DataFrame) -> DataFrame:

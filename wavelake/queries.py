@@ -235,8 +235,19 @@ _PIECES = "WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM d
 
 @query(f"SELECT doc_id, part, list_reduce(v, lambda c, x: xor(c >> 8, {_TABLE}[(xor(c, x) & 255) + 1]), {B.reflect24(C.ADVERTISING_CRC_INIT)})::BIGINT AS crc FROM b", _PIECES)
 def crc24(spark, sf_dir):
+    """By the function that SQL calls, which takes payloads in Arrow batches; payload_checks checks the column expression."""
+    from .functions.register import crc24
+
     d = A.pieces(A.table(spark, sf_dir, "documents"))
-    return d.select("doc_id", F.col("part").cast("long"), B.crc24(B.byte_array(F.col("data"))).alias("crc"))
+    return d.select("doc_id", F.col("part").cast("long"), crc24("data").alias("crc"))
+
+
+@query(f"SELECT event_id AS number, list_reduce(list_transform(range(0, event_id % 8), lambda i: (event_id + 31 * i) & 255), lambda c, x: xor(c >> 8, {_TABLE}[(xor(c, x) & 255) + 1]), {B.reflect24(C.ADVERTISING_CRC_INIT)})::BIGINT AS crc FROM events", "")
+def payload_checks(spark, sf_dir):
+    """Checks of short payloads of bytes, by the column expression."""
+    n = F.col("event_id")
+    values = F.when(n % 8 == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n % 8 - 1, F.lit(0))), lambda i: (n + 31 * i).bitwiseAND(F.lit(255)).cast("int")))
+    return A.table(spark, sf_dir, "events").select(n.alias("number"), B.crc24(values).alias("crc"))
 
 
 _LINES = "WITH d AS (SELECT doc_id, hex(encode(text)) AS x FROM documents), p AS (SELECT doc_id, x, unnest(range(0, (len(x) + 31) // 32)) AS line FROM d), h AS (SELECT doc_id, line, x[32 * line + 1:32 * line + 32] AS h FROM p), b AS (SELECT doc_id, line, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::INT) AS v FROM h) "
@@ -371,4 +382,4 @@ for _name, (_text, _condition) in FILTERS.items():
     QUERIES[f"filter_{_name}"] = _filter(_text)
     SQL[f"filter_{_name}"] = f"{_PACKETS} SELECT number, adva FROM packets WHERE {_condition}"
 
-from . import queries_radio, queries_tables  # noqa: E402,F401
+from . import queries_jobs, queries_radio, queries_tables  # noqa: E402,F401
