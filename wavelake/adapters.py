@@ -52,7 +52,9 @@ def payloads(documents: DataFrame, n: int = WHOLE) -> DataFrame:
 
 def pieces(documents: DataFrame, n: int = 32) -> DataFrame:
     """(doc_id, part, data): all of each text's bytes as payloads of n, the last one of what is left; one without bytes has an empty one."""
-    raw = F.col("text").cast("binary")
-    last = F.greatest(F.floor((F.coalesce(F.octet_length(raw), F.lit(0)) - 1) / n), F.lit(0))
-    d = documents.select("doc_id", F.coalesce(raw, F.lit(b"")).alias("_raw"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("part"))
-    return d.select("doc_id", "part", F.substr("_raw", F.col("part") * n + 1, F.lit(n)).alias("data"))
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    last = F.greatest(F.floor((F.octet_length(raw) - 1) / n), F.lit(0)).cast("int")
+    # Pieces are exploded themselves, so that no row carries its whole text along.
+    d = documents.select("doc_id", raw.alias("_raw"), last.alias("_last"))
+    each = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda k: F.substr(F.col("_raw"), k * n + 1, F.lit(n)))
+    return d.select("doc_id", F.posexplode(each).alias("part", "data"))

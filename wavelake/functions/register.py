@@ -75,10 +75,11 @@ def _crc(data: list[bytes], init: int = ADVERTISING_CRC_INIT) -> np.ndarray:
 
 @F.pandas_udf(T.LongType())
 def crc24(data: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(data), dtype="Int64")
     known = data.notna().to_numpy()
-    if known.any():
-        out[known] = _crc(data[known].tolist())
+    if known.all():
+        return pd.Series(_crc(data.tolist()))
+    out = pd.Series([None] * len(data), dtype="Int64")
+    out[known] = _crc(data[known].tolist())
     return out
 
 
