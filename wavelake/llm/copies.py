@@ -14,6 +14,10 @@ need not be alike, FORESTS such forests without a common link are taken from eac
 lets 99.9 % of pairs alike to 0.8 through. What is found is held against the shingles themselves: a link
 stays if the texts share at least 0.8 of all their different shingles. Groups are the components of links.
 
+So far a text whose few links all fail is lost, and so is a link between parts of a run. Therefore all
+pairs of a run that are of unlike groups by then, and near by fingerprint, are compared too (see blocks):
+no link between texts that share a band and are near is lost, however large a run is.
+
 Defined cases: A-Z count as a-z; shingles are sets; fewer words than a shingle's make one shingle of
 all; texts without a word (null, empty, blank) are alike. Of a group the document with the least doc_id
 stays (ids before none), of several the one with the least hash of its text; rows of equal doc_id and
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import CELL, TOLD, distinct_pairs, following, meet, unlike_cells
 from .common import fresh, partitions, text_of, written
 from .components import components
 from .simhash import Forest, ranges, trie_links, whole_groups
@@ -96,8 +101,8 @@ def _mark():
     return F.md5(text_of().cast("binary"))
 
 
-def candidates(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(node, fp, least) of distinct texts -> (u, v): links between near fingerprints that meet in a band."""
+def _dealt(texts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(node, fp, least) of distinct texts -> a row for each band, with its least hashes; and these columns' names in order."""
     names = ["band", *(f"k{i}" for i in range(DEPTH)), "fp", "node"]
 
     def dealt(batches):
@@ -109,7 +114,12 @@ def candidates(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
                 yield pa.record_batch([pa.array(np.full(len(node), band, np.int32)), *(pa.array(k) for k in keys), pa.array(fp), pa.array(node)], names)
 
     shape = "band int, " + ", ".join(f"k{i} long" for i in range(DEPTH)) + ", fp long, node long"
-    rows = texts.select("node", "fp", "least").mapInArrow(dealt, shape)
+    return texts.select("node", "fp", "least").mapInArrow(dealt, shape), names
+
+
+def candidates(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(node, fp, least) of distinct texts -> (u, v): links between near fingerprints that meet in a band."""
+    rows, names = _dealt(texts)
     order = names[:-1]
     rows = rows.repartitionByRange(partitions(texts), *order).sortWithinPartitions(*order)
 
@@ -122,6 +132,29 @@ def candidates(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     return rows.mapInArrow(joined, "u long, v long")
 
 
+def remaining(texts: DataFrame, found: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(u, v): all near pairs that meet in a band and are of unlike components by found (node, component)."""
+    run, errors = ["band", "k0", "k1"], STEPS[-1]
+    rows = _dealt(texts)[0].select(*run, "fp", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    rows = rows.select(*run, "fp", "node", F.coalesce("component", F.col("node")).alias("component"))
+    names = [*run, *CELL, "fp", "node", *TOLD]
+    rows = unlike_cells(rows, run, group_rows).select(*names)
+    rows = rows.repartition(partitions(texts), *names[:6]).sortWithinPartitions(*names[:6])
+
+    def paired(batches):
+        for columns in whole_groups(batches, names, 6, GATHERED):
+            held = dict(zip(names, columns, strict=True))
+            start, end = ranges(*columns[:6])
+            fp, node = held["fp"].astype(np.int64).view(np.uint64), held["node"].astype(np.int64)
+            for i, j in following(np.repeat(end, end - start)):
+                ok = (np.bitwise_count(fp[i] ^ fp[j]) <= errors) & meet(held, i, j)
+                u, v = distinct_pairs(node[i[ok]], node[j[ok]])
+                if len(u):
+                    yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return rows.mapInArrow(paired, "u long, v long").distinct()
+
+
 def group_links(keys: list[np.ndarray], fp: np.ndarray, group_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows of a group (equal first three keys; the others part one beyond group_rows) whose fingerprints are near."""
     n = len(fp)
@@ -209,15 +242,19 @@ def compared(pairs: DataFrame, frames: DataFrame, alike: Callable[[np.ndarray, n
     return d.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The (u, v) of pairs whose texts are alike; texts: (node, mark)."""
+def text_frames(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, frame) of the texts of pairs; texts: (node, mark)."""
     sides = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = texts.select("node", "mark").join(sides, "node").withColumnRenamed("mark", "_wanted")
     rows = docs.select(_mark().alias("_text_mark"), text_of().alias("text"))
     # One text for each mark; rows of equal mark have equal texts.
     found = packed(rows.join(wanted, F.col("_text_mark") == F.col("_wanted")).select("node", "text"), "text", "frame")
-    found = written(found.groupBy("node").agg(F.min("frame").alias("frame")), docs)
-    return compared(pairs, found, lambda both, all_: both >= similar * np.maximum(all_, 1))
+    return written(found.groupBy("node").agg(F.min("frame").alias("frame")), docs)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The (u, v) of pairs whose texts are alike; texts: (node, mark)."""
+    return compared(pairs, text_frames(pairs, texts, docs), lambda both, all_: both >= similar * np.maximum(all_, 1))
 
 
 def groups(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -225,7 +262,12 @@ def groups(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     each = _marked(docs).groupBy("mark").agg(F.min("fp").alias("fp"), F.min("least").alias("least"))
     texts = written(each.withColumn("node", F.monotonically_increasing_id()), docs)
     pairs = candidates(texts, group_rows).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    found = components(verified(written(pairs, docs), texts, docs), docs)
+    pairs = written(pairs, docs)
+    found = components(verified(pairs, texts, docs), docs)
+    rest = written(remaining(texts, found, group_rows).join(pairs, ["u", "v"], "left_anti"), docs)
+    if not rest.isEmpty():
+        more = verified(rest, texts, docs)
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more), docs)
     return texts.join(found, "node", "left").select("mark", F.coalesce("component", F.col("node")).alias("component"))
 
 

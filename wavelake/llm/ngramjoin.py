@@ -35,19 +35,20 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import CELL, TOLD, distinct_pairs, following, meet, unlike_cells
 from .common import compact, partitions, table, text_of, written
 from .components import components
 from .copies import compared, shingles
 from .passages import LEAST_BITS, Layout, _chunks, _gaps, _met, _numbers, _parted, _payloads
-from .simhash import whole_groups
+from .simhash import ranges, whole_groups
 from .textarrays import slices, utf8
 
 #: Words of a shingle; least shared shingles in 100 different ones.
 SHINGLE, SHARE = 4, 85
 #: Groups in which a node first meets others, and how many by size there; rows of a group that are joined in one place.
 HOMES, NEAR, GROUP_ROWS = 2, 32, 4096
-#: Rows a task holds, and pairs it looks at together. Bytes of text of a chunk at most.
-GATHERED, PAIRS, CHUNK = 1 << 16, 1 << 20, 48 << 20
+#: Rows a task holds; bytes of text of a chunk at most.
+GATHERED, CHUNK = 1 << 16, 48 << 20
 #: Parts of the hash space whose counts, and those whose parities, the suffix filters compare.
 PARTS, SKETCH = 8, 1024
 
@@ -300,60 +301,34 @@ def candidates(grouped: DataFrame, found: DataFrame, nodes: DataFrame, parts: in
 
     grouped: rows of _exploded(); found: (node, component) of nodes that have been linked so far.
     """
-    group_rows = group_rows or GROUP_ROWS
     named = nodes.select("node", "sketch").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = grouped.join(named, "node")
-    sizes = rows.groupBy("shingle", "component").count()
-    top = F.max(F.struct("count", "component"))
-    mixed = sizes.groupBy("shingle").agg(top.alias("top"), F.count("*").alias("kinds"), F.sum("count").alias("all")).where("kinds > 1")
-    mixed = mixed.select(F.col("shingle").alias("_s"), F.col("top.component").alias("largest"), F.col("top.count").alias("_d"), (F.col("all") - F.col("top.count")).alias("_o"))
-    rows = rows.join(mixed, F.col("shingle") == F.col("_s")).withColumn("main", F.col("component") == F.col("largest"))
-    blocks = lambda c: f"cast(ceil({c} / {group_rows}) as int)"
-    own = lambda c: f"cast(pmod(xxhash64(node), {blocks(c)}) as int)"
-    cell = lambda k, p, q: f"named_struct('kind', {k}, 'p', {p}, 'q', {q})"
-    cells = f"""case when _d + _o <= {group_rows} then array({cell(0, 0, 0)})
-        when main then transform(sequence(0, {blocks('_o')} - 1), x -> {cell(1, own('_d'), 'x')})
-        else concat(transform(sequence(0, {blocks('_d')} - 1), x -> {cell(1, 'x', own('_o'))}), transform(sequence(0, {blocks('_o')} - 1), x -> {cell(2, f"least(x, {own('_o')})", f"greatest(x, {own('_o')})")})) end"""
-    rows = rows.selectExpr("shingle", "n", "node", "place", "tail", "sketch", "component", "main", f"{own('_o')} as block", f"explode({cells}) as c")
-    rows = rows.select("shingle", "c.kind", "c.p", "c.q", "n", "node", "place", "tail", "sketch", "component", "main", "block")
-    names = rows.columns
+    names = ["shingle", *CELL, "n", "node", "place", "tail", "sketch", *TOLD]
+    rows = unlike_cells(rows, ["shingle"], group_rows or GROUP_ROWS).select(*names)
     rows = rows.repartition(parts, *names[:4]).sortWithinPartitions(*names[:5])
 
     def paired(batches):
-        for held in whole_groups(batches, names, 4, GATHERED):
-            token, kind, p, q, n, node, place, tail, sketch, component, main, block = held
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (kind[1:] != kind[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
-            group = np.cumsum(new) - 1
+        for columns in whole_groups(batches, names, 4, GATHERED):
+            held = dict(zip(names, columns, strict=True))
+            start, end = ranges(*columns[:4])
+            group = np.repeat(np.arange(len(start)), end - start)
+            size, node, place, tail, sketch = held["n"].astype(np.int64), held["node"], held["place"], held["tail"], _words(held["sketch"])
             # Sizes ascend in a group: each row's partners by the length filter are those that follow, up to a size.
-            size = n.astype(np.int64)
-            code = (group << 40) + size
-            end = np.searchsorted(code, (group << 40) + 100 * size // share, "right")
-            each = end - np.arange(len(n)) - 1
-            upto = np.concatenate([[0], np.cumsum(each)])
-            sketch, a = _words(sketch), 0
-            while a < len(n):
-                z = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
-                i = np.repeat(np.arange(a, z), each[a:z])
-                j = i + 1 + np.arange(len(i)) - np.repeat(upto[a:z] - upto[a], each[a:z])
-                a = z
-                ok = component[i] != component[j]
-                ok &= (kind[i] != 1) | (main[i] != main[j])
-                ok &= (kind[i] != 2) | (p[i] == q[i]) | (block[i] != block[j])
+            last = np.searchsorted((group << 40) + size, (group << 40) + 100 * size // share, "right")
+            for i, j in following(last):
+                ok = meet(held, i, j)
                 i, j = i[ok], j[ok]
                 need = least_shared(size[i], size[j], share)
                 left, right = size[i] - place[i] - 1, size[j] - place[j] - 1
                 ok = 1 + np.minimum(left, right) >= need
                 i, j, need, left, right = (x[ok] for x in (i, j, need, left, right))
-                bytes_ = [np.ascontiguousarray(tail[x]).view(np.uint8).reshape(-1, PARTS).astype(np.int16) for x in (i, j)]
-                ok = np.abs(bytes_[0] - bytes_[1]).sum(1) <= left + right - 2 * (need - 1)
+                after = [np.ascontiguousarray(tail[x]).view(np.uint8).reshape(-1, PARTS).astype(np.int16) for x in (i, j)]
+                ok = np.abs(after[0] - after[1]).sum(1) <= left + right - 2 * (need - 1)
                 i, j, need = i[ok], j[ok], need[ok]
                 ok = _unlike(sketch[i], sketch[j]) <= size[i] + size[j] - 2 * need
-                u, v = np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])
+                u, v = distinct_pairs(node[i[ok]], node[j[ok]])
                 if len(u):
-                    order = np.lexsort((v, u))
-                    u, v = u[order], v[order]
-                    first = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
-                    yield pa.record_batch([pa.array(u[first]), pa.array(v[first])], ["u", "v"])
+                    yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
     return rows.mapInArrow(paired, "u long, v long").distinct()
 
