@@ -3,7 +3,8 @@ import pyarrow as pa
 import pytest
 
 from wavelake.llm import ngramjoin
-from wavelake.llm.ngramjoin import jaccard_join, least_shared, prefix, sets
+from wavelake.llm.blocks import least_shared
+from wavelake.llm.ngramjoin import jaccard_join, prefix, sets
 
 from .conftest import WORD
 
@@ -106,7 +107,7 @@ def test_bounds():
     for m in range(1, 80):
         assert prefix(np.array([m]))[0] == m - min(i for i in range(m + 1) if 100 * i >= 85 * m) + 1
         for n in range(1, 80):
-            assert least_shared(m, n) == next(i for i in range(m + n) if 100 * i >= 85 * (m + n - i))
+            assert least_shared(m, n, 85) == next(i for i in range(m + n) if 100 * i >= 85 * (m + n - i))
 
 
 def test_sets_of_texts():

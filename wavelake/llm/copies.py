@@ -14,9 +14,10 @@ need not be alike, FORESTS such forests without a common link are taken from eac
 lets 99.9 % of pairs alike to 0.8 through. What is found is held against the shingles themselves: a link
 stays if the texts share at least 0.8 of all their different shingles. Groups are the components of links.
 
-So far a text whose few links all fail is lost, and so is a link between parts of a run. Therefore all
-pairs of a run that are of unlike groups by then, and near by fingerprint, are compared too (see blocks):
-no link between texts that share a band and are near is lost, however large a run is.
+So far a text whose few links all fail is lost, and so is a link between parts of a run. Therefore texts
+of a run that are of unlike groups by then are compared once more: each with the one that its sketch is nearest to,
+and at last all pairs that are near by fingerprint and may be alike by their sketches (see blocks). No
+link between texts that share a band and are near is lost, however large a run is.
 
 Defined cases: A-Z count as a-z; shingles are sets; fewer words than a shingle's make one shingle of
 all; texts without a word (null, empty, blank) are alike. Of a group the document with the least doc_id
@@ -33,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import CELL, TOLD, distinct_pairs, following, meet, unlike_cells
+from .blocks import CELL, TOLD, distinct_pairs, following, least_shared, meet, nearest, sketches, unlike, unlike_cells, words_of
 from .common import fresh, partitions, text_of, written
 from .components import components
 from .simhash import Forest, ranges, trie_links, whole_groups
 from .textarrays import Words, flat, mixed, packed, slices, unpacked, utf8, window_hashes
 
-#: Words of a shingle, similarity of copies.
-SHINGLE, SIMILAR = 5, 0.8
+#: Words of a shingle; least shared shingles of copies in 100 different ones.
+SHINGLE, SHARE = 5, 80
 #: Least hashes of a text, bands, and least hashes by which a band's rows are sorted (the first two name a group).
 HASHES, BANDS, DEPTH = 20, 10, 5
 #: Bits in which linked fingerprints may differ, step by step; forests of links that a group gives.
@@ -118,7 +119,11 @@ def _dealt(texts: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def candidates(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(node, fp, least) of distinct texts -> (u, v): links between near fingerprints that meet in a band."""
+    """(node, fp, least) of distinct texts -> (u, v): links between near fingerprints that meet in a band.
+
+    With u = v, texts that may be near others without a link: those of a run beyond group_rows, or of one that
+    another task has rows of.
+    """
     rows, names = _dealt(texts)
     order = names[:-1]
     rows = rows.repartitionByRange(partitions(texts), *order).sortWithinPartitions(*order)
@@ -126,28 +131,73 @@ def candidates(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     def joined(batches):
         for columns in whole_groups(batches, names, 3, GATHERED):
             i, j = group_links(columns[: DEPTH + 1], columns[-2].astype(np.int64).view(np.uint64), group_rows)
-            if len(i):
-                yield pa.record_batch([pa.array(columns[-1][i].astype(np.int64)), pa.array(columns[-1][j].astype(np.int64))], ["u", "v"])
+            start, end = ranges(*columns[:3])
+            open_ = end - start > group_rows
+            open_[[0, -1]] = True
+            own = np.flatnonzero(np.repeat(open_, end - start))
+            i, j = np.concatenate([i, own]), np.concatenate([j, own])
+            yield pa.record_batch([pa.array(columns[-1][i].astype(np.int64)), pa.array(columns[-1][j].astype(np.int64))], ["u", "v"])
 
     return rows.mapInArrow(joined, "u long, v long")
 
 
-def remaining(texts: DataFrame, found: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(u, v): all near pairs that meet in a band and are of unlike components by found (node, component)."""
+def sketched(frames: DataFrame) -> DataFrame:
+    """(node, n, sketch) of texts (node, frame): how many different shingles they have, and their parities."""
+
+    def run(batches):
+        for b in batches:
+            for first, last, texts in unpacked(b.column(1)):
+                h, edge = shingles(*flat(texts))
+                of = np.repeat(np.arange(len(texts)), np.diff(edge))
+                order = np.lexsort((h, of))
+                h = h[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+                h, of = h[new], of[new]
+                sketch = sketches(h, of, len(texts))
+                yield pa.record_batch([b.column(0).slice(first, last - first), pa.array(np.bincount(of, minlength=len(texts))), pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "n", "sketch"])
+
+    return frames.select("node", "frame").mapInArrow(run, "node long, n long, sketch binary")
+
+
+def likely(pairs: DataFrame, told: DataFrame, share: int) -> DataFrame:
+    """The (u, v) of pairs that may be alike by their sketches; told: rows of sketched()."""
+    side = lambda c: told.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    d = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
+
+    def run(batches):
+        for b in batches:
+            m, n = (b.column(k).to_numpy() for k in (2, 3))
+            gap = unlike(*(words_of(b.column(k).to_pylist()) for k in (4, 5)))
+            yield b.select([0, 1]).filter(pa.array(gap <= m + n - 2 * least_shared(m, n, share)))
+
+    return d.mapInArrow(run, "u long, v long")
+
+
+def _meeting(texts: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
+    """A row for each band of the texts that told has: its run's hashes, and what is told of it."""
+    rows = _dealt(texts.join(told.select("node"), "node"))[0].select("band", "k0", "k1", "fp", "node")
+    named = told.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows.join(named, "node")
+
+
+def remaining(rows: DataFrame, share: int, parts: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(u, v): all pairs of a run, rows of _meeting(), that are near, of unlike components and may be alike by their sketches."""
     run, errors = ["band", "k0", "k1"], STEPS[-1]
-    rows = _dealt(texts)[0].select(*run, "fp", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    rows = rows.select(*run, "fp", "node", F.coalesce("component", F.col("node")).alias("component"))
-    names = [*run, *CELL, "fp", "node", *TOLD]
+    names = [*run, *CELL, "fp", "node", "n", "sketch", *TOLD]
     rows = unlike_cells(rows, run, group_rows).select(*names)
-    rows = rows.repartition(partitions(texts), *names[:6]).sortWithinPartitions(*names[:6])
+    rows = rows.repartition(parts, *names[:6]).sortWithinPartitions(*names[:6])
 
     def paired(batches):
         for columns in whole_groups(batches, names, 6, GATHERED):
             held = dict(zip(names, columns, strict=True))
             start, end = ranges(*columns[:6])
-            fp, node = held["fp"].astype(np.int64).view(np.uint64), held["node"].astype(np.int64)
+            fp, node, n, sketch = held["fp"].astype(np.int64).view(np.uint64), held["node"].astype(np.int64), held["n"], words_of(held["sketch"])
             for i, j in following(np.repeat(end, end - start)):
-                ok = (np.bitwise_count(fp[i] ^ fp[j]) <= errors) & meet(held, i, j)
+                ok = np.bitwise_count(fp[i] ^ fp[j]) <= errors
+                i, j = i[ok], j[ok]
+                ok = meet(held, i, j)
+                i, j = i[ok], j[ok]
+                ok = unlike(sketch[i], sketch[j]) <= n[i] + n[j] - 2 * least_shared(n[i], n[j], share)
                 u, v = distinct_pairs(node[i[ok]], node[j[ok]])
                 if len(u):
                     yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
@@ -242,32 +292,36 @@ def compared(pairs: DataFrame, frames: DataFrame, alike: Callable[[np.ndarray, n
     return d.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
 
 
-def text_frames(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, frame) of the texts of pairs; texts: (node, mark)."""
-    sides = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = texts.select("node", "mark").join(sides, "node").withColumnRenamed("mark", "_wanted")
+def text_frames(nodes: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, frame) of the texts of nodes; texts: (node, mark)."""
+    wanted = texts.select("node", "mark").join(nodes, "node").withColumnRenamed("mark", "_wanted")
     rows = docs.select(_mark().alias("_text_mark"), text_of().alias("text"))
     # One text for each mark; rows of equal mark have equal texts.
     found = packed(rows.join(wanted, F.col("_text_mark") == F.col("_wanted")).select("node", "text"), "text", "frame")
     return written(found.groupBy("node").agg(F.min("frame").alias("frame")), docs)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The (u, v) of pairs whose texts are alike; texts: (node, mark)."""
-    return compared(pairs, text_frames(pairs, texts, docs), lambda both, all_: both >= similar * np.maximum(all_, 1))
-
-
 def groups(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(mark, component) of each distinct text: texts of one component are near-duplicates."""
     each = _marked(docs).groupBy("mark").agg(F.min("fp").alias("fp"), F.min("least").alias("least"))
     texts = written(each.withColumn("node", F.monotonically_increasing_id()), docs)
+    parts = partitions(docs)
     pairs = candidates(texts, group_rows).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = written(pairs, docs)
-    found = components(verified(pairs, texts, docs), docs)
-    rest = written(remaining(texts, found, group_rows).join(pairs, ["u", "v"], "left_anti"), docs)
+    frames = text_frames(pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct(), texts, docs)
+    told = written(sketched(frames), docs)
+    alike = lambda both, all_: 100 * both >= SHARE * np.maximum(all_, 1)
+    joined = lambda found, more: components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more), docs)
+    tried = written(likely(pairs.where("u != v"), told, SHARE), docs)
+    found = components(compared(tried, frames, alike), docs)
+    # What the first links have left apart: each text with its likeliest, then all that may be alike.
+    rows = _meeting(texts, found, told).select(F.xxhash64("band", "k0", "k1").alias("key"), "n", "node", "component", "sketch")
+    new = written(nearest(written(rows, docs), parts, SHARE).join(tried, ["u", "v"], "left_anti"), docs)
+    if not new.isEmpty():
+        found, tried = joined(found, compared(new, frames, alike)), tried.unionAll(new)
+    rest = written(remaining(_meeting(texts, found, told), SHARE, parts, group_rows).join(tried, ["u", "v"], "left_anti"), docs)
     if not rest.isEmpty():
-        more = verified(rest, texts, docs)
-        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more), docs)
+        found = joined(found, compared(rest, frames, alike))
     return texts.join(found, "node", "left").select("mark", F.coalesce("component", F.col("node")).alias("component"))
 
 

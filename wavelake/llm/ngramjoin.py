@@ -11,11 +11,11 @@ n - ceil(bound * n) + 1 of each (its prefix), so only prefixes are joined:
    of the shingles after it fall in each of eight parts of the hash space. Equal sets are one node.
 3. Nodes that share a prefix shingle are joined on it. A pair has to pass the length filter (sizes), the
    positional filter (what can be shared from these places on) and the suffix filters (the parts'
-   differences, which the sets cannot make good; then those of SKETCH parities of counts by hash, of which no
+   differences, which the sets cannot make good; then those of parities of counts by hash, of which no
    more can differ than shingles do). What passes is compared once, on all its shingles.
 
 A group of m near copies has m * m pairs but needs m - 1 links. So each node is first compared with the
-nearest by parities of the NEAR before it by size, in each of the HOMES largest groups it is in, and these
+nearest by parities of those before it by size, in each of the HOMES largest groups it is in, and these
 links' components are found; after that pairs within a component are left out, and all others that pass
 the filters are compared: nothing is lost. A shingle's group beyond GROUP_ROWS is dealt out as pairs of
 blocks, rows of its largest component only against other rows.
@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import CELL, TOLD, distinct_pairs, following, meet, unlike_cells
+from .blocks import CELL, TOLD, distinct_pairs, following, least_shared, meet, nearest, sketches, unlike, unlike_cells, words_of
 from .common import compact, partitions, table, text_of, written
 from .components import components
 from .copies import compared, shingles
@@ -45,17 +45,12 @@ from .textarrays import slices, utf8
 
 #: Words of a shingle; least shared shingles in 100 different ones.
 SHINGLE, SHARE = 4, 85
-#: Groups in which a node first meets others, and how many by size there; rows of a group that are joined in one place.
-HOMES, NEAR, GROUP_ROWS = 2, 32, 4096
+#: Groups in which a node first meets others; rows of a group that are joined in one place.
+HOMES, GROUP_ROWS = 2, 4096
 #: Rows a task holds; bytes of text of a chunk at most.
 GATHERED, CHUNK = 1 << 16, 48 << 20
-#: Parts of the hash space whose counts, and those whose parities, the suffix filters compare.
-PARTS, SKETCH = 8, 1024
-
-
-def least_shared(m: np.ndarray | int, n: np.ndarray | int, share: int = SHARE):
-    """The least i for which 100 * i >= share * (m + n - i)."""
-    return -(-share * (m + n) // (100 + share))
+#: Parts of the hash space whose counts the suffix filter compares.
+PARTS = 8
 
 
 def prefix(n: np.ndarray, share: int = SHARE) -> np.ndarray:
@@ -149,26 +144,6 @@ def _tails(h: np.ndarray, edge: np.ndarray, of: np.ndarray, at: np.ndarray) -> n
     return out
 
 
-def _sketches(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """For each of n sets a row of bytes: whether so many of its shingles as are in a part of the hash space are odd."""
-    part = (h >> np.uint64(3)).astype(np.int64) & (SKETCH - 1)
-    out = [np.zeros((0, SKETCH // 8), np.uint8)]
-    for first in range(0, n, 256):
-        a, z = np.searchsorted(of, [first, first + 256])
-        counts = np.bincount((of[a:z] - first) * SKETCH + part[a:z], minlength=min(256, n - first) * SKETCH)
-        out.append(np.packbits((counts & 1).astype(bool)).reshape(-1, SKETCH // 8))
-    return np.concatenate(out)
-
-
-def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Parities in which rows of sketches (as 64-bit words) differ: at most as many as shingles do."""
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-
-
-def _words(sketches) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, SKETCH // 64)
-
-
 def prefixed(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """A row for each of docs (doc_id long, text): its set's mark (hi, lo) and size and, if others may share its prefix, that and the text."""
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -188,7 +163,7 @@ def prefixed(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFr
         place = np.arange(len(h)) - edge[of]
         at = np.flatnonzero((place < prefix(n, share)[of]) & (cls > 0))
         mine, tails, place = np.searchsorted(of[at], np.arange(len(n) + 1)), _tails(h, edge, of, at), place[at].astype("<u4")
-        token, sketch = h[at], _sketches(h, of, len(n))
+        token, sketch = h[at], sketches(h, of, len(n))
         data, offsets = utf8(b.column(1))
         raw, press = memoryview(data), zstandard.ZstdCompressor(level=1)
         out = [[], [], [], [], []]
@@ -237,63 +212,12 @@ def _exploded(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "shingles", "places", "tails").mapInArrow(run, "shingle long, n long, node long, place int, tail long")
 
 
-_MET = "u long, v long, shingle long, n long, sketch binary"
-
-
-def _nearest(share: int, near: int, ends: bool):
-    """Rows (shingle, n, node, sketch) in order -> each node and the nearest of the `near` before it, if the pair may be alike.
-
-    ends: also, with u = v, the first and last rows of the task, as many, for what goes on in other tasks.
-    """
-    names = [c.split()[0] for c in _MET.split(", ")]
-
-    def run(batches):
-        held, begun = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = [b.column(k).to_numpy() for k in range(3)] + [_words(b.column(3).to_pylist())]
-            old = 0 if held is None else len(held[0])
-            token, n, node, sketch = new if held is None else (np.concatenate(x) for x in zip(held, new, strict=True))
-            best, of = np.full(len(token), 1 << 40), np.zeros(len(token), int)
-            for w in range(1, min(near, len(token) - 1) + 1):
-                gap = _unlike(sketch[w:], sketch[:-w])
-                gap[token[w:] != token[:-w]] = 1 << 40
-                better = gap < best[w:]
-                best[w:][better], of[w:][better] = gap[better], w
-            i = np.flatnonzero(best < 1 << 40)
-            i = i[i >= old]
-            j = i - of[i]
-            ok = best[i] <= n[i] + n[j] - 2 * least_shared(n[i], n[j], share)
-            i, j = i[ok], j[ok]
-            none = pa.nulls(len(i), pa.binary())
-            yield pa.record_batch([pa.array(node[i]), pa.array(node[j]), pa.array(token[i]), pa.array(n[i]), none], names)
-            if ends and begun < near:
-                yield end(token, n, node, sketch, slice(old, old + near - begun))
-                begun += len(token) - old
-            held = tuple(x[-near:] for x in (token, n, node, sketch))
-        if ends and held is not None:
-            yield end(*held, slice(None))
-
-    def end(token, n, node, sketch, at):
-        return pa.record_batch([pa.array(node[at]), pa.array(node[at]), pa.array(token[at]), pa.array(n[at]), pa.array([x.tobytes() for x in sketch[at]], pa.binary())], names)
-
-    return run
-
-
 def neighbours(grouped: DataFrame, nodes: DataFrame, parts: int, share: int = SHARE) -> DataFrame:
-    """(u, v): each node with the nearest by sketch of the NEAR before it by size, in each of the HOMES largest groups that it is in."""
+    """(u, v): each node with the nearest by sketch of those before it by size, in each of the HOMES largest groups that it is in."""
     w = Window.partitionBy("node").orderBy(F.desc("m"), "shingle")
     homes = grouped.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= HOMES).select("shingle", "n", "node")
-    homes = written(homes.join(nodes.select("node", "sketch"), "node").select("shingle", "n", "node", "sketch"), grouped)
-    order = ["shingle", "n", "node"]
-    found = homes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_nearest(share, NEAR, True), _MET)
-    found = written(found, grouped)
-    # Where a group goes on in the next task, the last rows of one meet the first of the next: 2 * NEAR rows of a task.
-    ends = found.where("sketch is not null").select("shingle", "n", F.col("u").alias("node"), "sketch").dropDuplicates(["shingle", "node"])
-    joints = ends.repartition(parts, "shingle").sortWithinPartitions(*order).mapInArrow(_nearest(share, NEAR, False), _MET)
-    pairs = found.where("sketch is null").select("u", "v").unionAll(joints.select("u", "v"))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    homes = homes.join(nodes.select("node", "sketch"), "node").select(F.col("shingle").alias("key"), "n", "node", F.col("node").alias("component"), "sketch")
+    return nearest(written(homes, grouped), parts, share)
 
 
 def candidates(grouped: DataFrame, found: DataFrame, nodes: DataFrame, parts: int, share: int = SHARE, group_rows: int | None = None) -> DataFrame:
@@ -312,7 +236,7 @@ def candidates(grouped: DataFrame, found: DataFrame, nodes: DataFrame, parts: in
             held = dict(zip(names, columns, strict=True))
             start, end = ranges(*columns[:4])
             group = np.repeat(np.arange(len(start)), end - start)
-            size, node, place, tail, sketch = held["n"].astype(np.int64), held["node"], held["place"], held["tail"], _words(held["sketch"])
+            size, node, place, tail, sketch = held["n"].astype(np.int64), held["node"], held["place"], held["tail"], words_of(held["sketch"])
             # Sizes ascend in a group: each row's partners by the length filter are those that follow, up to a size.
             last = np.searchsorted((group << 40) + size, (group << 40) + 100 * size // share, "right")
             for i, j in following(last):
@@ -325,7 +249,7 @@ def candidates(grouped: DataFrame, found: DataFrame, nodes: DataFrame, parts: in
                 after = [np.ascontiguousarray(tail[x]).view(np.uint8).reshape(-1, PARTS).astype(np.int16) for x in (i, j)]
                 ok = np.abs(after[0] - after[1]).sum(1) <= left + right - 2 * (need - 1)
                 i, j, need = i[ok], j[ok], need[ok]
-                ok = _unlike(sketch[i], sketch[j]) <= size[i] + size[j] - 2 * need
+                ok = unlike(sketch[i], sketch[j]) <= size[i] + size[j] - 2 * need
                 u, v = distinct_pairs(node[i[ok]], node[j[ok]])
                 if len(u):
                     yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
