@@ -38,28 +38,29 @@ def scored(values: DataFrame, base: DataFrame | None = None, calibrated: bool =
     return z.groupBy("adva", "number").agg(F.sqrt(F.avg(F.col("sigma") * F.col("sigma"))).alias("anomaly_score"), entries.alias("anomaly_contributions"))
 
 
-def running_scores(packets: DataFrame, keys: tuple[str, ...] = C.VECTOR, least_rows: int = C.BASELINE_LEAST, least: int = C.BASELINE_FEATURE_LEAST, needed: tuple[int, int, int] = (C.ENROLL_PACKETS, C.ENROLL_TEMPERATURES, C.ENROLL_DISTANCES)) -> DataFrame:
-    """(adva, number, anomaly_score, anomaly_contributions, valid): good packets against their address's baseline as it then is.
+def running_scores(packets: DataFrame, keys: tuple[str, ...] = C.VECTOR, least_rows: int = C.BASELINE_LEAST, least: int = C.BASELINE_FEATURE_LEAST, needed: tuple[int, int, int] = (C.ENROLL_PACKETS, C.ENROLL_TEMPERATURES, C.ENROLL_DISTANCES), by: list[str] = ()) -> DataFrame:
+    """(by, adva, number, anomaly_score, anomaly_contributions, valid): good packets against their address's baseline as it then is.
 
-    The baseline of a packet is that of all packets of its address up to and with it. There is a score
+    The baseline of a packet is that of all packets of its address (within by) up to and with it. There is a score
     from `least_rows` packets on, over features with `least` values and some spread; what depends on
     the clock counts only where the packet's clock is calibrated. valid: whether the baseline has seen
     enough packets, whole degrees and bands of strength (`needed`) by then.
     """
     from .windows import moments, running_sums
 
-    d = moments(packets, list(keys), "number", keys=["adva"])
+    own = [*by, "adva"]
+    d = moments(packets, list(keys), "number", keys=own)
     seen = {"_degree": F.bround(finite(F.col("temperature_c")), 0), "_band": F.floor(finite(F.col("rssi_dbfs")) / C.DISTANCE_DB)}
     for name, bucket in seen.items():
-        first = packets.groupBy("adva", bucket.alias("_bucket")).agg(F.min("number").alias("number")).where("_bucket is not null")
-        d = d.join(first.groupBy("adva", "number").agg(F.lit(1).alias(name)), ["adva", "number"], "left")
-    d = running_sums(d, {"_packets": F.lit(1), "_degrees": F.coalesce("_degree", F.lit(0)), "_bands": F.coalesce("_band", F.lit(0))}, "number", ["adva"])
+        first = packets.groupBy(*own, bucket.alias("_bucket")).agg(F.min("number").alias("number")).where("_bucket is not null")
+        d = d.join(first.groupBy(*own, "number").agg(F.lit(1).alias(name)), [*own, "number"], "left")
+    d = running_sums(d, {"_packets": F.lit(1), "_degrees": F.coalesce("_degree", F.lit(0)), "_bands": F.coalesce("_band", F.lit(0))}, "number", own)
     d = d.withColumns({"_key": F.array(*[F.lit(k) for k in keys]), "_bound": F.array(*[F.lit(k in C.CLOCK_BOUND) for k in keys])})
     z = f"transform(arrays_zip(_x, _moments, _key, _bound), e -> named_struct('key', e._key, 'value', if(e._moments.n >= {least} and e._moments.std > 0 and (coalesce(calibrated, false) or not e._bound) and _packets >= {least_rows}, (e._x - e._moments.mean) / e._moments.std, null)))"
     d = d.withColumn("_z", F.expr(f"filter({z}, e -> e.value is not null)"))
     enough = " and ".join(f"{c} >= {n}" for c, n in zip(("_packets", "_degrees", "_bands"), needed, strict=True))
     score = "if(size(_z) > 0, sqrt(aggregate(_z, 0D, (t, e) -> t + e.value * e.value) / size(_z)), null) anomaly_score"
-    return d.selectExpr("adva", "number", score, "if(size(_z) > 0, map_from_entries(_z), null) anomaly_contributions", f"{enough} valid")
+    return d.selectExpr(*own, "number", score, "if(size(_z) > 0, map_from_entries(_z), null) anomaly_contributions", f"{enough} valid")
 
 
 def baseline_alert(threshold: float = C.ANOMALY_ALERT) -> Column:
@@ -194,35 +195,43 @@ def processed(device: Device, adva: str, rows: pd.DataFrame, keys: tuple[str, ..
     return pd.DataFrame(out, columns=["adva", "number", "cluster", "separation", "split", "cluster_alert", "bimodal_alert", "multipath_alert", "alerts"])
 
 
-def clustered(whitened: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(adva, number, vector[, profile][, values]) -> CLUSTERED: each packet's cluster in its address's order.
+def clustered(whitened: DataFrame, keys: tuple[str, ...] = (), by: list[str] = ()) -> DataFrame:
+    """(by, adva, number, vector[, profile][, values]) -> by and CLUSTERED: each packet's cluster in its address's order.
 
-    values: the measurements named by keys, which are looked at for two modes.
+    values: the measurements named by keys, which are looked at for two modes. Addresses of unlike
+    `by` (columns, as the session) are apart.
 
     The rows of an address are read in order, in batches: no address is held in memory as a whole.
     """
+    own = [*by, "adva"]
     parts = int(whitened.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = whitened.repartition(parts, "adva").sortWithinPartitions("adva", "number")
+    ordered = whitened.repartition(parts, *own).sortWithinPartitions(*own, "number")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adva, device = None, Device()
+        who, device = None, Device()
         for b in batches:
-            starts = np.flatnonzero(np.append(True, b["adva"].to_numpy()[1:] != b["adva"].to_numpy()[:-1])) if len(b) else []
+            if not len(b):
+                continue
+            names = b[own].to_numpy(object)
+            starts = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(1)))
             for i, j in zip(starts, [*starts[1:], len(b)], strict=True):
-                rows = b.iloc[i:j]
-                if rows["adva"].iloc[0] != adva:
-                    adva, device = rows["adva"].iloc[0], Device()
-                yield processed(device, adva, rows, keys)
+                if tuple(names[i]) != who:
+                    who, device = tuple(names[i]), Device()
+                out = processed(device, who[-1], b.iloc[i:j], keys)
+                for k, c in enumerate(by):
+                    out.insert(k, c, who[k])
+                yield out
 
-    return ordered.mapInPandas(run, CLUSTERED)
+    shape = "".join(f"`{c}` {t}, " for c, t in whitened.select(*by).dtypes) if by else ""
+    return ordered.mapInPandas(run, shape + CLUSTERED)
 
 
-def cluster_labels(clusters: DataFrame) -> DataFrame:
-    """CLUSTERED rows with cluster_id: labels of (address, cluster) in the order in which they appear."""
+def cluster_labels(clusters: DataFrame, by: list[str] = ()) -> DataFrame:
+    """CLUSTERED rows with cluster_id: labels of (address, cluster) in the order in which they appear within by."""
     from .windows import first_seen_labels
 
     clusters = held(clusters)
-    return clusters.join(first_seen_labels(clusters, ["adva", "cluster"], "number").withColumnRenamed("label", "cluster_id"), ["adva", "cluster"])
+    return clusters.join(first_seen_labels(clusters, ["adva", "cluster"], "number", by=by).withColumnRenamed("label", "cluster_id"), [*by, "adva", "cluster"])
 
 
 def address_summary(packets: DataFrame, clusters: DataFrame) -> DataFrame:

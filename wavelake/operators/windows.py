@@ -58,9 +58,9 @@ def bimodal(packets: DataFrame, keys: tuple[str, ...], history: int = C.BIMODAL_
     return best.select("adva", "b.key", "b.sigma", "b.low_mean", "b.high_mean", "b.n_low", "b.n", (F.col("b.sigma") > sigma).alias("alert"))
 
 
-def bursts(packets: DataFrame, within_us: float = C.BURST_US, rows: int = C.BURST_ROWS, count: int = C.BURST_COUNT) -> DataFrame:
+def bursts(packets: DataFrame, within_us: float = C.BURST_US, rows: int = C.BURST_ROWS, count: int = C.BURST_COUNT, by: list[str] = ()) -> DataFrame:
     """Packets with how many of their address's last rows, themselves included, lie within the span; and whether that is an alert."""
-    w = Window.partitionBy("adva").orderBy("number").rowsBetween(-(rows - 1), 0)
+    w = Window.partitionBy(*by, "adva").orderBy("number").rowsBetween(-(rows - 1), 0)
     near = F.size(F.filter(F.collect_list("timestamp_us").over(w), lambda t: F.col("timestamp_us") - t < within_us))
     d = admitted(packets).withColumn("recent", near)
     return d.withColumn("burst", F.col("recent") > count)
@@ -161,11 +161,11 @@ def swept(blocks: DataFrame, keys: list[str], rows: int = 240, least: int = 8, s
     return d.withColumn("bandwidth_spread", F.stddev_pop("_b").over(w)).withColumn("swept", (F.count("*").over(w) > least) & F.coalesce(F.col("bandwidth_spread") > spread_hz, F.lit(False))).drop("_b")
 
 
-def first_seen_labels(df: DataFrame, keys: list[str], order: str, size: int = 1_000_000) -> DataFrame:
-    """(keys, label): numbers in the order in which keys first appear. One row for each key, ranked in blocks of the order."""
-    seen = held(df.groupBy(*keys).agg(F.min(order).alias("_first")))
-    ranked = running_sums(seen, {"label": F.lit(1)}, "_first", size=size, ties=keys)
-    return ranked.select(*keys, (F.col("label") - 1).alias("label"))
+def first_seen_labels(df: DataFrame, keys: list[str], order: str, size: int = 1_000_000, by: list[str] = ()) -> DataFrame:
+    """(by, keys, label): numbers in the order in which keys first appear within by. One row for each key, ranked in blocks of the order."""
+    seen = held(df.groupBy(*by, *keys).agg(F.min(order).alias("_first")))
+    ranked = running_sums(seen, {"label": F.lit(1)}, "_first", list(by), size=size, ties=keys)
+    return ranked.select(*by, *keys, (F.col("label") - 1).alias("label"))
 
 
 def colours(df: DataFrame, key: str, order: str, n: int = 16) -> DataFrame:
@@ -257,12 +257,12 @@ def running_moments(df: DataFrame, values: list[str], order: str, block_rows: in
     return d.selectExpr(*[f"`{c}`" for c in df.columns], *[f"_moments[{i}].{k} as `{v}_{k}`" for i, v in enumerate(values) for k in ("n", "mean", "std")])
 
 
-def whitened(df: DataFrame, values: list[str], order: str, block_rows: int = 100_000, vector: str | None = None) -> DataFrame:
-    """df with <v>_w, or all of them as one array named by vector: each value less the running mean, in running deviations.
+def whitened(df: DataFrame, values: list[str], order: str, block_rows: int = 100_000, vector: str | None = None, by: list[str] = ()) -> DataFrame:
+    """df with <v>_w, or all of them as one array named by vector: each value less the running mean within by, in running deviations.
 
     A deviation of none counts as one, a missing value as 0.
     """
-    d = moments(df, values, order, block_rows)
+    d = moments(df, values, order, block_rows, list(by))
     d = d.withColumn("_w", F.expr("zip_with(_x, _moments, (x, m) -> coalesce((x - m.mean) / if(m.std > 1e-12D, m.std, 1D), 0D))"))
     own = [f"`{c}`" for c in df.columns]
     return d.selectExpr(*own, f"_w as `{vector}`") if vector else d.selectExpr(*own, *[f"_w[{i}] as `{v}_w`" for i, v in enumerate(values)])

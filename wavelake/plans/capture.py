@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -41,34 +41,54 @@ BIMODAL = (*C.VECTOR, "aoa_deg")
 def analyze(packets: DataFrame, enroll: tuple[str, ...] = (), threshold: float = C.ANOMALY_ALERT, needed: tuple[int, int, int] = (C.ENROLL_PACKETS, C.ENROLL_TEMPERATURES, C.ENROLL_DISTANCES)) -> DataFrame:
     """Packet rows with cluster_id, anomaly_score, contributions and alerts, as a batch.
 
-    Vectors are whitened by running moments and clustered in each address's order; enrolled addresses
-    are scored against their baseline as it is at each packet. A packet's alerts are, in this order:
-    two clusters, two modes of a measurement, too many packets at once, a baseline left, a delay
-    profile left. Needed: packets, whole degrees and bands of strength that make a baseline valid.
+    Each session, if packets have that column, is analysed by itself, in order of number: vectors are
+    whitened by the session's running moments and clustered in each address's order, clusters are
+    labelled as they appear in it, enrolled addresses are scored against their baseline as it is at
+    each packet. A packet's alerts are, in this order: two clusters, two modes of a measurement, too
+    many packets at once, a baseline left, a delay profile left. Needed: packets, whole degrees and
+    bands of strength that make a baseline valid.
     """
     from ..operators import analysis, stats, windows
 
     have = set(packets.columns)
+    by = ["session"] if "session" in have else []
+    own = [*by, "adva", "number"]
     good = stats.admitted(packets)
-    none = F.lit(None).cast("double")
-    more = [F.col("profile") if "profile" in have else F.lit(None).cast("array<float>").alias("profile")]
-    values = F.array(*[F.col(k).cast("double") if k in have else none for k in BIMODAL]).alias("values")
-    white = windows.whitened(good.select("adva", "number", *C.VECTOR, *more, values), list(C.VECTOR), "number", vector="vector").select("adva", "number", "vector", "profile", "values")
-    clusters = analysis.cluster_labels(analysis.clustered(white, BIMODAL))
+    white = windows.whitened(good.select(*own, *C.VECTOR, *observed(packets)), list(C.VECTOR), "number", vector="vector", by=by).select(*own, "vector", "profile", "values")
+    clusters = analysis.cluster_labels(analysis.clustered(white, BIMODAL, by), by)
     kinds = ["cluster_alert", "bimodal_alert", "multipath_alert"]
-    out = packets.drop("alerts").join(clusters.select("adva", "number", "cluster_id", "separation", *kinds), ["adva", "number"], "left")
-    burst = windows.bursts(packets).where("burst").select("adva", "number", F.format_string("%d packets of %s at once", "recent", "adva").alias("burst_alert"))
-    out = out.join(burst, ["adva", "number"], "left")
+    out = packets.drop("alerts").join(clusters.select(*own, "cluster_id", "separation", *kinds), own, "left")
+    burst = windows.bursts(packets, by=by).where("burst").select(*own, "recent")
+    out = out.join(burst, own, "left")
     if enroll:
-        own = good.where(F.upper("adva").isin(*[a.upper() for a in enroll]))
-        own = own if "calibrated" in have else own.withColumn("calibrated", F.lit(False))
-        scores = analysis.running_scores(own, needed=needed)
-        scores = scores.select("adva", "number", "anomaly_score", "anomaly_contributions", analysis.baseline_alert(threshold).alias("baseline_alert"))
-        out = out.drop("anomaly_score", "anomaly_contributions").join(scores, ["adva", "number"], "left")
+        mine = good.where(enrolled(enroll))
+        mine = mine if "calibrated" in have else mine.withColumn("calibrated", F.lit(False))
+        scores = analysis.running_scores(mine, needed=needed, by=by).select(*own, "anomaly_score", "anomaly_contributions", "valid")
+        out = out.drop("anomaly_score", "anomaly_contributions").join(scores, own, "left")
     else:
-        out = out.withColumns({"anomaly_score": none, "anomaly_contributions": F.lit(None).cast("map<string,double>"), "baseline_alert": F.lit(None).cast("string")})
-    order = ["cluster_alert", "bimodal_alert", "burst_alert", "baseline_alert", "multipath_alert"]
-    return out.withColumn("alerts", F.array_compact(F.array(*order))).drop(*order)
+        none = {"anomaly_score": "double", "anomaly_contributions": "map<string,double>", "valid": "boolean"}
+        out = out.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+    return with_alerts(out, threshold)
+
+
+def observed(packets: DataFrame) -> list[Column]:
+    """profile and values (those of BIMODAL) of packets, null where they have no such columns."""
+    have, none = set(packets.columns), F.lit(None).cast("double")
+    profile = F.col("profile") if "profile" in have else F.lit(None).cast("array<float>").alias("profile")
+    return [profile, F.array(*[F.col(k).cast("double") if k in have else none for k in BIMODAL]).alias("values")]
+
+
+def enrolled(addresses: tuple[str, ...]) -> Column:
+    return F.upper("adva").isin(*[a.upper() for a in addresses])
+
+
+def with_alerts(found: DataFrame, threshold: float = C.ANOMALY_ALERT) -> DataFrame:
+    """Rows with what each test has found -> with alerts, in order, in place of it; recent is null where there is no burst."""
+    from ..operators.analysis import baseline_alert
+
+    tests = ["cluster_alert", "bimodal_alert", "burst_alert", "baseline_alert", "multipath_alert"]
+    d = found.withColumns({"burst_alert": F.when(F.col("recent").isNotNull(), F.format_string("%d packets of %s at once", "recent", "adva")), "baseline_alert": baseline_alert(threshold)})
+    return d.withColumn("alerts", F.array_compact(F.array(*tests))).drop(*tests, "recent", "valid")
 
 
 def controlled(blocks: DataFrame, commands: DataFrame) -> DataFrame:

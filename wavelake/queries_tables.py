@@ -14,7 +14,7 @@ from .functions import scalars as S
 from .operators import analysis, joins, ordering, stats, windows
 from .plans import capture, charts
 from .plans.filters import parse
-from .queries import _PACKETS, _V, _packets, _r, _vectors, query
+from .queries import _PACKETS, _V, SQL, _packets, _r, _vectors, query
 from .sources import files, sinks
 from .tables import shared_folder
 
@@ -468,8 +468,9 @@ _TALE = (
 )
 
 
-def _tale(spark, sf_dir):
-    e, n = A.table(spark, sf_dir, "embeddings"), F.col("vec_id")
+def _tale(spark, sf_dir, rows=None):
+    """The tale's packets, of the table or of a stream of its rows."""
+    e, n = A.table(spark, sf_dir, "embeddings") if rows is None else rows, F.col("vec_id")
     one = (F.col("label") % 3 == 1) & (n % 2 == 0)
     x = lambda i: F.get("embedding", F.lit(i)).cast("double")
     return e.select(
@@ -520,7 +521,52 @@ _KINDS = {analysis.TWO_CLUSTERS: "clusters", "has two modes": "modes", "at once"
     _TALE,
 )
 def alerts_in_order(spark, sf_dir):
-    d = capture.analyze(_tale(spark, sf_dir), enroll=("0", "1"), threshold=_THRESHOLD, needed=_NEEDED)
+    found = capture.analyze(_tale(spark, sf_dir), enroll=("0", "1"), threshold=_THRESHOLD, needed=_NEEDED)
+    return _kinds(found).select("number", "adva", *_r("anomaly_score", digits=4), "kinds")
+
+
+#: The tale told by three receivers: each has every third packet, counted by itself.
+_SESSIONS = _TALE.replace("(label % 3)::VARCHAR AS adva, vec_id AS number", "(vec_id % 3)::VARCHAR || '/' || (label % 3)::VARCHAR AS adva, vec_id // 3 AS number")
+
+
+@query(
+    f""", {_kmeans(_whitened(C.VECTOR, 'good').replace('(ORDER BY number', "(PARTITION BY split_part(adva, '/', 1) ORDER BY number"), len(C.VECTOR))}, {_splits('good', C.VECTOR)}, {_profiles(_PROFILE_ROWS)}, {_LABELS.replace('OVER (', "OVER (PARTITION BY split_part(adva, '/', 1) ")},
+ own AS (SELECT * FROM good WHERE adva LIKE '%/0' OR adva LIKE '%/1'), {_running(C.VECTOR)}, sc AS (SELECT adva, number, {_score(C.VECTOR)} AS score, packets >= {_NEEDED[0]} AND degrees >= {_NEEDED[1]} AND bands >= {_NEEDED[2]} AS valid FROM z),
+ bu AS (SELECT adva, number, len(list_filter(list(timestamp_us) OVER (PARTITION BY adva ORDER BY number ROWS {C.BURST_ROWS - 1} PRECEDING), lambda t: timestamp_us - t < {C.BURST_US})) > {C.BURST_COUNT} AS burst FROM good)
+ SELECT split_part(v.adva, '/', 1) AS session, v.number, split_part(v.adva, '/', 2) AS adva, coalesce(label, -1) AS cluster_id, round(sc.score, 4) AS anomaly_score, list_filter([CASE WHEN sep.separation > {C.SEPARATION_ALERT} AND sep.i >= {C.SEPARATION_AFTER} THEN 'clusters' END, CASE WHEN best.sigma > {C.BIMODAL_SIGMA} THEN 'modes' END, CASE WHEN bu.burst THEN 'burst' END, CASE WHEN sc.valid AND sc.score > {_THRESHOLD} THEN 'baseline' END, CASE WHEN jump.jumps THEN 'profile' END], lambda a: a IS NOT NULL) AS kinds
+ FROM v LEFT JOIN sep ON v.adva = sep.adva AND v.number = sep.number LEFT JOIN labels ON sep.adva = labels.adva AND sep.cluster = labels.cluster LEFT JOIN best ON v.adva = best.adva AND v.number = best.number LEFT JOIN bu ON v.adva = bu.adva AND v.number = bu.number LEFT JOIN sc ON v.adva = sc.adva AND v.number = sc.number LEFT JOIN jump ON v.adva = jump.adva AND v.number = jump.number""",
+    _SESSIONS,
+)
+def alerts_by_session(spark, sf_dir):
+    """Three sessions analysed at once, each by itself: as many rows as there are packets."""
+    n = F.col("number")
+    d = _tale(spark, sf_dir).withColumn("session", (n % 3).cast("string")).withColumn("number", F.floor(n / 3))
+    return _by_session(capture.analyze(d, enroll=("0", "1"), threshold=_THRESHOLD, needed=_NEEDED))
+
+
+def _by_session(found):
+    return _kinds(found).select("session", "number", "adva", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"), *_r("anomaly_score", digits=4), "kinds")
+
+
+@query(SQL["alerts_by_session"], "")
+def streamed_alerts(spark, sf_dir):
+    """As alerts_by_session, by a stream of the table's files that is run to its end and writes files."""
+    from .streaming import queries as streams
+    from .streaming.analysis import analysis as analysed
+    from .streaming.analysis import rocksdb
+
+    n, out = F.col("number"), shared_folder(spark)
+    rows = streams.packet_stream(spark, f"{sf_dir.rstrip('/')}/embeddings.parque[t]", A.table(spark, sf_dir, "embeddings").schema)
+    d = _tale(spark, sf_dir, rows).withColumn("session", (n % 3).cast("string")).withColumn("number", F.floor(n / 3))
+    stream = analysed(d, enroll=("0", "1"), threshold=_THRESHOLD, needed=_NEEDED)
+    with rocksdb(spark):
+        run = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return _by_session(spark.read.schema(stream.schema).parquet(f"{out}/rows"))
+
+
+def _kinds(found):
+    """Analysed packets with the kinds of their alerts."""
 
     def kind(text):
         out = F.lit("unknown")
@@ -528,7 +574,7 @@ def alerts_in_order(spark, sf_dir):
             out = F.when(text.contains(part), name).otherwise(out)
         return out
 
-    return d.select("number", "adva", *_r("anomaly_score", digits=4), F.transform("alerts", kind).alias("kinds"))
+    return found.withColumn("kinds", F.transform("alerts", kind))
 
 
 # -- streams -----------------------------------------------------------------------------------
