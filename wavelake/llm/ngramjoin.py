@@ -176,7 +176,8 @@ def prefixed(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFr
     def cut(batches):
         now, told_ = None, []
         for rows in batches:
-            for chunk, kind, _, _, data in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            for k, (chunk, kind) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
+                data = rows.column(4)[k].as_buffer()  # no copy: a batch holds many chunks' texts
                 if chunk != now:
                     now, told_ = chunk, []
                 if kind == 0:
