@@ -79,20 +79,48 @@ def reaction_latency(onsets: DataFrame, preambles: DataFrame, keys: list[str], t
     return lags.groupBy(*keys).agg(F.median("_lag").alias("latency_us"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], bucket: int) -> DataFrame:
-    """Pairs of rows whose spans [start, end) overlap: equal buckets of the span first, each pair once.
+def _nodes(start: Column, end: Column, bucket: float) -> Column:
+    """The fewest dyadic nodes (level, node) that make up the buckets of a span [start, end): two a level at most.
 
-    Spans are dealt to all buckets they touch; the pair counts in the bucket where the later starts.
+    Node j of level k is the buckets from j * 2^k on, 2^k of them. It is one of a span's if the span
+    holds all of it but not all of its parent.
     """
-    def dealt(df, side):
-        d = df.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keys])
-        first, last = F.floor(F.col(f"start_{side}") / bucket), F.floor((F.col(f"end_{side}") - 1) / bucket)
-        return d.where(F.col(f"end_{side}") > F.col(f"start_{side}")).withColumn("_bucket", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-
-    pairs = dealt(left, "a").join(dealt(right, "b"), [*keys, "_bucket"])
-    meet = (F.col("start_a") < F.col("end_b")) & (F.col("start_b") < F.col("end_a"))
-    once = F.floor(F.greatest("start_a", "start_b") / bucket) == F.col("_bucket")
-    return pairs.where(meet & once).drop("_bucket")
+    first, last = F.floor(start / bucket).cast("long"), F.ceil(end / bucket).cast("long")
+
+    def level(k):
+        low = -F.call_function("shiftright", -first, k)
+        high = F.call_function("shiftright", last, k)
+        odd = lambda v: v.bitwiseAND(F.lit(1)) == 1
+        node = lambda j: F.struct(k.cast("int").alias("level"), j.alias("node"))
+        return F.array_compact(F.array(F.when((low < high) & odd(low), node(low)), F.when((low < high) & odd(high), node(high - 1))))
+
+    top = F.floor(F.log2((last - first).cast("double"))).cast("int") + 1
+    return F.flatten(F.transform(F.sequence(F.lit(0), top), level))
+
+
+def _begun_within(spans: DataFrame, points: DataFrame, keys: list[str], span: tuple[str, str], point: str, bucket: float) -> DataFrame:
+    """Pairs of a span and a point in its buckets, each once: a span's nodes are apart, and one of them is the point's bucket or above it.
+
+    A point is looked up on the levels that spans have nodes on, which is one set of 63 numbers at most.
+    """
+    nodes = spans.withColumn("_n", F.explode(_nodes(F.col(span[0]), F.col(span[1]), bucket))).select(*spans.columns, "_n.*")
+    levels = sorted(nodes.agg(F.collect_set("level")).first()[0])
+    at = F.floor(F.col(point) / bucket).cast("long")
+    above = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("node")) for k in levels]) if levels else F.array().cast("array<struct<level:int,node:bigint>>"))
+    return nodes.join(points.withColumn("_n", above).select(*points.columns, "_n.*"), [*keys, "level", "node"]).drop("level", "node")
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], bucket: float) -> DataFrame:
+    """Pairs of rows whose spans [start, end) overlap, each once; empty spans and null keys meet none.
+
+    Of two spans that overlap, the later begins within the earlier, so a pair is a span of one side and
+    a beginning of the other (equal ones count as the right's). Spans are dealt to the dyadic nodes of
+    their buckets, beginnings to the nodes above them: a span of n buckets is some 2 log n rows, not n.
+    """
+    a, b = (d.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in d.columns if c not in keys]).where(F.col(f"end_{side}") > F.col(f"start_{side}")) for d, side in ((left, "a"), (right, "b")))
+    later = _begun_within(a, b, keys, ("start_a", "end_a"), "start_b", bucket).where("start_a <= start_b and start_b < end_a")
+    earlier = _begun_within(b, a, keys, ("start_b", "end_b"), "start_a", bucket).where("start_b < start_a and start_a < end_b")
+    return later.unionByName(earlier)
 
 
 def against_baseline(values: DataFrame, base: DataFrame) -> DataFrame:

@@ -66,8 +66,12 @@ def bursts(packets: DataFrame, within_us: float = C.BURST_US, rows: int = C.BURS
     return d.withColumn("burst", F.col("recent") > count)
 
 
-def gap_segments(df: DataFrame, keys: list[str], time_s: str, order: str, gap_s: float = C.SERIES_GAP_S) -> DataFrame:
-    """df with `segment`: a series' pieces, parted where time leaps."""
+def gap_segments(df: DataFrame, keys: list[str], time_s: str, order: str, gap_s: float = C.SERIES_GAP_S, size: int | None = None) -> DataFrame:
+    """df with `segment`: a series' pieces, parted where time leaps. With a size, in ranges of the order, see with_previous()."""
+    if size is not None:
+        d = with_previous(df, [time_s], order, keys, size)
+        d = d.withColumn("_leap", F.coalesce((F.col(time_s) - F.col(f"_before.{time_s}") > gap_s).cast("int"), F.lit(0))).drop("_before")
+        return running_sums(d, {"segment": F.col("_leap")}, order, keys, size).drop("_leap")
     w = Window.partitionBy(*keys).orderBy(order)
     leap = F.coalesce((F.col(time_s) - F.lag(time_s).over(w) > gap_s).cast("int"), F.lit(0))
     return df.withColumn("_leap", leap).withColumn("segment", F.sum("_leap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_leap")
@@ -81,21 +85,37 @@ def gap_breaks(df: DataFrame, keys: list[str], time_s: str, order: str, value: s
     return d.withColumn(value, F.when(F.col("_row") == 1, F.col(value))).withColumnRenamed("_row", "point")
 
 
-def peak_hold(df: DataFrame, bin_: str, frame: str, db: str, decay: float = C.PEAK_DECAY_DB) -> DataFrame:
+def peak_hold(df: DataFrame, bin_: str, frame: str, db: str, decay: float = C.PEAK_DECAY_DB, size: int | None = None) -> DataFrame:
     """df with `peak`: the largest level so far, falling by decay with each frame of the bin.
 
     max(peak - decay, db) in turn is max over earlier frames of db + decay * i, less decay * now.
+    With a size, frames are counted and held in ranges, see running_max(); frames must differ within a bin.
     """
+    if size is not None:
+        d = running_sums(df, {"_i": F.lit(1)}, frame, [bin_], size)
+        d = running_max(d.withColumn("_up", F.col(db) + decay * F.col("_i")), "_up", frame, [bin_], size, "_top")
+        return d.select(*df.columns, (F.col("_top") - decay * F.col("_i")).alias("peak"))
     w = Window.partitionBy(bin_).orderBy(frame)
     i = F.row_number().over(w)
     d = df.withColumn("_i", i)
     return d.withColumn("peak", F.max(F.col(db) + decay * F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - decay * F.col("_i")).drop("_i")
 
 
-def change_points(df: DataFrame, keys: list[str], order: str, value: str, least: float = 1e-6, epoch: str | None = None) -> DataFrame:
-    """The rows at which a trace changes by more than least; with epoch, also those of a new epoch, and `moved` and `new_epoch` tell which."""
+def change_points(df: DataFrame, keys: list[str], order: str, value: str, least: float = 1e-6, epoch: str | None = None, size: int | None = None) -> DataFrame:
+    """The rows at which a trace changes by more than least; with epoch, also those of a new epoch, and `moved` and `new_epoch` tell which.
+
+    With a size, in ranges of the order, see with_previous().
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     d = df.withColumn(value, finite(F.col(value))).where(F.col(value).isNotNull())
+    if size is not None:
+        own = d.columns
+        d = with_previous(d, [value] if epoch is None else [value, epoch], order, keys, size)
+        moved = F.col(f"_before.{value}").isNull() | (F.abs(F.col(value) - F.col(f"_before.{value}")) > least)
+        if epoch is None:
+            return d.where(moved).select(*own)
+        d = d.withColumn("new_epoch", F.coalesce(F.col(f"_before.{epoch}") != F.col(epoch), F.lit(False))).withColumn("moved", moved)
+        return d.where("moved or new_epoch").drop("_before")
     before = F.lag(value).over(w)
     moved = before.isNull() | (F.abs(F.col(value) - before) > least)
     if epoch is None:
@@ -118,21 +138,39 @@ def boxcar(df: DataFrame, keys: list[str], order: str, value: str, n: int) -> Da
     return d.withColumn("total", full).drop("_s", "_c")
 
 
-def islands(df: DataFrame, keys: list[str], position: str, score: str, gap: float) -> DataFrame:
-    """The best-scored position (the first of equals) of each run of positions that lie within gap of the one before."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    new = F.coalesce((F.col(position) - F.lag(position).over(w) > gap).cast("int"), F.lit(1))
-    d = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def islands(df: DataFrame, keys: list[str], position: str, score: str, gap: float, size: int | None = None) -> DataFrame:
+    """The best-scored position (the first of equals) of each run of positions that lie within gap of the one before.
+
+    With a size, runs are found in ranges of the position, see with_previous(), and may pass over any number of them.
+    """
+    if size is not None:
+        at = with_previous(df.groupBy(*keys, position).agg(F.max(score).alias(score)), [position], position, keys, size)
+        at = at.withColumn("_new", F.coalesce((F.col(position) - F.col(f"_before.{position}") > gap).cast("int"), F.lit(1))).drop("_before")
+        d = running_sums(at, {"_island": F.col("_new")}, position, keys, size)
+    else:
+        w = Window.partitionBy(*keys).orderBy(position)
+        new = F.coalesce((F.col(position) - F.lag(position).over(w) > gap).cast("int"), F.lit(1))
+        d = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     best = F.max(F.struct(F.col(score).alias("s"), (-F.col(position)).alias("p")))
     return d.groupBy(*keys, "_island").agg(best.alias("_b")).select(*keys, (-F.col("_b.p")).alias(position), F.col("_b.s").alias(score))
 
 
-def merged_spans(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Half-open spans with those that touch or overlap made one."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = df.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
-    d = d.withColumn("_span", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def merged_spans(df: DataFrame, keys: list[str], start: str, end: str, size: float | None = None) -> DataFrame:
+    """Half-open spans with those that touch or overlap made one.
+
+    With a size, starts are gone through in ranges of it: how far earlier ranges reach is one row for
+    each (running_max()), so a span of any length is met and a hot key is many tasks' work.
+    """
+    if size is not None:
+        own = df.select(*keys, start, end).distinct()
+        d = running_max(own, end, start, keys, size, "_reach", ties=[end], before=True)
+        d = d.withColumn("_new", F.coalesce((F.col(start) > F.col("_reach")).cast("int"), F.lit(1)))
+        d = running_sums(d, {"_span": F.col("_new")}, start, keys, size, ties=[end])
+    else:
+        w = Window.partitionBy(*keys).orderBy(start, end)
+        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        d = df.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
+        d = d.withColumn("_span", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy(*keys, "_span").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_span")
 
 
@@ -198,6 +236,110 @@ def running_sums(df: DataFrame, sums: dict[str, Column], order: str, keys: list[
     return d.select(*df.columns, *[(F.sum(f"_s_{n}").over(run) + F.col(f"_0_{n}")).alias(n) for n in names])
 
 
+def _with_earlier(d: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
+    """d with earlier's columns of its keys (nulls are a key too) and _block, which has one row for each."""
+    e = earlier.withColumnsRenamed({k: f"_e_{k}" for k in [*keys, "_block"]})
+    same = F.col("_block") == F.col("_e__block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+    return d.join(e, same, "left").drop(*[f"_e_{k}" for k in [*keys, "_block"]])
+
+
+def with_previous(df: DataFrame, columns: list[str], order: str, keys: list[str] = (), size: int = 100_000) -> DataFrame:
+    """df with `_before`, a struct of the columns of the row before in the order (a number, without ties) within keys; null for the first.
+
+    Rows fall into blocks by a range of the order; what a block begins with is the last row of the latest
+    block before that has any, one row a block, so a hot key's rows are many tasks' work.
+    """
+    keys, row = list(keys), F.struct(*columns)
+    d = df.withColumn("_block", F.floor(F.col(order) / size))
+    lasts = d.groupBy(*keys, "_block").agg(F.max_by(row, F.col(order)).alias("_l"))
+    lasts = lasts.select(*keys, "_block", F.lag("_l").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_block")).alias("_carried"))
+    d = _with_earlier(d, lasts, keys)
+    own = F.lag(row).over(Window.partitionBy(*keys, "_block").orderBy(order))
+    return d.select(*df.columns, F.coalesce(own, F.col("_carried")).alias("_before"))
+
+
+def running_max(df: DataFrame, value: str, order: str, keys: list[str] = (), size: int = 100_000, to: str = "running_max", ties: list[str] = (), before: bool = False) -> DataFrame:
+    """df with the largest value up to and with each row, or of the rows before it alone, in the order (a number) within keys.
+
+    In blocks of a range of the order, as with_previous(): earlier blocks' largest values are one row each.
+    """
+    keys = list(keys)
+    d = df.withColumn("_block", F.floor(F.col(order) / size))
+    up = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = d.groupBy(*keys, "_block").agg(F.max(value).alias("_m")).select(*keys, "_block", F.max("_m").over(up).alias("_carried"))
+    run = Window.partitionBy(*keys, "_block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    return _with_earlier(d, tops, keys).select(*df.columns, F.greatest(F.max(value).over(run), F.col("_carried")).alias(to))
+
+
+def _maps_before(d: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """Rows (keys, order, _g, _o0..) of maps x -> _g x + _o with _a, _b0..: the maps before each in its key, composed."""
+    places = [f"_o{k}" for k in range(n)]
+    out = [*keys, order, "_g", *places]
+    schema = T.StructType([*[d.schema[c] for c in out], *[T.StructField(c, T.DoubleType()) for c in ("_a", *[f"_b{k}" for k in range(n)])]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, a, b = None, 1.0, [0.0] * n
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            key = list(zip(*[columns[k].to_pylist() for k in keys], strict=True)) if keys else [()] * batch.num_rows
+            maps = np.column_stack([columns[c].to_numpy(zero_copy_only=False) for c in ("_g", *places)]).tolist()
+            done = []
+            for k, (g, *o) in zip(key, maps, strict=True):
+                if k != now:
+                    now, a, b = k, 1.0, [0.0] * n
+                done.append([a, *b])
+                a, b = g * a, [g * x + y for x, y in zip(b, o, strict=True)]
+            found = np.array(done, float).reshape(-1, n + 1)
+            yield pa.RecordBatch.from_arrays([*[columns[c] for c in out], *[pa.array(found[:, k]) for k in range(n + 1)]], schema.names)
+
+    dealt = d.repartition(*keys) if keys else d.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, order).select(*out).mapInArrow(run, schema)
+
+
+def affine_scan(df: DataFrame, gain: Column, offsets: dict[str, Column], order: str, keys: list[str] = (), size: int = 65_536) -> DataFrame:
+    """(keys, order, scale, offsets' names): the maps x -> gain x + offset of all rows up to and with each, composed.
+
+    A recurrence that begins with x is scale * x + offset after a row; one gain serves several offsets.
+    The order is a whole number without ties. Composing is associative: rows are composed in blocks of a
+    range of the order, in parallel; a block's whole map is one row, and only these are gone through one
+    after the other within a key. Missing gains and offsets leave all as it was.
+    """
+    keys, names = list(keys), list(offsets)
+    n, known = len(names), gain.isNotNull()
+    for c in offsets.values():
+        known = known & c.isNotNull()
+    slim = df.select(*keys, order, F.when(known, gain.cast("double")).otherwise(1.0).alias("_g"), *[F.when(known, c.cast("double")).otherwise(0.0).alias(f"_o{k}") for k, c in enumerate(offsets.values())])
+    d = slim.withColumn("_block", F.floor(F.col(order) / size))
+    own = held(_maps_before(d, [*keys, "_block"], order, n))
+    after = [(F.col("_g") * F.col("_a")).alias("_g"), *[(F.col("_g") * F.col(f"_b{k}") + F.col(f"_o{k}")).alias(f"_o{k}") for k in range(n)]]
+    totals = own.groupBy(*keys, "_block").agg(F.max_by(F.struct(*after), F.col(order)).alias("_t")).select(*keys, "_block", "_t.*")
+    earlier = _maps_before(totals, keys, "_block", n).select(*keys, "_block", F.col("_a").alias("_a0"), *[F.col(f"_b{k}").alias(f"_z{k}") for k in range(n)])
+    own = _with_earlier(own, earlier, keys)
+    g, a = F.col("_g"), F.col("_a")
+    return own.select(*keys, order, (g * a * F.col("_a0")).alias("scale"), *[(g * (a * F.col(f"_z{k}") + F.col(f"_b{k}")) + F.col(f"_o{k}")).alias(name) for k, name in enumerate(names)])
+
+
+def followed(df: DataFrame, values: dict[str, Column], order: str, keys: list[str] = (), keep: float = 0.9, valid: Column | None = None, size: int = 65_536) -> DataFrame:
+    """(keys, order, values' names): each value's follower in the order; the first is taken whole, then x becomes keep * x + (1 - keep) * value.
+
+    Rows that are not valid, or that miss a value, change nothing; before the first valid one all is null.
+    """
+    keys = list(keys)
+    good = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    for c in values.values():
+        good = good & finite(c.cast("double")).isNotNull()
+    d = df.select(*keys, order, *[F.when(good, c.cast("double")).alias(f"_v{k}") for k, c in enumerate(values.values())])
+    first = d.where("_v0 is not null").groupBy(*keys).agg(F.min(order).alias("_first")).withColumn("_block", F.lit(0))
+    d = _with_earlier(d.withColumn("_block", F.lit(0)), first, keys)
+    begins = F.col(order) == F.col("_first")
+    gain = F.when(begins, 0.0).otherwise(keep)
+    scan = affine_scan(d, F.when(F.col("_v0").isNotNull(), gain), {name: F.col(f"_v{k}") * F.when(begins, 1.0).otherwise(1 - keep) for k, name in enumerate(values)}, order, keys, size)
+    # The first value's gain of 0 makes all scales after it 0, whatever came before.
+    return scan.select(*keys, order, *[F.when(F.col("scale") == 0, F.col(name)).alias(name) for name in values])
+
+
 def moments(df: DataFrame, values: list[str], order: str, block_rows: int = 100_000, keys: list[str] = ()) -> DataFrame:
     """df with `_x`, its finite values as an array, and `_moments`: for each the (n, mean, std) of all rows of its key up to and with this one.
 
