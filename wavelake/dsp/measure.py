@@ -321,21 +321,26 @@ class Burst:
 MEASURED = "session string, epoch int, abs_sync long, " + ", ".join(f"{k} double, {k}_unc double" for k in C.MEASUREMENTS) + ", ramp array<float>, profile array<float>, features_full boolean"
 
 
-def measure(detections: DataFrame, sample_rate: float = 8e6, rssi_cal_db: float | None = None, antenna_cal_rad: float = 0.0, full: bool = True) -> DataFrame:
-    """DETECTIONS -> one row of measurements each, nan as null. Only the columns it reads are shipped."""
+def measure(detections: DataFrame, sample_rate: float = 8e6, rssi_cal_db: float | None = None, antenna_cal_rad: float = 0.0, full: bool | str = True) -> DataFrame:
+    """DETECTIONS -> one row of measurements each, nan as null. Only the columns it reads are shipped.
+
+    full: whether the costly figures are taken too, or the column that tells so of each row.
+    """
+    each = isinstance(full, str)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
                 second = np.frombuffer(r.slice_2, np.complex64) if r.slice_2 is not None else None
-                burst = Burst(np.frombuffer(r.slice, np.complex64), sample_rate, r.abs_sync - r.abs_slice_start, r.sym_offset, np.frombuffer(r.bits, np.uint8), r.levels, r.gain_db or 0, r.frequency_hz or C.CARRIER_HZ, rssi_cal_db, second, antenna_cal_rad, full)
+                whole = bool(r.full_features) if each else full
+                burst = Burst(np.frombuffer(r.slice, np.complex64), sample_rate, r.abs_sync - r.abs_slice_start, r.sym_offset, np.frombuffer(r.bits, np.uint8), r.levels, r.gain_db or 0, r.frequency_hz or C.CARRIER_HZ, rssi_cal_db, second, antenna_cal_rad, whole)
                 m, ramp, profile = burst.all()
                 flat = [None if not np.isfinite(v) else float(v) for k in C.MEASUREMENTS for v in m.get(k, NONE)]
-                out.append((r.session, r.epoch, r.abs_sync, *flat, ramp, profile, full))
+                out.append((r.session, r.epoch, r.abs_sync, *flat, ramp, profile, whole))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in MEASURED.split(", ")])
 
-    return detections.select("session", "epoch", "abs_sync", "abs_slice_start", "sym_offset", "slice", "slice_2", "bits", "levels", "gain_db", "frequency_hz").mapInPandas(run, MEASURED)
+    return detections.select("session", "epoch", "abs_sync", "abs_slice_start", "sym_offset", "slice", "slice_2", "bits", "levels", "gain_db", "frequency_hz", *([F.col(full).alias("full_features")] if each else [])).mapInPandas(run, MEASURED)
 
 
 def measurement(key: str, calibrated=None):

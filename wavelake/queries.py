@@ -382,4 +382,4 @@ for _name, (_text, _condition) in FILTERS.items():
     QUERIES[f"filter_{_name}"] = _filter(_text)
     SQL[f"filter_{_name}"] = f"{_PACKETS} SELECT number, adva FROM packets WHERE {_condition}"
 
-from . import queries_jobs, queries_radio, queries_tables  # noqa: E402,F401
+from . import queries_jobs, queries_radio, queries_scans, queries_tables  # noqa: E402,F401
