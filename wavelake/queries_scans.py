@@ -44,14 +44,14 @@ def channel_followers(spark, sf_dir):
     return windows.followed(d, {"follower": F.col("rssi_dbfs")}, "number", ["channel"], 0.95, size=_RANGE).select("number", F.col("channel").cast("long"), *_r("follower", digits=5))
 
 
-_AIR = ", a AS (SELECT channel, floor(timestamp_us)::BIGINT AS s, floor(timestamp_us)::BIGINT + length * 20000 AS e FROM packets), n AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY channel ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM a), g AS (SELECT *, sum(fresh) OVER (PARTITION BY channel ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS piece FROM n) "
+_AIR = ", a AS (SELECT channel, floor(timestamp_us)::BIGINT AS s, floor(timestamp_us)::BIGINT + length * 2000 AS e FROM packets), n AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY channel ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM a), g AS (SELECT *, sum(fresh) OVER (PARTITION BY channel ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS piece FROM n) "
 
 
 @query(_AIR + "SELECT channel, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY channel, piece")
 def airtime(spark, sf_dir):
     """When each channel is busy: packets' spans, those that touch or overlap made one."""
     s = F.floor("timestamp_us")
-    d = _packets(spark, sf_dir).select(F.col("channel").cast("long"), s.alias("start"), (s + F.col("length") * 20_000).cast("long").alias("end"))
+    d = _packets(spark, sf_dir).select(F.col("channel").cast("long"), s.alias("start"), (s + F.col("length") * 2_000).cast("long").alias("end"))
     return windows.merged_spans(d, ["channel"], "start", "end", size=10_000_000).select("channel", "start", "end")
 
 
