@@ -201,7 +201,8 @@ def hex_dump(df: DataFrame, data: str, key: str) -> DataFrame:
     piece = byte_array(F.substr(F.col("_raw"), 16 * F.col("line") + 1, F.lit(16)))
     digits = F.array_join(F.transform(piece, lambda v: F.lower(F.lpad(F.hex(v.cast("long")), 2, "0"))), " ")
     readable = F.array_join(F.transform(piece, lambda v: F.when((v >= 32) & (v < 127), F.char(v)).otherwise(".")), "")
-    offset = F.lower(F.lpad(F.hex((16 * F.col("line")).cast("long")), 4, "0"))
+    offset = F.lower(F.hex((16 * F.col("line")).cast("long")))
+    offset = F.lpad(offset, F.greatest(F.length(offset), F.lit(4)), "0")  # lpad cuts what is longer
     return lines.select(key, "line", F.concat(offset, F.lit("  "), F.rpad(digits, 47, " "), F.lit("  "), readable).alias("text"))
 
 
