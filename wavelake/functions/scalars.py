@@ -104,9 +104,31 @@ def spec_text(m: Column) -> Column:
     return F.when(m["spec_low"].isNull() & m["spec_high"].isNull(), "-").otherwise(F.trim(F.concat(low, F.lit(" .. "), high, F.lit(" "), F.coalesce(m["units"], F.lit("")))))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A finite number with so many digits (3 at most) after the point: the nearest such text, of two equally near the even one.
+
+    format_string() rounds the shortest decimal that stands for the number, and always up; C and SQL
+    round the number itself. Its part below one is a whole number of 2^-63, exactly.
+    """
+    ten, a = 10**digits, F.abs(x.cast("double"))
+    whole = F.floor(a).cast("long")
+    part = ((a - whole) * float(1 << 63)).cast("long").cast("decimal(19,0)") * F.lit(ten).cast("decimal(4,0)")
+    unit, half = (F.lit(str(1 << k)).cast("decimal(19,0)") for k in (63, 62))
+    down = F.call_function("div", part, unit)
+    rest = part - down.cast("decimal(4,0)") * unit
+    n = whole * ten + down
+    n = n + F.when((rest > half) | ((rest == half) & (n % 2 == 1)), 1).otherwise(0)
+    text = F.call_function("div", n, F.lit(ten)).cast("string")
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad((n % ten).cast("string"), digits, "0"))
+    # From 2^52 on all numbers are whole; from 2^63 on they are beyond a long.
+    text = F.when(a < float(1 << 52), text).otherwise(F.concat(whole.cast("string"), F.lit("." + "0" * digits if digits else "")))
+    return F.when((a == 0) | (a >= float(1 << 63)), F.format_string(f"%.{digits}f", x)).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text))
+
+
 def cell(x: Column, digits: int) -> Column:
     """A number as a table shows it: empty where there is none."""
-    return F.when(finite(x).isNull(), "").otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(finite(x).isNull(), "").otherwise(fixed(x, digits))
 
 
 EXPORT = (
