@@ -123,6 +123,25 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], bucket: floa
     return later.unionByName(earlier)
 
 
+def met(left: DataFrame, right: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """The rows of left whose span [start, end) overlaps any of right's; empty spans and null keys meet none.
+
+    A span is met if, of right's spans that begin before its end, the one that reaches furthest ends
+    after its start. That is a running maximum over both sides in one order, in ranges of it, so no
+    pairs are formed and a hot key is many tasks' work.
+    """
+    from .windows import running_max
+
+    some = F.col("end") > F.col("start")
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    # At equal places left's ends come first: a span that begins where another ends doesn't overlap it.
+    a = left.where(some).withColumns({"_at": F.col("end"), "_side": F.lit(0), "_reach": F.lit(None).cast(right.schema["end"].dataType)})
+    b = right.where(some).select(*keys, F.col("start").alias("_at"), F.lit(1).alias("_side"), F.col("end").alias("_reach"))
+    d = running_max(a.unionByName(b, allowMissingColumns=True), "_reach", "_at", keys, size, "_furthest", ties=["_side"])
+    return d.where("_side = 0 and _furthest > start").select(*left.columns)
+
+
 def against_baseline(values: DataFrame, base: DataFrame) -> DataFrame:
     """(adva, number, key, value) with `sigma`: deviations from the address's baseline of that key."""
     b = base.select("adva", "key", "mean", "std")

@@ -341,8 +341,7 @@ def packet_rates(spark, sf_dir):
 def interval_overlap(spark, sf_dir):
     p = _packets(spark, sf_dir).select("number", "adva", "channel", F.col("timestamp_us").alias("start"), (F.col("timestamp_us") + 400_000).alias("end"), "pdu_name")
     a, b = p.where("pdu_name = 'SCAN_REQ'").drop("pdu_name"), p.where("pdu_name = 'SCAN_RSP'").select("channel", "start", "end")
-    d = joins.overlapping(a, b, ["channel"], 1_000_000)
-    return d.select(F.col("number_a").alias("number"), F.col("adva_a").alias("adva"), F.col("channel").cast("long")).distinct()
+    return joins.met(a, b, ["channel"], 100_000).select("number", "adva", F.col("channel").cast("long"))
 
 
 @query()
