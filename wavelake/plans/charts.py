@@ -11,6 +11,7 @@ from .. import constants as C
 from ..dsp.blocks import power_spectra
 from ..functions.scalars import cell, finite, short_info
 from ..operators import ordering, stats, windows
+from ..tables import held
 
 
 def spectrum(blocks: DataFrame, sample_rate: float, size: int = 1024) -> DataFrame:
@@ -21,9 +22,11 @@ def spectrum(blocks: DataFrame, sample_rate: float, size: int = 1024) -> DataFra
 
 def waterfall(blocks: DataFrame, sample_rate: float, rows: int = 200, range_db: float = 45.0, size: int = 1024) -> DataFrame:
     """The last spectra of each session as levels 0 to 1 below a top that follows the 99.9th percentile slowly."""
-    d = power_spectra(blocks, sample_rate, size)
-    last = Window.partitionBy("session", "epoch")
-    d = d.withColumn("_end", F.max("block_index").over(last)).where(F.col("block_index") > F.col("_end") - rows).drop("_end")
+    # Only blocks that have a spectrum count. The last of each session is one row, so no session's blocks are gathered to find it.
+    whole = blocks.where(F.octet_length("iq") >= 4 * size * F.col("n_channels"))
+    ends = whole.groupBy("session", "epoch").agg(F.max("block_index").alias("_end")).withColumnsRenamed({"session": "_session", "epoch": "_epoch"})
+    same = F.col("session").eqNullSafe(F.col("_session")) & F.col("epoch").eqNullSafe(F.col("_epoch")) & (F.col("block_index") > F.col("_end") - rows)
+    d = held(power_spectra(whole.join(F.broadcast(ends), same).select(*blocks.columns), sample_rate, size))
     tops = d.groupBy("session", "epoch", "block_index").agg(F.percentile("power_dbfs", 0.999).alias("_t"))
     w = Window.partitionBy("session", "epoch").orderBy("block_index").rowsBetween(Window.unboundedPreceding, 0)
     follow = F.aggregate(F.collect_list("_t").over(w), F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(0.9 * a + 0.1 * x))  # at most `rows` values
