@@ -149,11 +149,32 @@ def ad_items(payload: bytes | None) -> list[tuple] | None:
     return out
 
 
+#: Bytes of payloads whose items are held at a time.
+PARSED_BYTES = 1 << 20
+
+
+def stretches(payloads: pd.Series, most: int) -> Iterator[pd.Series]:
+    """A series of payloads in order, in pieces of at most so many bytes, or of one payload."""
+    first = total = 0
+    for k, x in enumerate(payloads):
+        n = 0 if x is None else len(x)
+        if k > first and total + n > most:
+            yield payloads.iloc[first:k]
+            first, total = k, 0
+        total += n
+    yield payloads.iloc[first:]
+
+
 @F.pandas_udf(T.ArrayType(AD_ITEM))
 def parse_ad(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Advertising data as an array of items, in Arrow batches: its walk has no end known beforehand."""
+    """Advertising data as an array of items, in Arrow batches: its walk has no end known beforehand.
+
+    A batch is answered in stretches of so many bytes (or one payload), since items take many times
+    their payload's bytes in Python.
+    """
     for batch in payloads:
-        yield batch.map(ad_items)
+        for part in stretches(batch, PARSED_BYTES):
+            yield part.map(ad_items)
 
 
 def parse_pdu(df: DataFrame, data: str = "pdu", init: int = ADVERTISING_CRC_INIT) -> DataFrame:
