@@ -129,7 +129,7 @@ def candidates(texts: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     rows = rows.repartitionByRange(partitions(texts), *order).sortWithinPartitions(*order)
 
     def joined(batches):
-        for columns in whole_groups(batches, names, 3, GATHERED):
+        for columns in whole_groups(batches, names, 3, GATHERED, pieces=True):
             i, j = group_links(columns[: DEPTH + 1], columns[-2].astype(np.int64).view(np.uint64), group_rows)
             start, end = ranges(*columns[:3])
             open_ = end - start > group_rows

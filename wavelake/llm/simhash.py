@@ -12,7 +12,8 @@ something new, so that a cluster of m close fingerprints yields m - 1 links and
 lie in sorted runs, of which a task holds a few at a time.
 
 A group beyond `group_rows` is split: its next c bits name subtrees, and each pair of subtrees
-within the error budget is a group of its own, dealt out on its own.
+within the error budget is a group of its own, dealt out on its own. One that is still beyond what a
+task gathers is split in the same way by its next bits, as often as that takes.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other; fewer words than a
 shingle's make one shingle of all; equal texts have equal fingerprints; rows that share a doc_id
@@ -23,7 +24,7 @@ least id (null if it has none).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -160,10 +161,10 @@ def ranges(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], len(keys[0]))
 
 
-def whole_groups(batches, names: list[str], by: int, rows: int) -> Iterator[list[np.ndarray]]:
+def whole_groups(batches, names: list[str], by: int, rows: int, pieces: bool = False) -> Iterator[list[np.ndarray]]:
     """Columns of sorted batches, in pieces of about `rows` rows that end where a group does (the first `by` columns are its key).
 
-    A group beyond `rows` rows is handed out in pieces of so many rows.
+    A group beyond `rows` rows is whole too; with pieces, for those who see to the rest themselves, it is handed out in pieces of so many rows.
     """
     held: list[list[np.ndarray]] = [[] for _ in names]
     n = 0
@@ -174,8 +175,9 @@ def whole_groups(batches, names: list[str], by: int, rows: int) -> Iterator[list
         if n >= rows:
             columns = [np.concatenate(h) for h in held]
             start, _ = ranges(*columns[:by])
-            cut = int(start[-1]) or n
-            yield [c[:cut] for c in columns]
+            cut = int(start[-1]) or (n if pieces else 0)
+            if cut:
+                yield [c[:cut] for c in columns]
             held, n = [[c[cut:]] for c in columns], n - cut
     if n:
         yield [np.concatenate(h) for h in held]
@@ -193,6 +195,39 @@ def blocks_of(n: int, errors: int, group_rows: int) -> tuple[int, int]:
     return errors + agree, agree
 
 
+def _deeper(split: DataFrame, nodes: DataFrame, errors: int, top: int, rows: int, step: int = 4) -> DataFrame:
+    """Pairs of subtrees (band, value, p, q, c, key, node) with none beyond `rows` rows: larger ones are split by their next bits, over and over.
+
+    Errors that a pair's paths have spent are taken off its budget. A pair without rows on both sides has
+    no links and is left out, so that keys that share their next bits are not copied at each step. Keys
+    are distinct: at their last bit a pair is two rows at most.
+    """
+    by, out = ["band", "value", "c", "p", "q"], []
+    names = ["band", "value", "p", "q", "c", "key", "node"]
+    while True:
+        split = written(split, nodes)
+        at = F.expr(f"shiftrightunsigned(shiftleft(key, {top}), 64 - c)")
+        counts = split.groupBy(*by).agg(F.count("*").alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high"))
+        counts = counts.where((F.col("_n") > 1) & ((F.col("p") == F.col("q")) | (F.col("_low") < F.col("_high"))))
+        counts = written(counts.withColumn("_s", F.when(F.col("_n") > rows, F.least(F.lit(step), F.lit(64 - top) - F.col("c"))).otherwise(0)), nodes)
+        held = split.join(counts, by)
+        out.append(held.where("_s = 0").select(*names))
+        if counts.where("_s > 0").isEmpty():
+            break
+        steps = range(1, step + 1)
+        # Masks of so many bits, for each width of step and each budget that is left.
+        balls = [F.array(*[F.lit(sum(1 << b for b in bits)).cast("long") for e in range(left + 1) for bits in combinations(range(s), e)]) for s in steps for left in range(errors + 1)]
+        left = F.lit(errors) - F.bit_count(F.col("p").bitwiseXOR(F.col("q")))
+        ball = F.element_at(F.array(*balls), ((F.col("_s") - 1) * (errors + 1) + left + 1).cast("int"))
+        own = F.expr(f"shiftrightunsigned(shiftleft(key, {top} + c), 64 - _s)")
+        d = held.where("_s > 0").withColumn("_own", own).withColumn("_mask", F.explode(ball)).withColumn("_other", F.col("_own").bitwiseXOR(F.col("_mask")))
+        low = (F.when(F.col("p") == F.col("q"), F.least("_own", "_other")).when(at == F.col("p"), F.col("_own")).otherwise(F.col("_other"))).alias("_a")
+        d = d.select("*", low, F.col("_own").bitwiseXOR(F.col("_other")).alias("_x"))
+        under = lambda node, bits: F.expr(f"shiftleft({node}, _s)").bitwiseOR(bits)
+        split = d.select("band", "value", under("p", F.col("_a")).alias("p"), under("q", F.col("_a").bitwiseXOR(F.col("_x"))).alias("q"), (F.col("c") + F.col("_s")).cast("int").alias("c"), "key", "node")
+    return reduce(DataFrame.unionAll, out)
+
+
 def links(nodes: DataFrame, errors: int = ERRORS, group_rows: int = GROUP_ROWS, count: int | None = None) -> DataFrame:
     """(fp, node) of distinct fingerprints -> (u, v) of nodes: enough links to join all that differ in at most errors bits."""
     count = nodes.count() if count is None else count
@@ -221,14 +256,14 @@ def links(nodes: DataFrame, errors: int = ERRORS, group_rows: int = GROUP_ROWS,
         split = dealt.where("c is not null").withColumn("_sub", F.expr(f"shiftrightunsigned(shiftleft(key, {top}), 64 - c)")).withColumn("_mask", F.explode(ball))
         other = F.col("_sub").bitwiseXOR(F.col("_mask"))
         split = split.select("band", "value", F.least("_sub", other).alias("p"), F.greatest("_sub", other).alias("q"), "c", "key", "node")
-        groups = normal.unionAll(split)
-    by = ["band", "value", "p", "q"]
+        groups = normal.unionAll(_deeper(split, nodes, errors, top, GATHERED))
+    by = ["band", "value", "c", "p", "q"]
     groups = groups.repartition(partitions(nodes), *by).sortWithinPartitions(*by, "key")
 
     def joined(batches):
-        for band, value, p, q, c, key, node in whole_groups(batches, [*by, "c", "key", "node"], 4, GATHERED):
+        for band, value, c, p, q, key, node in whole_groups(batches, [*by, "key", "node"], 5, GATHERED):
             key = key.astype(np.int64).view(np.uint64)
-            a, z = ranges(band, value, p, q)
+            a, z = ranges(band, value, c, p, q)
             many = z - a > 1
             own = many & (c[a] == 0)
             starts = [(a[own], z[own], a[own], z[own], np.full(own.sum(), 63 - top), np.zeros(own.sum(), int))]
