@@ -101,8 +101,12 @@ def _nodes(start: Column, end: Column, bucket: float) -> Column:
 def _begun_within(spans: DataFrame, points: DataFrame, keys: list[str], span: tuple[str, str], point: str, bucket: float) -> DataFrame:
     """Pairs of a span and a point in its buckets, each once: a span's nodes are apart, and one of them is the point's bucket or above it.
 
-    A point is looked up on the levels that spans have nodes on, which is one set of 63 numbers at most.
+    Buckets are as many times as wide, a power of two, as spans are long by their geometric mean: a typical
+    span is a few rows, and of the points in its buckets a fair share is in it. A point is looked up on the
+    levels that spans have nodes on, which is one set of 63 numbers at most.
     """
+    typical = spans.agg(F.avg(F.log2((F.col(span[1]) - F.col(span[0])) / bucket))).first()[0]
+    bucket = bucket * 2.0 ** max(0, int(typical or 0))
     nodes = spans.withColumn("_n", F.explode(_nodes(F.col(span[0]), F.col(span[1]), bucket))).select(*spans.columns, "_n.*")
     levels = sorted(nodes.agg(F.collect_set("level")).first()[0])
     at = F.floor(F.col(point) / bucket).cast("long")
