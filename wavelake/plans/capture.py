@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..dsp.demod import Receiver, demodulate
-from ..dsp.measure import measure
+from ..dsp.demod import DETECTIONS, Receiver, demodulate, demodulated_in_order
+from ..dsp.measure import MEASURED, measure, measured
 from ..functions.bytes import parse_pdu
 from ..operators.windows import running_sums
 
 
+#: Columns of a detection that stay in packet rows: all but its samples and symbols, and what tells it apart.
+KEPT = tuple(k for k in DETECTIONS.split(", ") if k.split()[0] not in ("session", "epoch", "abs_sync", "slice", "slice_2", "bits", "levels"))
+_KEPT = [k.split()[0] for k in KEPT]
+#: Rows of measured_in_order().
+FOUND = ", ".join([MEASURED, *KEPT])
+
+
 def packet_rows(blocks: DataFrame, receiver: Receiver = Receiver(), full: bool = True, rssi_cal_db: float | None = None, antenna_cal_rad: float = 0.0, block_samples: int = 16_384) -> DataFrame:
     """Decoded and measured packets of sample blocks; numbers count a session's packets in order of sample.
 
-    Samples are decoded once; measurements join their packets on (session, epoch, abs_sync), both
-    sides small. No column of samples is kept.
+    Samples are decoded once, and measured row by row. No column of samples is kept.
     """
-    d = demodulate(blocks, receiver, block_samples)
-    m = measure(d, receiver.sample_rate, rssi_cal_db, antenna_cal_rad, full)
-    p = parse_pdu(d.drop("slice", "slice_2", "bits", "levels")).withColumnRenamed("calibrated", "_calibrated")
-    p = p.select("*", *[F.col(f"decoded.{k}").alias(k) for k in ("pdu_type", "pdu_name", "tx_add_random", "rx_add_random", "length", "adva_kind", "payload", "ad_structures", "info", "crc_received", "crc_computed", "crc_ok")], F.col("decoded.adva_str").alias("adva"), F.col("decoded.raw").alias("raw_bytes")).drop("decoded", "pdu")
-    out = p.join(m, ["session", "epoch", "abs_sync"]).withColumnRenamed("_calibrated", "calibrated").withColumnRenamed("abs_sync", "sample_index")
+    return described(measure(demodulate(blocks, receiver, block_samples), receiver.sample_rate, rssi_cal_db, antenna_cal_rad, full, _KEPT), receiver)
+
+
+def measured_in_order(batches: Iterator[pd.DataFrame], receiver: Receiver = Receiver(), full: bool = True, rssi_cal_db: float | None = None, antenna_cal_rad: float = 0.0) -> Iterator[pd.DataFrame]:
+    """Frames of blocks in order, those of a session and epoch one after the other -> frames of FOUND, for described()."""
+    return measured(demodulated_in_order(batches, receiver), receiver.sample_rate, rssi_cal_db, antenna_cal_rad, full, _KEPT)
+
+
+def described(found: DataFrame, receiver: Receiver = Receiver()) -> DataFrame:
+    """Rows of FOUND -> packet rows, with the fields of their bytes."""
+    m = [k.split()[0] for k in MEASURED.split(", ")]
+    p = parse_pdu(found).withColumnsRenamed({"abs_sync": "sample_index"})
+    fields = [F.col(f"decoded.{k}").alias(k) for k in ("pdu_type", "pdu_name", "tx_add_random", "rx_add_random", "length", "adva_kind", "payload", "ad_structures", "info", "crc_received", "crc_computed", "crc_ok")]
+    out = p.select("session", "epoch", "sample_index", *[k for k in _KEPT if k != "pdu"], *fields, F.col("decoded.adva_str").alias("adva"), F.col("decoded.raw").alias("raw_bytes"), *m[3:])
     return out.withColumn("is_event", F.lit(False)).withColumn("event_kind", F.lit("")).withColumn("event_text", F.lit("")).withColumn("access_address", F.lit(receiver.access_address).cast("long")).withColumn("alerts", F.array().cast("array<string>"))
 
 
