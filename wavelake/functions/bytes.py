@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,16 +216,56 @@ def parse_pdu(df: DataFrame, data: str = "pdu", init: int = ADVERTISING_CRC_INIT
     return d.withColumn("decoded", decoded).drop("_kind", "_payload", "_rx", "_calc", "_addressed", "_adva", "_ad")
 
 
+#: Bytes of a payload that are dumped as one, and lines that are put together at a time.
+DUMPED_BYTES, DUMPED_LINES = 4096, 16_384
+
+
 def hex_dump(df: DataFrame, data: str, key: str) -> DataFrame:
-    """(key, line, text): sixteen bytes a line as offset, hex and readable characters."""
+    """(key, line, text): sixteen bytes a line as offset, hex and readable characters.
+
+    Payloads are cut into pieces first, so that no line carries its payload along, and pieces are dumped in Arrow batches.
+    """
     raw = F.col(data)
-    lines = df.where(F.octet_length(raw) > 0).select(F.col(key), raw.alias("_raw"), F.explode(F.sequence(F.lit(0), F.floor((F.octet_length(raw) - 1) / 16).cast("int"))).alias("line"))
-    piece = byte_array(F.substr(F.col("_raw"), 16 * F.col("line") + 1, F.lit(16)))
-    digits = F.array_join(F.transform(piece, lambda v: F.lower(F.lpad(F.hex(v.cast("long")), 2, "0"))), " ")
-    readable = F.array_join(F.transform(piece, lambda v: F.when((v >= 32) & (v < 127), F.char(v)).otherwise(".")), "")
-    offset = F.lower(F.hex((16 * F.col("line")).cast("long")))
-    offset = F.lpad(offset, F.greatest(F.length(offset), F.lit(4)), "0")  # lpad cuts what is longer
-    return lines.select(key, "line", F.concat(offset, F.lit("  "), F.rpad(digits, 47, " "), F.lit("  "), readable).alias("text"))
+    last = F.floor((F.octet_length(raw) - 1) / DUMPED_BYTES).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.substr(raw, k * DUMPED_BYTES + 1, F.lit(DUMPED_BYTES)))
+    d = df.where(F.octet_length(raw) > 0).select(F.col(key), F.posexplode(pieces).alias("_piece", "_data"))
+    return d.mapInArrow(dumped, T.StructType([df.schema[key], T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())]))
+
+
+def dumped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, piece, data) -> batches of (key, line, text), a line for each sixteen bytes of DUMPED_BYTES a piece."""
+    digits = np.frombuffer(b"0123456789abcdef", np.uint8)
+    pairs = digits[np.arange(256)[:, None] >> np.array([4, 0]) & 15]
+    readable = np.where((np.arange(256) >= 32) & (np.arange(256) < 127), np.arange(256), ord(".")).astype(np.uint8)
+    # Columns of a line: eight digits of its offset, of which those before the last four may be left out, two blanks, the bytes, a blank, characters.
+    shifts, columns = np.arange(28, -1, -4), np.arange(8 + 2 + 48 + 1 + 16)
+    for b in batches:
+        pieces, data = b.column(1).to_numpy(), b.column(2).cast(pa.large_binary())
+        if not len(data):
+            continue
+        ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        # The bytes of all pieces one after the other, and sixteen more.
+        at = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        rows = np.lib.stride_tricks.sliding_window_view(np.append(at, np.zeros(16, np.uint8)), 16)
+        starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+        lines = -(-sizes // 16)
+        upto = np.cumsum(lines)
+        for first in range(0, int(upto[-1]), DUMPED_LINES):
+            n = np.arange(first, min(first + DUMPED_LINES, int(upto[-1])))
+            piece = np.searchsorted(upto, n, "right")
+            own = n - (upto[piece] - lines[piece])
+            line, size = pieces[piece].astype(np.int64) * (DUMPED_BYTES // 16) + own, np.minimum(sizes[piece] - 16 * own, 16)
+            x = rows[starts[piece] + 16 * own]
+            out = np.full((len(n), len(columns)), ord(" "), np.uint8)
+            out[:, :8] = digits[(16 * line)[:, None] >> shifts & 15]
+            out[:, 10:58].reshape(len(n), 16, 3)[:, :, :2] = pairs[x]
+            out[:, 59:] = readable[x]
+            short = np.flatnonzero(size < 16)
+            out[short, 10:58] = np.where(np.repeat(np.arange(16) < size[short, None], 3, 1), out[short, 10:58], ord(" "))
+            begin, end = 4 - np.sum(line[:, None] >= 1 << np.array([12, 16, 20, 24]), 1), 59 + size
+            text = out[(columns >= begin[:, None]) & (columns < end[:, None])]
+            places = np.append(0, np.cumsum(end - begin)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(piece)), pa.array(line.astype(np.int32)), pa.StringArray.from_buffers(len(n), pa.py_buffer(places), pa.py_buffer(text))], [b.schema.names[0], "line", "text"])
 
 
 def bit_differences(a: Column, b: Column) -> Column:
